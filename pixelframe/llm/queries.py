@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelframe.llm import language_id, toxicity
+from pixelframe.llm import language_id, packing, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,14 +18,32 @@ def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "switches")
 
 
+def op2_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op3_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op5_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted", "spans")
 
 
+def op7_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_crf": op1_language_crf,
+    "op2_simhash_bktree": op2_simhash_bktree,
+    "op3_pow2_packing": op3_pow2_packing,
     "op5_toxic_crf": op5_toxic_crf,
+    "op7_quality_qda": op7_quality_qda,
 }
 
 ORACLE_SQL: dict[str, str] = {}
