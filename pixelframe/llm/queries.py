@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelframe.llm import ann, language_id, packing, quality, simhash, toxicity, warc
+from pixelframe.llm import ann, language_id, mixing, packing, quality, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,45 @@ def op7_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+#: Target entropy (share of the largest), most repetitions of a source, blocks and seed of op8.
+MIX_ENTROPY, MIX_REPEATS = 0.95, 4.0
+
+
+def op8_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.plan(_table(spark, sf_dir, "documents"), MIX_ENTROPY, MIX_REPEATS)
+    return out.select("doc_id", "source", "n_tokens", "weight", "copies")
+
+
+OP8_SQL = f"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, source, coalesce('=' || source, 'null') AS k, md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\\x09-\\x0D\\x20]+')), 0) AS BIGINT) AS n
+  FROM documents),
+d AS (SELECT *, CAST(('0x' || substr(o, 1, 6)) AS INTEGER) % {mixing.BLOCKS} AS b FROM t),
+s AS (SELECT k, sum(n)::BIGINT AS n FROM d GROUP BY k),
+tot AS (SELECT sum(n)::BIGINT AS n FROM s),
+lp AS (SELECT ln(s.n / tot.n::DOUBLE) AS lp FROM s, tot WHERE s.n > 0),
+bi AS (
+  SELECT 0 AS i, 0::DOUBLE AS lo, {mixing.LARGEST}::DOUBLE AS hi
+  UNION ALL
+  SELECT i + 1, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END
+  FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid,
+        (SELECT ln(sum(exp((lo + hi) / 2 * lp))) - sum(exp((lo + hi) / 2 * lp) * (lo + hi) / 2 * lp) / sum(exp((lo + hi) / 2 * lp)) > {MIX_ENTROPY} * ln(count(*))
+             OR max(exp((lo + hi) / 2 * lp) / exp(lp)) / sum(exp((lo + hi) / 2 * lp)) > {MIX_REPEATS} FROM lp) AS up
+        FROM bi WHERE i < {mixing.STEPS * mixing.PASSES})),
+a AS (SELECT hi AS a FROM bi WHERE i = {mixing.STEPS * mixing.PASSES}),
+p AS (SELECT k, s.n AS al, CASE WHEN s.n > 0 THEN exp(a * ln(s.n / tot.n::DOUBLE)) ELSE 0 END AS p FROM s, tot, a),
+q AS (SELECT k, al, p / (SELECT sum(p) FROM p) AS w, CAST(floor(tot.n::DOUBLE * (p / (SELECT sum(p) FROM p))) AS BIGINT) AS quota FROM p, tot),
+e AS (SELECT k, round(w, 9) AS w, CASE WHEN al > 0 THEN quota // al ELSE 0 END AS ep, CASE WHEN al > 0 THEN quota % al ELSE 0 END AS rest FROM q),
+pb AS (SELECT k, b, sum(n)::BIGINT AS n FROM d GROUP BY k, b),
+c AS (SELECT k, b, w, ep, n, rest - (sum(n) OVER (PARTITION BY k ORDER BY md5('1:' || k || ':' || b), b) - n) AS room FROM pb JOIN e USING (k)),
+r AS (SELECT d.*, c.w, c.ep, c.room, c.n AS bn, sum(d.n) OVER (PARTITION BY d.k, d.b ORDER BY d.o) AS cum FROM d JOIN c ON d.k = c.k AND d.b = c.b)
+SELECT doc_id, source, n AS n_tokens, w AS weight,
+       CAST(ep + CASE WHEN room > 0 AND (room >= bn OR cum <= room) THEN 1 ELSE 0 END AS INTEGER) AS copies
+FROM r
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_crf": op1_language_crf,
     "op2_simhash_bktree": op2_simhash_bktree,
@@ -68,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxic_crf": op5_toxic_crf,
     "op6_arc_to_warc": op6_arc_to_warc,
     "op7_quality_qda": op7_quality_qda,
+    "op8_temperature_mix": op8_temperature_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_arc_to_warc": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_arc_to_warc": OP6_SQL, "op8_temperature_mix": OP8_SQL}
