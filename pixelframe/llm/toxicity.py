@@ -141,7 +141,7 @@ def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
             joined = np.zeros(len(hit), bool)
             joined[1:] = (np.diff(hit) == 1) & (words.doc[hit[1:]] == words.doc[hit[:-1]])
             first = np.flatnonzero(~joined)
-            last = np.append(first[1:], len(hit)) - 1
+            last = np.append(first[1:], len(hit))[: len(first)] - 1
             at = words.text_start[words.doc[hit[first]]]
             flat = pa.StructArray.from_arrays(
                 [
