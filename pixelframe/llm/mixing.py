@@ -108,6 +108,7 @@ def plan(docs: DataFrame, entropy: float, repeats: float, budget: int | None = N
 
 
 def mix(docs: DataFrame, entropy: float, repeats: float, **options) -> DataFrame:
-    """``docs`` with each row as often as planned."""
-    planned = plan(docs, entropy, repeats, **options).where("copies > 0")
-    return planned.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """``docs`` with each row as often as planned; ``options`` as of ``plan``."""
+    named = [options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("source_col", "source")]
+    planned = plan(docs.select(*named, F.struct(*docs.columns).alias("__row")), entropy, repeats, **options).where("copies > 0")
+    return planned.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")

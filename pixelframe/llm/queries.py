@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelframe.llm import ann, language_id, mixing, packing, quality, simhash, suffix_dedup, toxicity, warc
+from pixelframe.llm import ann, language_id, mixing, packing, quality, simhash, suffix_dedup, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,6 +103,28 @@ def op9_suffix_dc3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op10_bmw_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0, 10)
+
+
+OP10_SQL = """
+WITH w AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?:[a-z]|[^\\x00-\\x7F])+')) AS t
+  FROM documents),
+p AS (SELECT doc_id, t, count(*)::DOUBLE AS tf FROM w GROUP BY ALL),
+l AS (SELECT doc_id, sum(tf) AS len FROM p GROUP BY doc_id),
+n AS (SELECT count(*)::DOUBLE AS n, (SELECT sum(len) FROM l) / count(*) AS mean FROM documents),
+d AS (SELECT t, ln(1 + (n.n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, n GROUP BY t, n.n),
+s AS (
+  SELECT q.doc_id AS query_id, p.doc_id, round(sum(d.idf * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * l.len / n.mean))), 6) AS score
+  FROM p q JOIN p ON q.t = p.t JOIN d ON d.t = p.t JOIN l ON l.doc_id = p.doc_id, n
+  WHERE q.doc_id % 20 = 0 AND q.doc_id <> p.doc_id
+  GROUP BY q.doc_id, p.doc_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_crf": op1_language_crf,
     "op2_simhash_bktree": op2_simhash_bktree,
@@ -113,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_qda": op7_quality_qda,
     "op8_temperature_mix": op8_temperature_mix,
     "op9_suffix_dc3": op9_suffix_dc3,
+    "op10_bmw_bm25": op10_bmw_bm25,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_arc_to_warc": OP6_SQL, "op8_temperature_mix": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_arc_to_warc": OP6_SQL, "op8_temperature_mix": OP8_SQL, "op10_bmw_bm25": OP10_SQL}
