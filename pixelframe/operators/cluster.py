@@ -91,10 +91,14 @@ class KMeans:
         return rows.agg(F.sum(F.array_min(F.array(*d)) if len(d) > 1 else d[0])).first()[0] or 0.0
 
     def _weighted(self, points: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        rng = np.random.default_rng(self.seed)
         while len(points) < self.k:
             points, weight = np.vstack([points, points[:1]]), np.append(weight, 0.0)
-        centres = points[rng.choice(len(points), self.k, replace=False)]
+        # Heaviest candidate first, then always the one of largest weighted distance to those taken.
+        taken = [int(weight.argmax())]
+        while len(taken) < self.k:
+            far = ((points[:, None] - points[taken]) ** 2).sum(axis=2).min(axis=1) * (weight + 1e-9)
+            taken.append(int(far.argmax()))
+        centres = points[taken].astype(float)
         for _ in range(100):
             own = ((points[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
             new = np.array([np.average(points[own == j], axis=0, weights=weight[own == j] + 1e-9) if (own == j).any() else centres[j] for j in range(self.k)])
