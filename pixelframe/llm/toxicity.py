@@ -110,7 +110,7 @@ def train(rows: list[tuple[str, int]], epochs: int = 3) -> ToxicModel:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> ToxicModel:
     """Train on about ``per_class`` labelled rows of each class, chosen by a hash of the id.
 
-    The class shares of the corpus are restored in the document model's intercept.
+    The chosen ids are broadcast: their number is the bound of the sample.  The class shares of the corpus are restored in the document model's intercept.
     """
     marked = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
     counts = {r["__y"]: r["count"] for r in marked.groupBy("__y").count().collect()}
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for y, c in counts.items():
         chance = F.when(F.col("__y") == y, F.lit(min(1.0, per_class / c))).otherwise(chance)
     chosen = marked.where(F.pmod(F.xxhash64(F.col("__id").cast("string")), F.lit(1_000_003)) < chance * 1_000_003).dropDuplicates(["__id"])
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t")).join(chosen, "__id").select("t", "__y").collect()
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "__id").select("t", "__y").collect()
     model = train([(r["t"] or "", r["__y"]) for r in rows])
     if model.crf is not None and len(counts) == 2:
         used = np.bincount([r["__y"] for r in rows], minlength=2)
