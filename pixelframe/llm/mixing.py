@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from pixelframe.llm import scratch
 
-#: Blocks of a source, steps of one pass, passes, largest exponent.
-BLOCKS, STEPS, PASSES, LARGEST = 1024, 5, 8, 8.0
+#: Blocks of a source, steps of one pass, passes, largest exponent (1: as the sources are; repetitions grow again beyond).
+BLOCKS, STEPS, PASSES, LARGEST = 1024, 5, 8, 1.0
 
 
 def words(text: Column) -> Column:
@@ -85,7 +85,8 @@ def plan(docs: DataFrame, entropy: float, repeats: float, budget: int | None = N
     z, need = sources.agg(F.sum(power), F.max(F.when(F.col("tokens") > 0, F.col("tokens") / power))).first()
     z, need = z or 1.0, need or 0.0
     weight = power / F.lit(z)
-    quota = F.greatest("tokens", F.floor(F.lit(need) * power)) if cover else F.floor(F.lit(float(whole)) * weight)
+    # Rounded first: a share that is met exactly must not lose a token to the last bit of a double.
+    quota = F.greatest("tokens", F.floor(F.round(F.lit(need) * power, 3))) if cover else F.floor(F.round(F.lit(float(whole)) * weight, 3))
     quotas = sources.select("__key", F.round(weight, 9).alias("weight"), F.col("tokens").alias("all"), quota.cast("long").alias("quota"))
     once = F.when(F.col("all") > 0, F.expr("quota div `all`")).otherwise(F.lit(1 if cover else 0))
     quotas = quotas.select("__key", "weight", once.cast("int").alias("epochs"), F.when(F.col("all") > 0, F.expr("quota % `all`")).otherwise(F.lit(0)).alias("rest"))

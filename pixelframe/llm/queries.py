@@ -88,7 +88,7 @@ bi AS (
         FROM bi WHERE i < {mixing.STEPS * mixing.PASSES})),
 a AS (SELECT hi AS a FROM bi WHERE i = {mixing.STEPS * mixing.PASSES}),
 p AS (SELECT k, s.n AS al, CASE WHEN s.n > 0 THEN exp(a * ln(s.n / tot.n::DOUBLE)) ELSE 0 END AS p FROM s, tot, a),
-q AS (SELECT k, al, p / (SELECT sum(p) FROM p) AS w, CAST(floor(tot.n::DOUBLE * (p / (SELECT sum(p) FROM p))) AS BIGINT) AS quota FROM p, tot),
+q AS (SELECT k, al, p / (SELECT sum(p) FROM p) AS w, CAST(floor(round(tot.n::DOUBLE * (p / (SELECT sum(p) FROM p)), 3)) AS BIGINT) AS quota FROM p, tot),
 e AS (SELECT k, round(w, 9) AS w, CASE WHEN al > 0 THEN quota // al ELSE 0 END AS ep, CASE WHEN al > 0 THEN quota % al ELSE 0 END AS rest FROM q),
 pb AS (SELECT k, b, sum(n)::BIGINT AS n FROM d GROUP BY k, b),
 c AS (SELECT k, b, w, ep, n, rest - (sum(n) OVER (PARTITION BY k ORDER BY md5('1:' || k || ':' || b), b) - n) AS room FROM pb JOIN e USING (k)),
