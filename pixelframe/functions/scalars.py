@@ -199,3 +199,15 @@ def geodetic_to_local(lon: Column, lat: Column, height: Column, origin: tuple[fl
     east = -sl * x + cl * y
     up = cp * cl * x + cp * sl * y + sp * z
     return north, east, up
+
+
+def ecef_to_geodetic(x: Column, y: Column, z: Column, steps: int = 6) -> tuple[Column, Column, Column]:
+    """(lon, lat, height) by fixed-point steps on the latitude."""
+    e2 = WGS84_F * (2 - WGS84_F)
+    p = F.sqrt(x * x + y * y)
+    phi = F.atan2(z, p * (1 - e2))
+    for _ in range(steps):
+        n = F.lit(WGS84_A) / F.sqrt(1 - e2 * F.pow(F.sin(phi), F.lit(2.0)))
+        phi = F.atan2(z + e2 * n * F.sin(phi), p)
+    n = F.lit(WGS84_A) / F.sqrt(1 - e2 * F.pow(F.sin(phi), F.lit(2.0)))
+    return F.degrees(F.atan2(y, x)), F.degrees(phi), p / F.cos(phi) - n

@@ -142,3 +142,21 @@ def core_points(df: DataFrame, x: str, y: str, key: str, eps: float, min_samples
     b = df.select(F.col(x).alias("x2"), F.col(y).alias("y2"), F.floor(F.col(x) / eps).alias("bx"), F.floor(F.col(y) / eps).alias("by"))
     hit = a.join(b, ["bx", "by"]).where(F.pow(F.col(x) - F.col("x2"), F.lit(2.0)) + F.pow(F.col(y) - F.col("y2"), F.lit(2.0)) <= eps * eps)
     return hit.groupBy(key).agg(F.count("*").alias("neighbours")).withColumn("core", F.col("neighbours") >= min_samples)
+
+
+def dbscan(df: DataFrame, x: str, y: str, key: str, eps: float, min_samples: int = 10) -> DataFrame:
+    """(key, grp): density groups named by their smallest core key; border points join their smallest
+    neighbouring group, and points without a core neighbour get -1."""
+    from pixelframe.operators.graph import components
+
+    core = core_points(df, x, y, key, eps, min_samples).where("core").select(F.col(key).alias("k2"))
+    near = F.array(*[F.struct((F.floor(F.col(x) / eps) + i).alias("bx"), (F.floor(F.col(y) / eps) + j).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    a = df.select(key, x, y).withColumn("b", F.explode(near)).select(key, x, y, "b.bx", "b.by")
+    b = df.select(F.col(key).alias("k2"), F.col(x).alias("x2"), F.col(y).alias("y2"), F.floor(F.col(x) / eps).alias("bx"), F.floor(F.col(y) / eps).alias("by"))
+    b = b.join(core, "k2", "left_semi")
+    close = F.pow(F.col(x) - F.col("x2"), F.lit(2.0)) + F.pow(F.col(y) - F.col("y2"), F.lit(2.0)) <= eps * eps
+    hits = a.join(b, ["bx", "by"]).where(close).select(key, "k2")
+    inside = hits.join(core.select(F.col("k2").alias(key)), key, "left_semi")
+    groups = components(inside.select(F.col(key).cast("long").alias("a"), F.col("k2").cast("long").alias("b")))
+    named = hits.join(groups.select(F.col("node").alias("k2"), "component"), "k2").groupBy(key).agg(F.min("component").alias("grp"))
+    return df.select(key).join(named, key, "left").select(key, F.coalesce("grp", F.lit(-1)).cast("long").alias("grp"))

@@ -43,6 +43,14 @@ def patches(centres: DataFrame, pixels: DataFrame, size: int, value: str) -> Dat
     return whole.select(*centres.columns, F.col("__p.__v").alias("patch"))
 
 
+def windows(centres: DataFrame, pixels: DataFrame, size: int) -> DataFrame:
+    """Pixels of the size x size window of each centre (ox, oy from 0), which starts size // 2 cells before it."""
+    span = F.sequence(F.lit(0), F.lit(size - 1))
+    near = centres.withColumn("ox", F.explode(span)).withColumn("oy", F.explode(span))
+    near = near.withColumns({"px": F.col("px") - size // 2 + F.col("ox"), "py": F.col("py") - size // 2 + F.col("oy")})
+    return near.join(pixels, ["px", "py"])
+
+
 def stack(rasters: list[DataFrame]) -> DataFrame:
     """Co-registered pixel tables joined on (px, py)."""
     return reduce(lambda a, b: a.join(b, ["px", "py"]), rasters)

@@ -74,3 +74,16 @@ def best_fit(df: DataFrame, y: str, p: str) -> DataFrame:
 def residual_bins(df: DataFrame, y: str, p: str, width: float) -> DataFrame:
     """(bin, n): residuals by bins of equal width."""
     return df.groupBy(F.floor((F.col(y) - F.col(p)) / width).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def transformed(df: DataFrame, y: str, p: str, transform, var: Column | None = None) -> DataFrame:
+    """The regression metrics of target-transformed columns; a variance becomes the square of its transformed root."""
+    out = df.withColumns({"__ty": transform.forward(F.col(y)), "__tp": transform.forward(F.col(p))})
+    tv = F.pow(transform.forward(F.sqrt(var)), F.lit(2.0)) if var is not None else None
+    scores = regression(out, "__ty", "__tp", var=tv)
+    return scores.select(*[F.col(c).alias(f"{c}_transformed") for c in scores.columns])
+
+
+def leave_one_out(cross_validate, features: list[str]) -> dict[str, float]:
+    """Mean r2 without each feature; ``cross_validate`` maps a feature list to scores by fold."""
+    return {c: cross_validate([f for f in features if f != c]).agg(F.avg("r2")).first()[0] for c in features}

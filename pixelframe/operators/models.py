@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,7 +187,6 @@ def nearest_regression(queries: DataFrame, train: DataFrame, distance: Column, y
 def forest(df: DataFrame, cols: list[str], y: str, trees: int = 20, depth: int = 5, seed: int = 1):
     """MLlib forest; ``(model, predict)`` where predict adds the mean over trees and their population variance."""
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import RandomForestRegressor
 
     assemble = VectorAssembler(inputCols=cols, outputCol="__x")
@@ -204,7 +202,6 @@ def forest(df: DataFrame, cols: list[str], y: str, trees: int = 20, depth: int =
         var = F.aggregate(t, F.lit(0.0), lambda a, b: a + (b - F.col("Prediction")) * (b - F.col("Prediction"))) / trees
         return out.withColumn("Variance", var).drop("__x", *[f"__t{i}" for i in range(trees)])
 
-    _ = vector_to_array
     return model, predict
 
 
@@ -304,6 +301,42 @@ def linear_shap(df: DataFrame, model: Linear, background: DataFrame | None = Non
     return df.withColumns({f"shap_{c}": (F.col(c).cast("double") - base[c]) * float(b) for c, b in zip(model.cols, model.coef[1:], strict=True)})
 
 
+def ensemble(members: list[Column], interval: float = 0.95) -> dict[str, Column]:
+    """Mean, population variance and normal interval over the predictions of several models."""
+    from pixelframe.functions.scalars import normal_interval
+
+    k = len(members)
+    mean = sum(members[1:], members[0]) / k
+    var = sum(((m - mean) * (m - mean) for m in members), F.lit(0.0)) / k
+    low, high = normal_interval(mean, var, interval)
+    return {"Prediction": mean, "Variance": var, "Lower quantile": low, "Upper quantile": high}
+
+
+def sampled_shap(df: DataFrame, cols: list[str], key: str, predict, background: DataFrame, permutations: int = 4, limit: int = 50, seed: int = 1) -> DataFrame:
+    """Permutation SHAP values: features join a background row one by one in random orders.
+
+    The background is at most ``limit`` rows; every (row, background row, order) is a path of
+    predictions whose steps are averaged.
+    """
+    rows = background.select(*cols).limit(limit).collect()
+    rng = np.random.default_rng(seed)
+    orders = [rng.permutation(len(cols)).tolist() for _ in range(permutations)]
+    steps = []
+    for base in rows:
+        for order in orders:
+            for n in range(len(cols) + 1):
+                on = order[:n]
+                mixed = [F.col(c).cast("double") if i in on else F.lit(float(base[c])) for i, c in enumerate(cols)]
+                added = cols[order[n - 1]] if n else None
+                removed = cols[order[n]] if n < len(cols) else None
+                steps.append(F.struct(*[m.alias(c) for m, c in zip(mixed, cols, strict=True)], F.lit(added).cast("string").alias("added"), F.lit(removed).cast("string").alias("removed")))
+    long = df.select(key, F.explode(F.array(*steps)).alias("s")).select(key, "s.*")
+    scored = predict(long).select(key, "added", "removed", "Prediction")
+    plus = scored.where("added is not null").select(key, F.col("added").alias("feature"), F.col("Prediction").alias("v"))
+    minus = scored.where("removed is not null").select(key, F.col("removed").alias("feature"), (-F.col("Prediction")).alias("v"))
+    return plus.union(minus).groupBy(key, "feature").agg((F.sum("v") / (len(rows) * permutations)).alias("shap"))
+
+
 def permutation_importance(df: DataFrame, cols: list[str], y: str, predict, key: list[str], repeats: int = 10, seed: int = 1) -> DataFrame:
     """(feature, repeat, loss): rise of the mean squared error when a column is shuffled by a hash order."""
     from pixelframe.operators.sampling import chunks
@@ -318,6 +351,3 @@ def permutation_importance(df: DataFrame, cols: list[str], y: str, predict, key:
             mse = predict(a.join(b, "__i")).agg(F.avg(F.pow(F.col(y) - F.col("Prediction"), F.lit(2.0)))).first()[0]
             rows.append((c, r, float(mse - base)))
     return df.sparkSession.createDataFrame(rows, "feature string, repeat int, loss double")
-
-
-_ = pd

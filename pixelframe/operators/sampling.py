@@ -125,3 +125,14 @@ def feature_ranks(scores: DataFrame, lower_is_better: tuple[str, ...] = ("mll",
     sign = F.when(F.col("measure").isin(*lower_is_better), -F.col("score")).otherwise(F.col("score"))
     w = Window.partitionBy("measure").orderBy(sign, "feature")
     return scores.withColumn("rank", F.row_number().over(w).cast("long"))
+
+
+def sample_pixels(pixels: DataFrame, share: float, seed: int = 1) -> DataFrame:
+    """Bernoulli sample by pixel: the same pixels of every raster, all of them from a share of one on."""
+    draw = F.pmod(F.xxhash64("px", "py", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
+    return pixels if share >= 1 else pixels.where(draw < share)
+
+
+def semi_supervised(targets: DataFrame, pixels: DataFrame, share: float, label: str, seed: int = 1) -> DataFrame:
+    """Labelled target rows and a sample of pixels with a null label."""
+    return targets.unionByName(sample_pixels(pixels, share, seed), allowMissingColumns=True) if label in targets.columns else sample_pixels(pixels, share, seed)

@@ -193,3 +193,10 @@ def apply_chain(df: DataFrame, fitted: list[Columns]) -> DataFrame:
     for model in fitted:
         df = model.apply(df)
     return df
+
+
+def pca(df: DataFrame, cols: list[str], n: int | None = None) -> Columns:
+    """Whitened components as pc_1, pc_2, ... with the largest eigenvalue first."""
+    model = whiten(df, cols)
+    keep = list(model.exprs)[::-1][: n or len(cols)]
+    return Columns(cols, {f"pc_{i + 1}": model.exprs[w] for i, w in enumerate(keep)}, model.state)

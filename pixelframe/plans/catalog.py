@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pixelframe.functions import scalars as sc
 from pixelframe.grid import Grid
 from pixelframe.operators import cluster, filters, joins, metrics, models, raster, sampling, stats, transforms
+from pixelframe.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -423,9 +424,6 @@ def jn_leaveout_anti(spark, sf_dir):
     return joins.leave_out(table(spark, sf_dir, "orders"), groups, "o_custkey")[1].select("o_orderkey", "o_custkey")
 
 
-_WI = "CAST(floor((l_partkey - 0.0) / 50.0) AS BIGINT)"
-
-
 @query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(l_partkey / 50.0) AS BIGINT) AS i, CAST(floor(l_suppkey / 25.0) AS BIGINT) AS j FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, i * 4 + j AS cell FROM b WHERE l_partkey > i * 50.0 AND l_partkey < (i + 1) * 50.0 AND l_suppkey > j * 25.0 AND l_suppkey < (j + 1) * 25.0 AND i >= 0 AND i < 4 AND j >= 0 AND j < 4""")
 def jn_within_open(spark, sf_dir):
@@ -751,3 +749,78 @@ def ras_kernel_impute(spark, sf_dir):
 @query(f"WITH {PX} SELECT px * 100.0 + 50.0 AS x, py * 10.0 + 5.0 AS y, round(value, 6) AS value FROM px")
 def ras_centres(spark, sf_dir):
     return r6(raster.pixel_centres(pixels(spark, sf_dir), CELLS))
+
+
+# More sources, sinks and joins ---------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_partkey AS DOUBLE) AS lon, CAST(l_suppkey AS DOUBLE) AS lat, l_extendedprice AS y, 1 AS grp, CASE WHEN l_linenumber % 7 = 0 THEN 1.0 ELSE l_quantity END AS w FROM lineitem")
+def src_targets(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumn("weight", F.when(F.col("l_linenumber") % 7 != 0, F.col("l_quantity")))
+    return files.targets(li, "l_extendedprice", "l_partkey", "l_suppkey", weight="weight").select("l_orderkey", "l_linenumber", "lon", "lat", "y", "grp", "w")
+
+
+@query("SELECT l_quantity AS y_true, l_extendedprice / 2000 AS y_pred, l_orderkey, l_linenumber, round(l_quantity - l_extendedprice / 2000, 6) AS diff FROM lineitem")
+def snk_validation_table(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumn("p", F.col("l_extendedprice") / 2000)
+    return r6(files.validation_table(li, "l_quantity", "p", ["l_orderkey", "l_linenumber"]), ["y_true", "y_pred"])
+
+
+@query(f"WITH {PX}, c AS (SELECT px AS cx, py AS cy FROM px WHERE (px + py) % 4 = 0) SELECT cx, cy, count(*) AS n, round(sum(value), 4) AS total FROM c JOIN px ON px.px BETWEEN cx - 2 AND cx + 1 AND px.py BETWEEN cy - 2 AND cy + 1 GROUP BY 1, 2")
+def jn_windows(spark, sf_dir):
+    px = pixels(spark, sf_dir)
+    c = px.where((F.col("px") + F.col("py")) % 4 == 0).select("px", "py", F.col("px").alias("cx"), F.col("py").alias("cy"))
+    return joins.windows(c, px, 4).groupBy("cx", "cy").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT p_partkey FROM part WHERE (p_size % 10 < 7) AND p_retailprice % 10 < 8 AND p_size > 0")
+def jn_polygon(spark, sf_dir):
+    """Parts whose (size, price) fall into a rectangle given as a ring, half open as the even-odd rule is."""
+    x, y = F.col("p_size") % 10 + 0.5, F.col("p_retailprice") % 10
+    ring = [(0.0, -1.0), (7.0, -1.0), (7.0, 8.0), (0.0, 8.0)]
+    return table(spark, sf_dir, "part").where(joins.inside_polygon(x, y, ring) & (F.col("p_size") > 0)).select("p_partkey")
+
+
+@query("""WITH v AS (SELECT ln(l_quantity + 1) AS y, ln(l_extendedprice / 2000 + 1) AS p FROM lineitem), m AS (SELECT *, avg(y) OVER () AS my FROM v)
+SELECT round(1 - sum((y - p) * (y - p)) / sum((y - my) * (y - my)), 6) AS r2_transformed, round(avg((y - p) * (y - p)), 6) AS mse_transformed FROM m""")
+def mt_transformed(spark, sf_dir):
+    df = _scored(spark, sf_dir)
+    return r6(metrics.transformed(df, "y", "p", sc.log(df, "y", 1.0)).select("r2_transformed", "mse_transformed"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((a + b + c) / 3, 6) AS mean, round(((a - (a + b + c) / 3) * (a - (a + b + c) / 3) + (b - (a + b + c) / 3) * (b - (a + b + c) / 3) + (c - (a + b + c) / 3) * (c - (a + b + c) / 3)) / 3, 6) AS var FROM (SELECT *, l_quantity * 1.0 AS a, l_quantity * 1.5 + l_tax AS b, l_quantity + l_discount AS c FROM lineitem)")
+def md_ensemble(spark, sf_dir):
+    q = F.col("l_quantity")
+    e = models.ensemble([q * 1.0, q * 1.5 + F.col("l_tax"), q + F.col("l_discount")])
+    return r6(table(spark, sf_dir, "lineitem").select(*KEY, e["Prediction"].alias("mean"), e["Variance"].alias("var")))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS mean, CAST(grouping(l_returnflag) * 2 + grouping(l_linestatus) AS BIGINT) AS level FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def ext_cube_profile(spark, sf_dir):
+    """Extension: class profiles at all levels of two classes."""
+    li = table(spark, sf_dir, "lineitem")
+    return r6(li.cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.avg("l_quantity").alias("mean"), F.grouping_id().cast("long").alias("level")))
+
+
+@query("SELECT s_suppkey, CAST(130 + s_suppkey % 20 AS DOUBLE) AS lon, CAST(-35 + s_suppkey % 17 AS DOUBLE) AS lat FROM supplier")
+def sc_geodetic_round_trip(spark, sf_dir):
+    here = (130 + F.col("s_suppkey") % 20, -35 + F.col("s_suppkey") % 17, F.col("s_acctbal"))
+    lon, lat, _ = sc.ecef_to_geodetic(*sc.geodetic_to_ecef(*here))
+    return r6(table(spark, sf_dir, "supplier").select("s_suppkey", lon.alias("lon"), lat.alias("lat")))
+
+
+@query()
+def cl_dbscan(spark, sf_dir):
+    s = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 211).cast("double").alias("x"), (F.col("c_custkey") % 97).cast("double").alias("y"))
+    return cluster.dbscan(s, "x", "y", "c_custkey", 6.0)
+
+
+@query()
+def tr_pca(spark, sf_dir):
+    df = filters.complete(covariates(spark, sf_dir), COLS)
+    return r6(transforms.pca(df, COLS).apply(df).select(*KEY, "pc_1", "pc_2", "pc_3"))
+
+
+@query()
+def flt_sample_pixels(spark, sf_dir):
+    return r6(sampling.sample_pixels(pixels(spark, sf_dir), 0.5))

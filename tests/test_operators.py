@@ -330,3 +330,46 @@ def test_streaming(spark, tmp_path):
     got = streaming.run_to_end(streaming.windowed(events), "w_events", "complete")
     total = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
     assert got.agg(F.sum("n")).first()[0] == total
+
+
+def test_components(spark):
+    from pixelframe.operators.graph import components
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 51), (60, 60), (3, None)], "a long, b long")
+    got = {r["node"]: r["component"] for r in components(edges).collect()}
+    assert got == {**{i: 0 for i in range(21)}, 50: 50, 51: 50, 60: 60}
+
+
+def test_dbscan_against_brute_force(spark):
+    rng = np.random.default_rng(1)
+    pts = np.vstack([rng.normal(0, 0.5, (40, 2)), rng.normal(8, 0.5, (30, 2)), [[4.0, 4.0], [20.0, 20.0]]])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(pts)], "k long, x double, y double")
+    got = {r["k"]: r["grp"] for r in cluster.dbscan(df, "x", "y", "k", 1.0, 5).collect()}
+    near = ((pts[:, None] - pts) ** 2).sum(axis=2) <= 1.0
+    core = near.sum(axis=1) >= 5
+    label = {i: i for i in range(len(pts)) if core[i]}
+    changed = True
+    while changed:
+        changed = False
+        for i in label:
+            low = min(label[j] for j in label if near[i, j])
+            changed |= low < label[i]
+            label[i] = low
+    want = {i: label[i] if i in label else min([label[j] for j in label if near[i, j]], default=-1) for i in range(len(pts))}
+    assert got == want
+
+
+def test_sampled_shap_of_a_linear_model(spark):
+    df = spark.createDataFrame([(i, float(i), float(i % 3), 2.0 * i - 3.0 * (i % 3)) for i in range(30)], "id int, a double, b double, y double")
+    m = models.ols(df, ["a", "b"], "y")
+    exact = {r["id"]: r for r in models.linear_shap(df, m).collect()}
+    for r in models.sampled_shap(df.where("id < 3"), ["a", "b"], "id", m.predict, df, permutations=2).collect():
+        assert math.isclose(r["shap"], exact[r["id"]][f"shap_{r['feature']}"], abs_tol=1e-6)
+
+
+def test_pca_order(spark):
+    df = spark.range(40).select((F.col("id") * 5.0).alias("a"), (F.col("id") % 4).cast("double").alias("b"))
+    model = transforms.pca(df, ["a", "b"])
+    assert list(model.exprs) == ["pc_1", "pc_2"]
+    out = model.apply(df.withColumn("copy", F.col("a")))
+    assert abs(out.agg(F.corr("pc_1", "copy")).first()[0]) > 0.99
