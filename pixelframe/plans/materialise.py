@@ -7,13 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+_own: dict[str, str] = {}
+
 
 def shared_folder(spark) -> str:
     """The configured folder; one of our own only where none is set, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _own.setdefault("path", "") or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        _own["path"] = path
     return path.rstrip("/")
 
 
