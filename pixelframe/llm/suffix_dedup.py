@@ -39,7 +39,7 @@ from pixelframe.llm.textscan import _BYTE_VALUE, mix64, slices, string_buffers
 #: Bytes of a shared string, of a hashed window, most string starts in a fragment, text scanned at once.
 LENGTH, GRAM, STARTS, SLICE = 50, 20, 32, 1_000_000
 #: Kinds of fragments of a hash in one bucket.
-KINDS = 256
+KINDS = 1024
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
