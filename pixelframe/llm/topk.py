@@ -1,13 +1,12 @@
 """Exact BM25 top-k by block-max WAND over document shards.
 
-Documents are dealt to shards of bounded size; a task builds the inverted index of its
+Documents are dealt to shards of bounded size; a task builds the inverted index of a
 shard (postings with impacts, the largest impact of each list and, for long lists, of
-each block of documents) and streams the queries past it.  A query is pruned as in
+each block of documents), streams the queries past it, and starts its next shard with the thresholds reached.  A query is pruned as in
 block-max WAND, with arrays in place of cursors: lists whose upper bounds together stay
 below the k-th best score cannot lift a document by themselves, so only documents of the
 other lists (from the pivot on) are looked at; those are bounded by their partial score
-plus the block maxima of the lists left out, and scored in full in the order of that bound until it
-falls below the k-th best score.  Document frequencies, the number of documents and the
+plus the block maxima of the lists left out, and what still reaches the k-th best score is scored in full.  Document frequencies, the number of documents and the
 mean length are those of the whole corpus, so scores of different shards compare exactly and
 the best k of all shards are the best k.
 
@@ -36,7 +35,10 @@ from pixelframe.llm import scratch
 from pixelframe.llm.textscan import Words, slices, string_buffers
 
 K1, B = 1.2, 0.75
-SHARD_DOCS, BLOCK, LONG = 40_000, 128, 256
+#: Documents whose index a task holds at a time, such shards one after another in a task, documents of a
+#: block, postings of a list with block maxima, lists that are also held as a dense matrix, queries whose best
+#: results a task remembers between shards.
+SHARD_DOCS, GROUP, BLOCK, LONG, DENSE, REMEMBER = 20_000, 2, 128, 256, 512, 200_000
 #: What single precision may lack in a bound.
 SLACK = 1e-2
 
@@ -92,6 +94,15 @@ class Shard:
         owner = np.repeat(np.arange(len(self.terms)), df)
         inside = self.long[owner] >= 0
         np.maximum.at(self.block_most.reshape(-1), self.long[owner[inside]] * self.blocks + self.doc[inside] // BLOCK, self.impact[inside])
+        # The longest lists by document: what they add to a few documents is one small product.
+        top = np.argsort(-df, kind="stable")[:DENSE]
+        top = top[df[top] * 20 >= self.n]
+        self.column = np.full(len(self.terms), -1)
+        self.column[top] = np.arange(len(top))
+        self.dense = np.zeros((self.n, len(top)), np.float32)
+        for j, x in enumerate(top):
+            at = slice(self.start[x], self.start[x + 1])
+            self.dense[self.doc[at], j] = self.impact[at]
         self.weight = np.zeros(len(self.terms))
         return self
 
@@ -104,46 +115,48 @@ class Shard:
         value = self.weight[self.fwd[at]] * tf * (K1 + 1) / (tf + np.repeat(self.soft[docs], size))
         return np.round(np.bincount(np.repeat(np.arange(len(docs)), size), value, len(docs)), 6)
 
-    def search(self, own: int, terms: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(document numbers, scores) of the best k other than ``own``."""
+    def search(self, own: int, terms: np.ndarray, weight: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(document numbers, scores) of the best k other than ``own`` that reach ``floor``."""
         at = np.searchsorted(self.terms, terms)
         here = at < len(self.terms)
         here[here] = self.terms[at[here]] == terms[here]
         t, w = at[here], weight[here]
+        nothing = np.zeros(0, np.int64), np.zeros(0)
         if not len(t):
-            return np.zeros(0, np.int64), np.zeros(0)
+            return nothing
         self.weight[t] = w
         df = self.start[t + 1] - self.start[t]
         bound = w * self.most[t]
-        # A first threshold from the documents of the rarest terms.
-        rare = np.argsort(df, kind="stable")
-        rare = rare[: max(1, int(np.searchsorted(np.cumsum(df[rare]), 4000)))]
-        partial = self._sum(t[rare], w[rare])
-        some = np.argpartition(-partial, min(4 * k, self.n - 1))[: 4 * k + 1]
-        some = some[partial[some] > 0]
-        ids, scores = some, self._full(some)
-        best_d, best_s = self._best(own, ids, scores, k)
-        # Lists left of the pivot: cheap in bound for their length, together below the threshold.
-        floor = best_s[-1] if len(best_s) == k else 0.0
+        if not floor:  # a first threshold from the documents that the rarest terms favour
+            rare = np.argsort(df, kind="stable")
+            rare = rare[: max(1, int(np.searchsorted(np.cumsum(df[rare]), 4000)))]
+            partial = self._sum(t[rare], w[rare])
+            some = np.argpartition(-partial, min(k + 1, self.n - 1))[: k + 2]
+            _, scores = self._best(own, some, self._full(some), k)
+            floor = float(scores[-1]) if len(scores) == k else 0.0
+        # Lists left of the pivot: small in bound for their length, together below the threshold.
         order = np.argsort(bound / df)
         weak = np.cumsum(bound[order]) < floor - SLACK
         light, heavy = order[weak], order[~weak]
         partial = self._sum(t[heavy], w[heavy])
-        candidates = np.flatnonzero(partial > 0)
+        docs = np.flatnonzero((partial > 0) & (partial >= floor - bound[light].sum() - SLACK))
         is_long = self.long[t[light]] >= 0
         by_block = w[light][is_long].astype(np.float32) @ self.block_most[self.long[t[light]][is_long]] if is_long.any() else np.zeros(self.blocks)
-        upper = partial[candidates] + by_block[candidates // BLOCK] + bound[light][~is_long].sum() + SLACK
-        keep = upper >= floor
-        candidates, upper = candidates[keep], upper[keep]
-        rank = np.argsort(-upper, kind="stable")
-        step, i = 256, 0
-        best_d, best_s = best_d[:0], best_s[:0]
-        while i < len(rank) and (len(best_s) < k or upper[rank[i]] >= best_s[-1]):
-            some = candidates[rank[i : i + step]]
-            best_d, best_s = self._best(own, np.concatenate([best_d, some]), np.concatenate([best_s, self._full(some)]), k)
-            i += step
+        docs = docs[partial[docs] + by_block[docs // BLOCK] + bound[light][~is_long].sum() + SLACK >= floor]
+        # What the light lists add to the documents that are left, in single precision.
+        score = partial[docs]
+        column = self.column[t[light]]
+        if (column >= 0).any():
+            score = score + self.dense[docs[:, None], column[column >= 0]] @ w[light][column >= 0].astype(np.float32)
+        if (column < 0).any():
+            score = score + self._sum(t[light][column < 0], w[light][column < 0])[docs]
+        others = score[self.ids[docs] != own]
+        if len(others) > k:
+            floor = max(floor, float(np.partition(others, -k)[-k]) - SLACK)
+        docs = docs[score >= floor - SLACK]
+        best = self._best(own, docs, self._full(docs), k)
         self.weight[t] = 0
-        return best_d, best_s
+        return best
 
     def _sum(self, t: np.ndarray, w: np.ndarray) -> np.ndarray:
         a, b = self.start[t], self.start[t + 1]
@@ -220,12 +233,22 @@ def search(docs: DataFrame, queries: Column, k: int = 10, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         current, shard, ready = None, Shard(mean), False
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def found() -> pa.RecordBatch:
+            ids, scores = (np.concatenate([v[i] for v in best.values()]) for i in (0, 1))
+            asked = np.repeat(np.array(list(best), np.int64), [len(v[0]) for v in best.values()])
+            best.clear()
+            return pa.RecordBatch.from_arrays([pa.array(asked), pa.array(ids.astype(np.int64)), pa.array(scores)], names=["query_id", "id", "score"])
+
         for batch in batches:
             which, role, ids = (np.asarray(batch.column(c)) for c in (0, 1, 2))
-            at, out = 0, []
+            at = 0
             while at < batch.num_rows:
                 stop = at + int(np.argmax(np.append((which[at:] != which[at]) | (role[at:] != role[at]), True)))
                 if which[at] != current:
+                    if best and (current // GROUP != which[at] // GROUP or len(best) > REMEMBER):
+                        yield found()
                     current, shard, ready = which[at], Shard(mean), False
                 if role[at] == 0:
                     texts = pa.array([unpack(z) for z in batch.column(3).slice(at, stop - at).to_pylist()], pa.large_binary())
@@ -234,17 +257,20 @@ def search(docs: DataFrame, queries: Column, k: int = 10, id_col: str = "doc_id"
                 else:
                     if not ready:
                         ready = bool(shard.close())
-                    for i in range(at, stop):
-                        if shard.n:
-                            terms = np.asarray(batch.column(4)[i].values).view(np.uint64)
-                            weight = np.asarray(batch.column(5)[i].values)
-                            d, s = shard.search(int(ids[i]), terms, weight, k)
-                            out.append((np.full(len(d), ids[i]), shard.ids[d], s))
+                    for i in range(at, stop) if shard.n else ():
+                        terms = np.asarray(batch.column(4)[i].values).view(np.uint64)
+                        weight = np.asarray(batch.column(5)[i].values)
+                        known = best.get(int(ids[i]), (np.zeros(0, np.int64), np.zeros(0)))
+                        d, s = shard.search(int(ids[i]), terms, weight, k, float(known[1][-1]) if len(known[1]) == k else 0.0)
+                        d, s = np.concatenate([known[0], shard.ids[d]]), np.concatenate([known[1], s])
+                        order = np.lexsort((d, -s))[:k]
+                        best[int(ids[i])] = d[order], s[order]
                 at = stop
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "id", "score"])
+        if best:
+            yield found()
 
-    cells = rows.union(ask).repartition(scratch.partitions(spark, shards, 1), "shard").sortWithinPartitions("shard", "role")
+    group = F.floor(F.col("shard") / GROUP)
+    cells = rows.union(ask).repartition(scratch.partitions(spark, shards, GROUP), group).sortWithinPartitions("shard", "role")
     found = cells.mapInArrow(run, "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
