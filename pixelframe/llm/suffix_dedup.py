@@ -38,8 +38,13 @@ from pixelframe.llm.textscan import _BYTE_VALUE, mix64, slices, string_buffers
 
 #: Bytes of a shared string, of a hashed window, most string starts in a fragment, text scanned at once.
 LENGTH, GRAM, STARTS, SLICE = 50, 20, 32, 1_000_000
+#: Bytes of packed texts that are unpacked at once.
+PACKED = 1_000_000
 #: Kinds of fragments of a hash in one bucket.
 KINDS = 1024
+#: Parts that the strings of split buckets are packed for.
+MEETINGS = 256
+_MEET = np.dtype([("string", "S50"), ("doc", "<i8"), ("run", "<i8")])
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -201,7 +206,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, z, items) to (bucket, split, doc, starts, piece): the bytes of the fragments."""
     unpack = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
+    for batch in slices(batches, "z", PACKED):
         rows = []
         for doc, z, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             text = unpack(z)
@@ -241,13 +246,18 @@ def _sorted_bucket(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets of a partition to (doc, run, string): covered where string is null, else to meet other buckets."""
+    """Buckets of a partition to (doc, run, part, packed): covered where part is null.
+
+    The earliest places of the strings of split buckets are packed by a digest of the string, a
+    row for each part, to meet those of the other buckets.
+    """
     got = pa.Table.from_batches([b for b in batches if b.num_rows] or [], schema=_PIECES)
     if not got.num_rows:
         return
     got = got.sort_by("bucket").combine_chunks()
     bucket = np.asarray(got.column("bucket"))
     data, offsets = string_buffers(got.column("piece").chunk(0))
+    meets = []
     edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
     doc, split = np.asarray(got.column("doc")), np.asarray(got.column("split"))
     lists = got.column("starts").chunk(0)
@@ -275,14 +285,25 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         over = np.flatnonzero(d > low)
         which, where = all_places(at[over], piece[over], offsets[a])
         cd, cr = _runs(d[over][which], where)
-        yield pa.RecordBatch.from_arrays([pa.array(cd), pa.array(cr), pa.nulls(len(cd), pa.binary())], names=["doc", "run", "string"])
+        yield pa.RecordBatch.from_arrays([pa.array(cd), pa.array(cr), pa.nulls(len(cd), pa.int32()), pa.nulls(len(cd), pa.binary())], names=_SORTED)
         meet = np.flatnonzero((d == low) & split[piece])
         if len(meet):
             which, where = all_places(at[meet], piece[meet], offsets[a])
-            strings = [part[k : k + LENGTH].tobytes() for k in at[meet][which]]
-            yield pa.RecordBatch.from_arrays([pa.array(d[meet][which]), pa.array(_code(where, 1)), pa.array(strings, pa.binary())], names=["doc", "run", "string"])
-
-
+            string = part[at[meet][which][:, None] + np.arange(LENGTH)]
+            row = np.empty(len(which), _MEET)
+            row["string"], row["doc"], row["run"] = string.reshape(-1).view("S50"), d[meet][which], _code(where, 1)
+            meets.append((mix64(string.astype(np.uint64) @ mix64(np.arange(LENGTH) + 1)) % np.uint64(MEETINGS), row))
+    if meets:
+        target, row = (np.concatenate(x) for x in zip(*meets, strict=True))
+        order = np.argsort(target, kind="stable")
+        target, row = target[order], row[order]
+        head = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
+        packed = [row[a:b].tobytes() for a, b in zip(head, [*head[1:], len(row)], strict=True)]
+        none = pa.nulls(len(head), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(target[head].astype(np.int32)), pa.array(packed, pa.binary())], names=_SORTED)
+
+
+_SORTED = ["doc", "run", "part", "packed"]
 _PIECES = pa.schema([("bucket", pa.int64()), ("split", pa.bool_()), ("doc", pa.int64()), ("starts", pa.list_(pa.int64())), ("piece", pa.binary())])
 
 
@@ -291,8 +312,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     got = [b for b in batches if b.num_rows]
     if not got:
         return
-    number = pa.chunked_array([b.column(2) for b in got]).combine_chunks().dictionary_encode().indices.to_numpy()
-    doc, code = _column(got, "doc"), _column(got, "run")
+    row = np.concatenate([np.frombuffer(x.as_py(), _MEET) for b in got for x in b.column(3)])
+    _, number = np.unique(row["string"], return_inverse=True)
+    doc, code = row["doc"], row["run"]
     low = np.full(number.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(low, number, doc)
     covered = doc > low[number]
@@ -325,11 +347,11 @@ def covered_runs(docs: DataFrame, total: int, packed: DataFrame) -> DataFrame:
     n = wanted.count()
     items = wanted.groupBy("doc").agg(F.collect_list(F.struct("bucket", "split", "run", "starts")).alias("items"))
     pieces = packed.select("doc", "z").join(items, "doc").mapInArrow(_fetch, "bucket long, split boolean, doc long, starts array<long>, piece binary")
-    second = pieces.repartition(scratch.partitions(spark, n, 60_000), "bucket").mapInArrow(_sort, "doc long, run long, string binary")
+    second = pieces.repartition(scratch.partitions(spark, n, 60_000), "bucket").mapInArrow(_sort, "doc long, run long, part int, packed binary")
     second = scratch.table(second, "sorted")
-    third = second.where("string is not null").repartition(scratch.partitions(spark, n / 10, 100_000), "string").mapInArrow(_meet, "doc long, run long")
+    third = second.where("part is not null").repartition(scratch.partitions(spark, n / 10, 100_000), "part").mapInArrow(_meet, "doc long, run long")
     done = first.where("bucket is null").select("doc", "run")
-    return done.union(second.where("string is null").select("doc", "run")).union(third)
+    return done.union(second.where("part is null").select("doc", "run")).union(third)
 
 
 def _pack(docs: DataFrame) -> DataFrame:
@@ -338,7 +360,7 @@ def _pack(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in slices(batches, "__text", 4_000_000):
+        for batch in slices(batches, "__text"):
             z = pa.array([pack(t.encode()) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], z], names=[*batch.schema.names[:-1], "z"])
 
@@ -361,7 +383,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in slices(batches, "z", PACKED):
             sizes, removed, spans, digests, texts = [], [], [], [], []
             for packed, found in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True):
                 raw = unpack(packed.as_py())
