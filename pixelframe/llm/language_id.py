@@ -97,8 +97,8 @@ def sample_labelled(docs: DataFrame, text_col: str, lang_col: str, order: Column
     return [(r["t"] or "", r["l"]) for r in picked.collect()]
 
 
-def predict(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """id and ``keep`` columns with ``lang_pred``, ``score`` and ``switches`` (changes of the likeliest word label)."""
+def predict(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
+    """id and ``keep`` columns (and ``__text``) with ``lang_pred``, ``score`` and ``switches`` (changes of the likeliest word label)."""
     keep = [c for c in (keep or []) if c not in (id_col, "lang_pred", "score", "switches")]
     small = docs.select(id_col, *keep, F.col(text_col).cast("string").alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(crf)
@@ -127,12 +127,13 @@ def predict(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", text_col:
                 label = np.where(lettered, mean.argmax(axis=1), -1)
                 score = np.where(lettered, mean.max(axis=1), 0.0)
             names = np.array([*(model.labels if model else []), UNDETERMINED], object)
+            passed = batch.num_columns - (not with_text)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(names[label], pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(switches)],
-                names=[*batch.schema.names[:-1], "lang_pred", "score", "switches"],
+                [*batch.columns[:passed], pa.array(names[label], pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(switches)],
+                names=[*batch.schema.names[:passed], "lang_pred", "score", "switches"],
             )
 
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in small.schema.fields[:-1])
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in small.schema.fields[: len(small.columns) - (not with_text)])
     return small.mapInArrow(run, f"{head}, lang_pred string, score double, switches long")
 
 

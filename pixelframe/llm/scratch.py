@@ -2,34 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelframe.plans.materialise import materialise, shared_folder
+
 #: Rows up to which a counted table is broadcast; beyond it an ordinary join is planned.
 BROADCAST_ROWS = 20_000
 
 
-def folder(spark: SparkSession) -> str:
-    """The shared folder; only where none is set (local tests) a folder of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` and read it back: lineage ends here and a lost executor costs nothing that was written."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return materialise(df, name)
 
 
 def partitions(spark: SparkSession, rows: float, per_task: int) -> int:
