@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def regression(df: DataFrame, y: str, p: str, weight: Column | None = None, var: Column | None = None, by: list[str] | None = None) -> DataFrame:
-    """r2, expvar, mse (weighted), smse, lins_ccc, mae, rmse, max_error, and mll when a variance is given.
+def regression(df: DataFrame, y: str, p: str, weight: Column | None = None, var: Column | None = None, by: list[str] | None = None, extra: list[Column] | None = None) -> DataFrame:
+    """r2, expvar, mse (weighted), smse, lins_ccc, mae, rmse, max_error, mll when a variance is given, and ``extra`` aggregates.
 
     Complete rows only; sums of squares come from moments, so one pass is enough.
     """
@@ -35,7 +35,7 @@ def regression(df: DataFrame, y: str, p: str, weight: Column | None = None, var:
     ]
     if var is not None:
         aggs.append(F.avg(F.lit(0.5) * F.ln(F.lit(2 * math.pi) * var) + e * e / (2 * var)).alias("mll"))
-    return cols.groupBy(*by).agg(*aggs)
+    return cols.groupBy(*by).agg(*aggs, *(extra or []))
 
 
 def classification(df: DataFrame, y: str, p: str, proba: list[str], clip: float = 1e-5) -> DataFrame:

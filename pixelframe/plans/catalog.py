@@ -86,8 +86,8 @@ def learn_ols_cv(spark, sf_dir):
     fitted = transforms.chain(points, ["q"], ["mean", "standardise"])
     x = transforms.apply_chain(points, fitted).withColumn("fold", F.col("l_orderkey") % 5)
     out = models.crossval_ols(x, ["q"], "y", "fold")
-    scores = metrics.regression(out, "y", "prediction", by=["fold"])
-    return r6(scores.join(out.groupBy("fold").agg(F.count("*").alias("n")), "fold").select("fold", "r2", "n"))
+    scores = metrics.regression(out, "y", "prediction", by=["fold"], extra=[F.count("*").alias("n")])
+    return r6(scores.select("fold", "r2", "n"))
 
 
 # Aggregates ----------------------------------------------------------------------------------
