@@ -655,7 +655,7 @@ def md_krige(spark, sf_dir):
     """Ordinary kriging of supplier balances onto customer places."""
     s = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 37).cast("double").alias("x"), (F.col("s_suppkey") % 23).cast("double").alias("y"), "s_acctbal")
     c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 37).cast("double").alias("x"), (F.col("c_custkey") % 23).cast("double").alias("y"))
-    return models.Kriging(s.orderBy("x", "y", "s_acctbal").limit(1000), "x", "y", "s_acctbal").predict(c, "x", "y")
+    return models.krige(s, c, "x", "y", "s_acctbal")
 
 
 # Metrics -------------------------------------------------------------------------------------
