@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,27 +88,27 @@ def _http(body: bytes) -> tuple[bytes, bytes, dict[str, str]]:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("content")
+    return spark.read.format("binaryFile").load(path).select("content", F.substring_index("path", "/", -1).alias("file"))
 
 
 def read_arc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """Records of ARC files: page_id, url, ip, captured, digest, payload_bytes and with ``with_payload`` head and payload."""
+    """Records of ARC files: page_id, url, ip, captured, digest, payload_bytes, at (file and number) and with ``with_payload`` head and payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
+            for content, file in zip(*batch.columns, strict=True):
                 rows = []
-                for fields, body in parse_arc(zlib.decompress(content.as_py(), 31)):
+                for k, (fields, body) in enumerate(parse_arc(zlib.decompress(content.as_py(), 31))):
                     head, payload, http = _http(body)
                     page = int(http["x-page-id"]) if "x-page-id" in http else None
-                    row = [page, fields["URL"], fields["IP-address"], fields["Archive-date"], hashlib.sha256(payload).hexdigest(), len(payload)]
+                    row = [page, fields["URL"], fields["IP-address"], fields["Archive-date"], hashlib.sha256(payload).hexdigest(), len(payload), f"{file} {k}"]
                     rows.append([*row, head, payload] if with_payload else row)
                 if rows:
-                    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+                    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
                     columns = [pa.array(c, pa.binary()).cast(t) if isinstance(c[0], bytes) else pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "page_id long, url string, ip string, captured string, digest string, payload_bytes long" + ", head string, payload string" * with_payload
+    schema = "page_id long, url string, ip string, captured string, digest string, payload_bytes long, at string" + ", head string, payload string" * with_payload
     names = [x.split()[0] for x in schema.split(", ")]
     return _files(spark, path).mapInArrow(run, schema)
 
@@ -119,6 +119,11 @@ def _record_id(page: Column, salt: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-8"), F.substring(h, 13, 3), F.lit("-8"), F.substring(h, 16, 1), F.substring(s, 1, 2), F.lit("-"), F.substring(s, 3, 12), F.lit(">"))
 
 
+def _identifier(c: Callable[[str], Column]) -> Column:
+    """The identifier of the ARC record whose columns ``c`` gives; no two records of an archive share one."""
+    return _record_id(F.coalesce(c("page_id"), F.lit(-1)), F.concat_ws(" ", c("url"), c("captured"), c("at")))
+
+
 def _page_of(record_id: str) -> int:
     h = re.search(r"urn:uuid:([0-9a-f-]{36})", record_id)[1].replace("-", "")
     value = int(h[:12] + h[13:16] + h[17], 16)
@@ -132,23 +137,23 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     it.  Only payloads that occur more than once are joined back, by digest.
     """
     short = read_arc(spark, arc_path, with_payload=False).where(F.col("payload_bytes") >= MIN_REVISIT)
-    firsts = short.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
+    known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "captured", "at"))
+    firsts = short.groupBy("digest").agg(F.min(known).alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
     firsts = scratch.table(firsts, "payloads")
     rows = scratch.join_counted(read_arc(spark, arc_path), firsts, ["digest"], "left", firsts.count())
-    again = F.coalesce(F.col("page_id") > F.col("first"), F.lit(False))
+    again = F.coalesce(F.col("page_id") > F.col("first.page_id"), F.lit(False))
     iso = F.regexp_replace("captured", r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", "$1-$2-$3T$4:$5:$6Z")
-    salt = F.col("digest")
     body = F.when(again, F.col("head")).otherwise(F.concat("head", "payload"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     record = F.concat(
         F.lit("WARC/1.0\r\n"),
         line("WARC-Type", F.when(again, "revisit").otherwise("response")),
-        line("WARC-Record-ID", _record_id(F.coalesce("page_id", F.lit(-1)), F.concat_ws(" ", "url", "captured"))),
+        line("WARC-Record-ID", _identifier(F.col)),
         line("WARC-Date", iso),
         line("WARC-Target-URI", F.col("url")),
         line("WARC-IP-Address", F.col("ip")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")),
-        F.when(again, F.concat(line("WARC-Refers-To", _record_id(F.col("first"), salt)), line("WARC-Profile", F.lit(PROFILE)))).otherwise(""),
+        F.when(again, F.concat(line("WARC-Refers-To", _identifier(lambda name: F.col("first")[name])), line("WARC-Profile", F.lit(PROFILE)))).otherwise(""),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", _bytes(body)),
         F.lit("\r\n"),

@@ -102,6 +102,22 @@ def test_archives_round_trip(spark):
     assert got == sorted(want)
 
 
+def test_revisits_refer_to_written_responses(spark):
+    long = "x" * 120
+    rows = [(5, "http://a/ b", long), (2, None, long), (9, "u", long), (2, "u", long), (2, "u", long), (None, "u", long), (None, "u", long), (None, "u", "tiny")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    arc, out = warc.scratch.new_path(spark, "arc"), warc.scratch.new_path(spark, "warc")
+    warc.write_arc(df, arc)
+    warc.convert(spark, arc, out)
+    records = [h for r in warc._files(spark, out).collect() for h, _ in warc.parse_warc(warc.zlib.decompress(bytes(r["content"]), 31))]
+    ids = [h["warc-record-id"] for h in records]
+    assert len(set(ids)) == len(ids) == len(rows)
+    responses = {h["warc-record-id"]: h["warc-payload-digest"] for h in records if h["warc-type"] == "response"}
+    revisits = [h for h in records if h["warc-type"] == "revisit"]
+    assert len(revisits) == 2
+    assert all(responses[h["warc-refers-to"]] == h["warc-payload-digest"] for h in revisits)
+
+
 def test_queries_match_sql(spark):
     con = duckdb.connect()
     for t in ("documents", "pages"):
