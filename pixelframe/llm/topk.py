@@ -1,18 +1,26 @@
 """Exact BM25 top-k by block-max WAND over document shards.
 
-Documents are dealt to shards of bounded size; a task builds the inverted index of a
-shard (postings with impacts, the largest impact of each list and, for long lists, of
-each block of documents), streams the queries past it, and starts its next shard with the thresholds reached.  A query is pruned as in
-block-max WAND, with arrays in place of cursors: lists whose upper bounds together stay
-below the k-th best score cannot lift a document by themselves, so only documents of the
-other lists (from the pivot on) are looked at; those are bounded by their partial score
-plus the block maxima of the lists left out, and what still reaches the k-th best score is scored in full.  Document frequencies, the number of documents and the
-mean length are those of the whole corpus, so scores of different shards compare exactly and
-the best k of all shards are the best k.
+The queries are packed once: packets of bounded size hold the distinct terms of some queries
+with their weights, and each query as numbers into them.  Rounds of packets of at most
+``ROUND_BYTES`` are broadcast, and every task runs over its documents shard by shard: it builds
+the inverted index of a shard (postings with impacts, and the largest impact of each list in
+each block of documents), passes all queries of the round, and takes the thresholds they have
+reached on to its next shard.  The best k of all tasks are merged; document frequencies, the
+number of documents and the mean length are those of the whole corpus, so scores compare exactly.
+
+Blocks are runs of documents that all lists share, and the cursor of a query stands on blocks.
+The lists of rare terms, right of the pivot, are walked.  Those of frequent terms are not opened:
+a block is bounded by the best sum of the rare lists in it plus the block maxima of the frequent
+ones.  Where that stays below the query's k-th best score the cursor skips the block; where not,
+the block is opened and its documents are scored.  A query without a threshold opens its
+most promising block first.  Documents of a shard are ordered by leading word, length and a
+minimum hash of their terms, which brings alike documents into one block and so lowers the
+bounds of all other blocks.
 
 A term is a run of ASCII letters (lower-cased) and non-ASCII characters, told apart by a
 64-bit hash; each distinct term of a query counts once.  score = sum of
 ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)).
+Single precision serves for bounds only; what may be among the best is scored in double precision.
 Scores are rounded to 6 decimals and ties go to the smaller id.
 
 Defined results: a query's own id is never a result; documents without a common term are
@@ -27,20 +35,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelframe.llm import scratch
-from pixelframe.llm.textscan import Words, slices, string_buffers
+from pixelframe.llm.textscan import Words, mix64, slices, string_buffers
 
 K1, B = 1.2, 0.75
-#: Documents whose index a task holds at a time, such shards one after another in a task, documents of a
-#: block, postings of a list with block maxima, lists that are also held as a dense matrix, queries whose best
-#: results a task remembers between shards.
-SHARD_DOCS, GROUP, BLOCK, LONG, DENSE, REMEMBER = 20_000, 2, 128, 256, 512, 200_000
-#: What single precision may lack in a bound.
-SLACK = 1e-2
+#: Documents and bytes of text of a shard, documents of a block, documents of a task.
+SHARD_DOCS, SHARD_BYTES, BLOCK, TASK_DOCS = 8192, 1 << 25, 64, 43_000
+#: Lists held by block (the longest ones, in at least this share of a shard's documents).
+FREQUENT, FREQUENT_SHARE = 2048, 0.01
+#: Term occurrences of a packet, bytes of packets that are broadcast at a time.
+PACKET_TERMS, ROUND_BYTES = 500_000, 1 << 25
+#: Queries and rare postings that are looked at together.
+BATCH, BATCH_POSTINGS = 256, 3_000_000
 
 
 def postings(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,12 +62,55 @@ def postings(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[at], h[at], np.diff(np.append(at, len(h)))
 
 
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start[i], start[i] + 1, ... (size[i] of them) of all i."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+class Queries:
+    """Queries as term numbers; ``best`` holds what each has found, worst places filled with minus infinity."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int):
+        self.ids, self.k = ids, k
+        self.vocabulary, first, self.term = np.unique(terms, return_index=True, return_inverse=True)
+        self.weight = weights[first]
+        self.term = self.term.astype(np.int32)
+        self.start = np.append(0, np.cumsum(sizes))
+        self.best_score = np.full((len(ids), k), -np.inf)
+        self.best_id = np.zeros((len(ids), k), np.int64)
+        self.opened = self.blocks = 0
+
+    @classmethod
+    def unpack(cls, packets: list[tuple[bytes, bytes, bytes, bytes, bytes]], k: int) -> Queries:
+        """From packets of (ids, sizes, vocabulary, weights, term numbers)."""
+        kinds = (np.int64, np.int32, np.uint64, np.float64, np.int32)
+        ids, sizes, terms, weights = [], [], [], []
+        for packet in packets:
+            i, s, v, w, t = (np.frombuffer(x, kind) for x, kind in zip(packet, kinds, strict=True))
+            ids.append(i)
+            sizes.append(s)
+            terms.append(v[t])
+            weights.append(w[t])
+        return cls(*(np.concatenate(x) for x in (ids, sizes, terms, weights)), k)
+
+    def take(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Merge some new results."""
+        asked = np.unique(query)
+        q = np.concatenate([np.repeat(asked, self.k), query])
+        i = np.concatenate([self.best_id[asked].ravel(), ids])
+        s = np.concatenate([self.best_score[asked].ravel(), scores])
+        order = np.lexsort((i, -s, q))
+        nth = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+        order = order[nth < self.k]
+        self.best_id[asked], self.best_score[asked] = i[order].reshape(-1, self.k), s[order].reshape(-1, self.k)
+
+
 class Shard:
-    """Index of the documents that were added."""
+    """Inverted index of the documents that were added, of the terms that the queries have."""
 
-    def __init__(self, mean: float):
-        self.mean, self.ids, self.parts, self.lengths = mean, [], [], []
-        self.n = 0
+    def __init__(self, mean: float, queries: Queries):
+        self.mean, self.queries, self.ids, self.parts, self.lengths = mean, queries, [], [], []
+        self.n = self.bytes = 0
 
     def add(self, ids: np.ndarray, words: Words) -> None:
         doc, term, tf = postings(words)
@@ -66,109 +118,148 @@ class Shard:
         self.ids.append(ids)
         self.lengths.append(words.per_doc)
         self.n += len(ids)
+        self.bytes += len(words.bytes)
+
+    def _arrange(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, df: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Old numbers of the documents in their order: alike documents stand together."""
+        here = np.unique(doc)
+        first = np.searchsorted(doc, here)
+        lead, low = np.full(self.n, 64), np.zeros(self.n, np.uint64)
+        top = np.argsort(-df, kind="stable")[:64]
+        place = np.full(len(df), 64)
+        place[top] = np.arange(len(top))
+        key = np.where(place[term] < 64, tf.astype(np.int64) * 64 + 63 - place[term], 0)
+        if len(here):
+            lead[here] = 63 - np.maximum.reduceat(key, first) % 64
+            low[here] = np.minimum.reduceat(mix64(term.astype(np.uint64) + np.uint64(1)), first)
+        return np.lexsort((low, (2 * np.log2(length + 1)).astype(int), lead))
 
     def close(self) -> Shard:
-        if not self.n:
-            return self
-        doc, term, self.tf = map(np.concatenate, zip(*self.parts, strict=True))
-        self.parts = []
-        self.ids = np.concatenate(self.ids)
-        self.soft = K1 * (1 - B + B * np.concatenate(self.lengths) / max(self.mean, 1e-9))
-        self.terms, tid = np.unique(term, return_inverse=True)
-        del term
-        self.fwd = tid.astype(np.int32)
-        self.fwd_start = np.searchsorted(doc, np.arange(self.n + 1))
-        order = np.argsort(self.fwd, kind="stable")
-        self.doc = doc[order]
-        tf = self.tf[order]
-        self.impact = (tf * (K1 + 1) / (tf + self.soft[self.doc])).astype(np.float32)
-        self.start = np.searchsorted(self.fwd[order], np.arange(len(self.terms) + 1))
-        df = np.diff(self.start)
-        self.most = np.maximum.reduceat(self.impact, self.start[:-1]) if len(self.terms) else np.zeros(0, np.float32)
-        # Block maxima of long lists; short lists have their list maximum only.
+        doc, term, tf = map(np.concatenate, zip(*self.parts, strict=True))
+        self.parts, ids, length = [], np.concatenate(self.ids), np.concatenate(self.lengths)
+        known, term = np.unique(term, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.queries.vocabulary, known), len(self.queries.vocabulary) - 1)
+        asked = self.queries.vocabulary[at] == known
+        self.local = np.full(len(self.queries.vocabulary), -1, np.int32)
+        self.local[at[asked]] = np.arange(asked.sum())
+        self.weight = self.queries.weight[at[asked]]
+        number = np.where(asked, np.cumsum(asked) - 1, -1)[term]
+        keep = number >= 0
+        doc, term, tf = doc[keep], number[keep], tf[keep]
+        df = np.bincount(term, minlength=len(self.weight))
+        old = self._arrange(doc, term, tf, df, length)
+        place = np.empty(self.n, np.int64)
+        place[old] = np.arange(self.n)
+        self.ids = ids[old]
+        self.by_id = np.argsort(self.ids, kind="stable")
+        soft = K1 * (1 - B + B * length[old] / max(self.mean, 1e-9))
+        # Forward lists by document; terms are numbered in their order.
+        first = np.searchsorted(doc, np.arange(self.n + 1))
+        at = _spread(first[:-1][old], np.diff(first)[old])
+        doc, self.forward, tf = place[doc[at]], term[at], tf[at]
+        self.forward_start = np.searchsorted(doc, np.arange(self.n + 1))
+        self.value = tf * (K1 + 1) / (tf + soft[doc])
+        # Frequent lists by block, the others as postings.
         self.blocks = -(-self.n // BLOCK)
-        long = np.flatnonzero(df >= LONG)
-        self.long = np.full(len(self.terms), -1)
-        self.long[long] = np.arange(len(long))
-        self.block_most = np.zeros((len(long), self.blocks), np.float32)
-        owner = np.repeat(np.arange(len(self.terms)), df)
-        inside = self.long[owner] >= 0
-        np.maximum.at(self.block_most.reshape(-1), self.long[owner[inside]] * self.blocks + self.doc[inside] // BLOCK, self.impact[inside])
-        # The longest lists by document: what they add to a few documents is one small product.
-        top = np.argsort(-df, kind="stable")[:DENSE]
-        top = top[df[top] * 20 >= self.n]
-        self.column = np.full(len(self.terms), -1)
+        top = np.argsort(-df, kind="stable")[:FREQUENT]
+        top = top[df[top] >= max(FREQUENT_SHARE * self.n, 2)]
+        self.column = np.full(len(df), -1)
         self.column[top] = np.arange(len(top))
-        self.dense = np.zeros((self.n, len(top)), np.float32)
-        for j, x in enumerate(top):
-            at = slice(self.start[x], self.start[x + 1])
-            self.dense[self.doc[at], j] = self.impact[at]
-        self.weight = np.zeros(len(self.terms))
+        column = self.column[self.forward]
+        inside = column >= 0
+        self.block = np.zeros((self.blocks, len(top), BLOCK), np.float32)
+        self.block[doc[inside] // BLOCK, column[inside], doc[inside] % BLOCK] = self.value[inside]
+        self.most = self.block.max(axis=2).T.copy()
+        rest = np.flatnonzero(~inside)
+        rest = rest[np.argsort(self.forward[rest], kind="stable")]
+        self.rare_doc, self.rare_value = doc[rest], self.value[rest]
+        self.rare_start = np.searchsorted(self.forward[rest], np.arange(len(df) + 1))
         return self
 
-    def _full(self, docs: np.ndarray) -> np.ndarray:
-        """Scores in double precision with the weights set, summed in the order of terms."""
-        a, b = self.fwd_start[docs], self.fwd_start[docs + 1]
-        size = b - a
-        at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        tf = self.tf[at].astype(np.float64)
-        value = self.weight[self.fwd[at]] * tf * (K1 + 1) / (tf + np.repeat(self.soft[docs], size))
-        return np.round(np.bincount(np.repeat(np.arange(len(docs)), size), value, len(docs)), 6)
-
-    def search(self, own: int, terms: np.ndarray, weight: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """(document numbers, scores) of the best k other than ``own`` that reach ``floor``."""
-        at = np.searchsorted(self.terms, terms)
-        here = at < len(self.terms)
-        here[here] = self.terms[at[here]] == terms[here]
-        t, w = at[here], weight[here]
-        nothing = np.zeros(0, np.int64), np.zeros(0)
-        if not len(t):
-            return nothing
-        self.weight[t] = w
-        df = self.start[t + 1] - self.start[t]
-        bound = w * self.most[t]
-        if not floor:  # a first threshold from the documents that the rarest terms favour
-            rare = np.argsort(df, kind="stable")
-            rare = rare[: max(1, int(np.searchsorted(np.cumsum(df[rare]), 4000)))]
-            partial = self._sum(t[rare], w[rare])
-            some = np.argpartition(-partial, min(k + 1, self.n - 1))[: k + 2]
-            _, scores = self._best(own, some, self._full(some), k)
-            floor = float(scores[-1]) if len(scores) == k else 0.0
-        # Lists left of the pivot: small in bound for their length, together below the threshold.
-        order = np.argsort(bound / df)
-        weak = np.cumsum(bound[order]) < floor - SLACK
-        light, heavy = order[weak], order[~weak]
-        partial = self._sum(t[heavy], w[heavy])
-        docs = np.flatnonzero((partial > 0) & (partial >= floor - bound[light].sum() - SLACK))
-        is_long = self.long[t[light]] >= 0
-        by_block = w[light][is_long].astype(np.float32) @ self.block_most[self.long[t[light]][is_long]] if is_long.any() else np.zeros(self.blocks)
-        docs = docs[partial[docs] + by_block[docs // BLOCK] + bound[light][~is_long].sum() + SLACK >= floor]
-        # What the light lists add to the documents that are left, in single precision.
-        score = partial[docs]
-        column = self.column[t[light]]
-        if (column >= 0).any():
-            score = score + self.dense[docs[:, None], column[column >= 0]] @ w[light][column >= 0].astype(np.float32)
-        if (column < 0).any():
-            score = score + self._sum(t[light][column < 0], w[light][column < 0])[docs]
-        others = score[self.ids[docs] != own]
-        if len(others) > k:
-            floor = max(floor, float(np.partition(others, -k)[-k]) - SLACK)
-        docs = docs[score >= floor - SLACK]
-        best = self._best(own, docs, self._full(docs), k)
-        self.weight[t] = 0
-        return best
-
-    def _sum(self, t: np.ndarray, w: np.ndarray) -> np.ndarray:
-        a, b = self.start[t], self.start[t + 1]
-        docs = np.concatenate([self.doc[i:j] for i, j in zip(a, b, strict=True)] or [np.zeros(0, np.int32)])
-        impact = np.concatenate([self.impact[i:j] for i, j in zip(a, b, strict=True)] or [np.zeros(0, np.float32)])
-        return np.bincount(docs, impact * np.repeat(w, b - a), self.n)
-
-    def _best(self, own: int, docs: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        keep = (self.ids[docs] != own) & (scores > 0)
-        docs, scores = docs[keep], scores[keep]
-        order = np.lexsort((self.ids[docs], -scores))[:k]
-        return docs[order], scores[order]
+    def batches(self) -> Iterator[tuple[int, int]]:
+        """Ranges of queries with a bounded number of rare postings."""
+        q = self.queries
+        t = self.local[q.term]
+        size = np.append(0, np.cumsum(np.where(t >= 0, self.rare_start[t + 1] - self.rare_start[t], 0)))[q.start]
+        i = 0
+        while i < len(q.ids):
+            j = int(np.searchsorted(size, size[i] + BATCH_POSTINGS, side="right")) - 1
+            j = min(max(j, i + 1), i + BATCH, len(q.ids))
+            yield i, j
+            i = j
+
+    def search(self, i: int, j: int) -> None:
+        """Pass the queries from number ``i`` to ``j`` and keep their best."""
+        q, n, wide = self.queries, j - i, self.blocks * BLOCK
+        t = self.local[q.term[q.start[i] : q.start[j]]]
+        asks = np.repeat(np.arange(n), np.diff(q.start[i : j + 1]))[t >= 0]
+        t = t[t >= 0]
+        w = self.weight[t]
+        slack = 1e-2 + 1e-5 * (K1 + 1) * np.bincount(asks, w, n)
+        # Rare lists are walked.
+        size = self.rare_start[t + 1] - self.rare_start[t]
+        at = _spread(self.rare_start[t], size)
+        score = np.bincount(np.repeat(asks, size) * wide + self.rare_doc[at], np.repeat(w, size) * self.rare_value[at], n * wide)
+        score = score.astype(np.float32).reshape(n, self.blocks, BLOCK)
+        weights = np.zeros((n, self.block.shape[1]), np.float32)
+        inside = self.column[t] >= 0
+        weights[asks[inside], self.column[t[inside]]] = w[inside]
+        bound = weights @ self.most + score.max(axis=2)
+        # A query's own rows are no results.
+        low, high = (np.searchsorted(self.ids[self.by_id], q.ids[i:j], side=s) for s in ("left", "right"))
+        own = np.repeat(np.arange(n), high - low), self.by_id[_spread(low, high - low)]
+        score.reshape(n, wide)[own] = -np.inf
+        open_ = np.zeros(bound.shape, bool)
+
+        def look(pairs: np.ndarray) -> None:
+            for b in np.flatnonzero(pairs.any(axis=0)):
+                who = np.flatnonzero(pairs[:, b])
+                score[who, b] += weights[who] @ self.block[b]
+            open_[pairs] = True
+
+        floor = q.best_score[i:j, -1].copy()
+        new = np.flatnonzero(floor == -np.inf)
+        if len(new):
+            best = bound[new].argmax(axis=1)
+            pairs = np.zeros(bound.shape, bool)
+            pairs[new, best] = True
+            look(pairs)
+            if BLOCK > q.k:
+                floor[new] = np.partition(score[new, best], -q.k, axis=1)[:, -q.k] - slack[new]
+        floor = np.maximum(floor, 1e-9)  # documents without a common term are no results
+        look((bound + slack[:, None] >= floor[:, None]) & ~open_)
+        q.opened += int(open_.sum())
+        q.blocks += open_.size
+        score[~open_] = -np.inf
+        score = score.reshape(n, wide)
+        hit = score >= (floor - slack)[:, None]
+        many = np.flatnonzero(hit.sum(axis=1) > q.k)
+        if len(many):
+            floor[many] = np.maximum(floor[many], np.partition(score[many], -q.k, axis=1)[:, -q.k] - slack[many])
+            hit[many] = score[many] >= (floor[many] - slack[many])[:, None]
+        who, doc = np.nonzero(hit)
+        here = doc < self.n
+        who, doc = who[here], doc[here]
+        exact = self._exact(asks, t, w, who, doc)
+        found = exact > 0
+        if found.any():
+            q.take(who[found] + i, self.ids[doc[found]], exact[found])
+
+    def _exact(self, asks: np.ndarray, t: np.ndarray, w: np.ndarray, who: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Scores of pairs (query, document), by query, in double precision, summed in the order of terms."""
+        size = self.forward_start[doc + 1] - self.forward_start[doc]
+        at = _spread(self.forward_start[doc], size)
+        term, value = self.forward[at], self.value[at]
+        weight = np.zeros(len(self.weight))
+        start = np.append(0, np.cumsum(size))
+        for q in np.unique(who):
+            begin, end = np.searchsorted(who, q), np.searchsorted(who, q, side="right")
+            own = slice(np.searchsorted(asks, q), np.searchsorted(asks, q, side="right"))
+            weight[t[own]] = w[own]
+            some = slice(start[begin], start[end])
+            value[some] *= weight[term[some]]
+            weight[t[own]] = 0
+        return np.round(np.bincount(np.repeat(np.arange(len(who)), size), value, len(who)), 6)
 
 
 def _counts(docs: DataFrame) -> DataFrame:
@@ -204,7 +295,69 @@ def _query_terms(asking: DataFrame) -> DataFrame:
     return asking.select(F.col("id").alias("query"), "text").mapInArrow(run, "query long, term long")
 
 
-def search(docs: DataFrame, queries: Column, k: int = 10, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS) -> DataFrame:
+def _packets(lists: DataFrame) -> DataFrame:
+    """(query, terms, w) to packets of at most PACKET_TERMS term occurrences (or one query)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def packet() -> pa.RecordBatch:
+            ids = np.concatenate([h[0] for h in held])
+            sizes, terms, weights = (np.concatenate([h[c] for h in held]) for c in (1, 2, 3))
+            each, first, number = np.unique(terms, return_index=True, return_inverse=True)
+            parts = [ids, sizes.astype(np.int32), each, weights[first], number.astype(np.int32)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([*(pa.array([x.tobytes()], pa.binary()) for x in parts), pa.array([sum(x.nbytes for x in parts)])], names=names)
+
+        for batch in batches:
+            i, (ids, lists, w) = 0, (batch.column(0).to_numpy(), batch.column(1), batch.column(2))
+            ends = np.append(0, np.cumsum(np.asarray(lists.value_lengths())))
+            terms, weights = np.asarray(lists.flatten()).view(np.uint64), np.asarray(w.flatten())
+            while i < len(ids):
+                j = max(i + (not held), int(np.searchsorted(ends, ends[i] + PACKET_TERMS - n, side="right")) - 1)
+                if j > i:
+                    held.append((ids[i:j], np.diff(ends[i : j + 1]), terms[ends[i] : ends[j]], weights[ends[i] : ends[j]]))
+                    n += int(ends[j] - ends[i])
+                i = j
+                if i < len(ids):
+                    yield packet()
+                    n = 0
+        if held:
+            yield packet()
+
+    names = ["ids", "sizes", "vocabulary", "weights", "numbers", "bytes"]
+    return lists.select("query", "terms", "w").mapInArrow(run, "ids binary, sizes binary, vocabulary binary, weights binary, numbers binary, bytes long")
+
+
+def pass_documents(rows: DataFrame, packets: list, mean: float, k: int, shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """(query_id, id, score): each task's best ``k`` of ``rows`` (id, text) for the queries of ``packets``."""
+    shared = rows.sparkSession.sparkContext.broadcast(packets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = Queries.unpack(shared.value, k)
+        shard = Shard(mean, queries)
+
+        def settle(shard: Shard) -> Shard:
+            shard.close()
+            for i, j in shard.batches():
+                shard.search(i, j)
+            return Shard(mean, queries)
+
+        for part in slices(batches, "text"):
+            for at in range(0, part.num_rows, shard_docs):
+                some = part.slice(at, shard_docs)
+                if shard.n and (shard.n + some.num_rows > shard_docs or shard.bytes > SHARD_BYTES):
+                    shard = settle(shard)
+                shard.add(np.asarray(some.column(0)), Words(*string_buffers(some.column(1))))
+        if shard.n:
+            settle(shard)
+        who, nth = np.nonzero(queries.best_score > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(queries.ids[who]), pa.array(queries.best_id[who, nth]), pa.array(queries.best_score[who, nth])], names=["query_id", "id", "score"])
+
+    return rows.mapInArrow(run, "query_id long, id long, score double")
+
+
+def search(docs: DataFrame, queries: Column, k: int = 10, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """The best ``k`` rows for each row that fulfils ``queries``: query_id, rank (from 1), the id column, score."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), queries.alias("asks"))
@@ -213,65 +366,33 @@ def search(docs: DataFrame, queries: Column, k: int = 10, id_col: str = "doc_id"
     totals = df.where("term is null").first()
     n, words = (totals["n"], totals["words"]) if totals else (0, 0)
     mean = words / n if n else 0.0
-    asked = scratch.table(_query_terms(base.where("asks and id is not null")).distinct(), "asked")
+    asked = _query_terms(base.where("asks and id is not null")).distinct()
     idf = F.log1p((F.lit(float(n)) - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weighed = asked.join(df.where("term is not null").select("term", "n"), "term").select("query", F.struct("term", idf.alias("w")).alias("t"))
-    lists = scratch.table(weighed.groupBy("query").agg(F.collect_list("t").alias("t")).select("query", F.col("t.term").alias("terms"), F.col("t.w").alias("w")), "queries")
-    shards = max(1, -(-n // shard_docs))
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in slices(batches, "text", 4_000_000):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "z"])
-
-    rows = base.where("id is not null").select("id", "text").mapInArrow(packed, "id long, z binary")
-    none = [F.lit(None).cast("array<bigint>").alias("terms"), F.lit(None).cast("array<double>").alias("w")]
-    rows = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("role"), "id", "z", *none)
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    ask = lists.select(every.alias("shard"), F.lit(1).alias("role"), F.col("query").alias("id"), F.lit(None).cast("binary").alias("z"), "terms", "w")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        current, shard, ready = None, Shard(mean), False
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-        def found() -> pa.RecordBatch:
-            ids, scores = (np.concatenate([v[i] for v in best.values()]) for i in (0, 1))
-            asked = np.repeat(np.array(list(best), np.int64), [len(v[0]) for v in best.values()])
-            best.clear()
-            return pa.RecordBatch.from_arrays([pa.array(asked), pa.array(ids.astype(np.int64)), pa.array(scores)], names=["query_id", "id", "score"])
-
-        for batch in batches:
-            which, role, ids = (np.asarray(batch.column(c)) for c in (0, 1, 2))
-            at = 0
-            while at < batch.num_rows:
-                stop = at + int(np.argmax(np.append((which[at:] != which[at]) | (role[at:] != role[at]), True)))
-                if which[at] != current:
-                    if best and (current // GROUP != which[at] // GROUP or len(best) > REMEMBER):
-                        yield found()
-                    current, shard, ready = which[at], Shard(mean), False
-                if role[at] == 0:
-                    texts = pa.array([unpack(z) for z in batch.column(3).slice(at, stop - at).to_pylist()], pa.large_binary())
-                    for part in slices(iter([pa.RecordBatch.from_arrays([batch.column(2).slice(at, stop - at), texts], names=["id", "text"])]), "text"):
-                        shard.add(np.asarray(part.column(0)), Words(*string_buffers(part.column(1))))
-                else:
-                    if not ready:
-                        ready = bool(shard.close())
-                    for i in range(at, stop) if shard.n else ():
-                        terms = np.asarray(batch.column(4)[i].values).view(np.uint64)
-                        weight = np.asarray(batch.column(5)[i].values)
-                        known = best.get(int(ids[i]), (np.zeros(0, np.int64), np.zeros(0)))
-                        d, s = shard.search(int(ids[i]), terms, weight, k, float(known[1][-1]) if len(known[1]) == k else 0.0)
-                        d, s = np.concatenate([known[0], shard.ids[d]]), np.concatenate([known[1], s])
-                        order = np.lexsort((d, -s))[:k]
-                        best[int(ids[i])] = d[order], s[order]
-                at = stop
-        if best:
-            yield found()
-
-    group = F.floor(F.col("shard") / GROUP)
-    cells = rows.union(ask).repartition(scratch.partitions(spark, shards, GROUP), group).sortWithinPartitions("shard", "role")
-    found = cells.mapInArrow(run, "query_id long, id long, score double")
+    lists = weighed.groupBy("query").agg(F.collect_list("t").alias("t")).select("query", F.col("t.term").alias("terms"), F.col("t.w").alias("w"))
+    packets = scratch.table(_packets(lists).withColumn("packet", F.monotonically_increasing_id()), "packets")
+    sizes = packets.select("packet", "bytes").orderBy("packet").collect()  # one row for some 1500 queries
+    rounds: list[list[int]] = []
+    room = 0
+    for r in sizes:
+        if r["bytes"] > room:
+            rounds.append([])
+            room = round_bytes
+        rounds[-1].append(r["packet"])
+        room -= r["bytes"]
+    rows = base.where("id is not null").select("id", "text")
+    rows = rows.coalesce(max(1, -(-n // TASK_DOCS)))
+    found = []
+    for some in rounds:
+        held = packets.where(F.col("packet").between(some[0], some[-1])).select("ids", "sizes", "vocabulary", "weights", "numbers").collect()
+        found.append(pass_documents(rows, [tuple(map(bytes, r)) for r in held], mean, k, shard_docs))
+        if len(rounds) > 1:
+            found[-1] = scratch.table(found[-1], "found")
+    if not found:
+        found = [spark.createDataFrame([], "query_id long, id long, score double")]
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -196,6 +196,50 @@ def test_search_against_brute_force(spark, shard):
     assert topk.search(df.where("doc_id = -1"), F.col("doc_id") % 20 == 0).count() == 0
 
 
+def test_search_skips_blocks_and_takes_rounds(spark):
+    """Four vocabularies: most blocks of documents stay closed, and several rounds find what one finds."""
+    from pixelframe.llm.textscan import Words, string_buffers
+
+    rng = np.random.default_rng(9)
+    weight = 1 / np.arange(1, 401)
+    texts = [" ".join(f"{'abcd'[i % 4]}{chr(97 + w % 26)}{chr(97 + w // 26)}" for w in rng.choice(400, 40, p=weight / weight.sum())) for i in range(4000)]
+    import pyarrow as pa
+
+    words = Words(*string_buffers(pa.array(texts)))
+    doc, term, tf = topk.postings(words)
+    known, number, df = np.unique(term, return_inverse=True, return_counts=True)
+    idf = np.log1p((4000 - df + 0.5) / (df + 0.5))[number]
+    asks = doc % 20 == 0
+    queries = topk.Queries(np.arange(0, 4000, 20), np.bincount(doc[asks] // 20), term[asks], idf[asks], 10)
+    for part in np.array_split(np.arange(4000), 2):
+        shard = topk.Shard(40.0, queries)
+        shard.add(part, Words(*string_buffers(pa.array([texts[i] for i in part]))))
+        shard.close()
+        for i, j in shard.batches():
+            shard.search(i, j)
+    assert 0 < queries.opened < 0.5 * queries.blocks
+    matrix = np.zeros((4000, len(known)))
+    matrix[doc, number] = tf * 2.2 / (tf + 1.2)
+    for row in range(0, 200, 17):
+        q = 20 * row
+        s = np.round((matrix * ((matrix[q] > 0) * np.log1p((4000 - df + 0.5) / (df + 0.5)))).sum(axis=1), 6)
+        s[q] = -1
+        assert queries.best_id[row].tolist() == np.lexsort((np.arange(4000), -s))[:10].tolist()
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:600])], "doc_id long, text string")
+    once = topk.search(frame, F.col("doc_id") % 20 == 0, 5)
+    again = topk.search(frame.repartition(3), F.col("doc_id") % 20 == 0, 5, shard_docs=70, round_bytes=1)
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_search_in_very_long_texts(spark):
+    rows = [(0, "ab cd " * 100_000), (1, "cd"), (20, "ab " * 5 + "zz"), (2, "zz " * 200_000 + "ab")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in topk.search(df, F.col("doc_id") % 20 == 0, 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["doc_id"])
+    assert got == brute_bm25(rows, lambda q: q % 20 == 0, 3)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
