@@ -43,13 +43,13 @@ from pixelframe.llm.textscan import Words, mix64, slices, string_buffers
 
 K1, B = 1.2, 0.75
 #: Documents and bytes of text of a shard, documents of a block, documents of a task.
-SHARD_DOCS, SHARD_BYTES, BLOCK, TASK_DOCS = 8192, 1 << 25, 64, 43_000
+SHARD_DOCS, SHARD_BYTES, BLOCK, TASK_DOCS = 4096, 1 << 24, 64, 43_000
 #: Lists held by block (the longest ones, in at least this share of a shard's documents).
 FREQUENT, FREQUENT_SHARE = 2048, 0.01
 #: Term occurrences of a packet, bytes of packets that are broadcast at a time.
 PACKET_TERMS, ROUND_BYTES = 500_000, 1 << 25
 #: Queries and rare postings that are looked at together.
-BATCH, BATCH_POSTINGS = 256, 3_000_000
+BATCH, BATCH_POSTINGS = 256, 1_000_000
 
 
 def postings(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,11 +70,8 @@ def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Queries:
     """Queries as term numbers; ``best`` holds what each has found, worst places filled with minus infinity."""
 
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int):
-        self.ids, self.k = ids, k
-        self.vocabulary, first, self.term = np.unique(terms, return_index=True, return_inverse=True)
-        self.weight = weights[first]
-        self.term = self.term.astype(np.int32)
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, vocabulary: np.ndarray, weight: np.ndarray, term: np.ndarray, k: int):
+        self.ids, self.k, self.vocabulary, self.weight, self.term = ids, k, vocabulary, weight, term
         self.start = np.append(0, np.cumsum(sizes))
         self.best_score = np.full((len(ids), k), -np.inf)
         self.best_id = np.zeros((len(ids), k), np.int64)
@@ -82,16 +79,12 @@ class Queries:
 
     @classmethod
     def unpack(cls, packets: list[tuple[bytes, bytes, bytes, bytes, bytes]], k: int) -> Queries:
-        """From packets of (ids, sizes, vocabulary, weights, term numbers)."""
+        """From packets of (ids, sizes, sorted vocabulary, weights, term numbers)."""
         kinds = (np.int64, np.int32, np.uint64, np.float64, np.int32)
-        ids, sizes, terms, weights = [], [], [], []
-        for packet in packets:
-            i, s, v, w, t = (np.frombuffer(x, kind) for x, kind in zip(packet, kinds, strict=True))
-            ids.append(i)
-            sizes.append(s)
-            terms.append(v[t])
-            weights.append(w[t])
-        return cls(*(np.concatenate(x) for x in (ids, sizes, terms, weights)), k)
+        ids, sizes, terms, weights, numbers = zip(*([np.frombuffer(x, kind) for x, kind in zip(p, kinds, strict=True)] for p in packets), strict=True)
+        vocabulary, first = np.unique(np.concatenate(terms), return_index=True)
+        term = np.concatenate([np.searchsorted(vocabulary, v).astype(np.int32)[t] for v, t in zip(terms, numbers, strict=True)])
+        return cls(np.concatenate(ids), np.concatenate(sizes), vocabulary, np.concatenate(weights)[first], term, k)
 
     def take(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """Merge some new results."""
@@ -179,14 +172,16 @@ class Shard:
     def batches(self) -> Iterator[tuple[int, int]]:
         """Ranges of queries with a bounded number of rare postings."""
         q = self.queries
-        t = self.local[q.term]
-        size = np.append(0, np.cumsum(np.where(t >= 0, self.rare_start[t + 1] - self.rare_start[t], 0)))[q.start]
-        i = 0
-        while i < len(q.ids):
-            j = int(np.searchsorted(size, size[i] + BATCH_POSTINGS, side="right")) - 1
-            j = min(max(j, i + 1), i + BATCH, len(q.ids))
-            yield i, j
-            i = j
+        for first in range(0, len(q.ids), BATCH):
+            last = min(first + BATCH, len(q.ids))
+            t = self.local[q.term[q.start[first] : q.start[last]]]
+            size = np.append(0, np.cumsum(np.where(t >= 0, self.rare_start[t + 1] - self.rare_start[t], 0)))[q.start[first : last + 1] - q.start[first]]
+            i = first
+            while i < last:
+                j = first + int(np.searchsorted(size, size[i - first] + BATCH_POSTINGS, side="right")) - 1
+                j = min(max(j, i + 1), last)
+                yield i, j
+                i = j
 
     def search(self, i: int, j: int) -> None:
         """Pass the queries from number ``i`` to ``j`` and keep their best."""

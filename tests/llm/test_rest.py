@@ -208,9 +208,8 @@ def test_search_skips_blocks_and_takes_rounds(spark):
     words = Words(*string_buffers(pa.array(texts)))
     doc, term, tf = topk.postings(words)
     known, number, df = np.unique(term, return_inverse=True, return_counts=True)
-    idf = np.log1p((4000 - df + 0.5) / (df + 0.5))[number]
     asks = doc % 20 == 0
-    queries = topk.Queries(np.arange(0, 4000, 20), np.bincount(doc[asks] // 20), term[asks], idf[asks], 10)
+    queries = topk.Queries(np.arange(0, 4000, 20), np.bincount(doc[asks] // 20), known, np.log1p((4000 - df + 0.5) / (df + 0.5)), number[asks], 10)
     for part in np.array_split(np.arange(4000), 2):
         shard = topk.Shard(40.0, queries)
         shard.add(part, Words(*string_buffers(pa.array([texts[i] for i in part]))))
