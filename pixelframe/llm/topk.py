@@ -49,7 +49,7 @@ FREQUENT, FREQUENT_SHARE = 2048, 0.01
 #: Term occurrences of a packet, bytes of packets that are broadcast at a time.
 PACKET_TERMS, ROUND_BYTES = 500_000, 1 << 25
 #: Queries and rare postings that are looked at together.
-BATCH, BATCH_POSTINGS = 256, 1_000_000
+BATCH, BATCH_POSTINGS = 256, 600_000
 
 
 def postings(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +84,11 @@ class Queries:
         ids, sizes, terms, weights, numbers = zip(*([np.frombuffer(x, kind) for x, kind in zip(p, kinds, strict=True)] for p in packets), strict=True)
         vocabulary, first = np.unique(np.concatenate(terms), return_index=True)
         term = np.concatenate([np.searchsorted(vocabulary, v).astype(np.int32)[t] for v, t in zip(terms, numbers, strict=True)])
-        return cls(np.concatenate(ids), np.concatenate(sizes), vocabulary, np.concatenate(weights)[first], term, k)
+        ids, sizes, weight = np.concatenate(ids), np.concatenate(sizes), np.concatenate(weights)[first]
+        # Queries with the same most frequent term, of one language mostly, are looked at together.
+        start = np.cumsum(sizes) - sizes
+        order = np.lexsort((sizes, np.minimum.reduceat(weight[term], start)))
+        return cls(ids[order], sizes[order], vocabulary, weight, term[_spread(start[order], sizes[order])], k)
 
     def take(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """Merge some new results."""
@@ -135,11 +139,11 @@ class Shard:
         asked = self.queries.vocabulary[at] == known
         self.local = np.full(len(self.queries.vocabulary), -1, np.int32)
         self.local[at[asked]] = np.arange(asked.sum())
-        self.weight = self.queries.weight[at[asked]]
+        weight = self.queries.weight[at[asked]]
         number = np.where(asked, np.cumsum(asked) - 1, -1)[term]
         keep = number >= 0
         doc, term, tf = doc[keep], number[keep], tf[keep]
-        df = np.bincount(term, minlength=len(self.weight))
+        df = np.bincount(term, minlength=len(weight))
         old = self._arrange(doc, term, tf, df, length)
         place = np.empty(self.n, np.int64)
         place[old] = np.arange(self.n)
@@ -151,7 +155,8 @@ class Shard:
         at = _spread(first[:-1][old], np.diff(first)[old])
         doc, self.forward, tf = place[doc[at]], term[at], tf[at]
         self.forward_start = np.searchsorted(doc, np.arange(self.n + 1))
-        self.value = tf * (K1 + 1) / (tf + soft[doc])
+        self.value = weight[self.forward] * tf * (K1 + 1) / (tf + soft[doc])
+        self.bound = weight * (K1 + 1)  # of any document
         # Frequent lists by block, the others as postings.
         self.blocks = -(-self.n // BLOCK)
         top = np.argsort(-df, kind="stable")[:FREQUENT]
@@ -160,9 +165,16 @@ class Shard:
         self.column[top] = np.arange(len(top))
         column = self.column[self.forward]
         inside = column >= 0
-        self.block = np.zeros((self.blocks, len(top), BLOCK), np.float32)
-        self.block[doc[inside] // BLOCK, column[inside], doc[inside] % BLOCK] = self.value[inside]
-        self.most = self.block.max(axis=2).T.copy()
+        self.block, self.columns, self.most = [], [], np.zeros((len(top), self.blocks), np.float32)
+        for b in range(self.blocks):
+            some = slice(self.forward_start[b * BLOCK], self.forward_start[min((b + 1) * BLOCK, self.n)])
+            here = inside[some]
+            columns, at = np.unique(column[some][here], return_inverse=True)
+            values = np.zeros((len(columns), BLOCK), np.float32)
+            values[at, doc[some][here] % BLOCK] = self.value[some][here]
+            self.block.append(values)
+            self.columns.append(columns)
+            self.most[columns, b] = values.max(axis=1)
         rest = np.flatnonzero(~inside)
         rest = rest[np.argsort(self.forward[rest], kind="stable")]
         self.rare_doc, self.rare_value = doc[rest], self.value[rest]
@@ -189,71 +201,80 @@ class Shard:
         t = self.local[q.term[q.start[i] : q.start[j]]]
         asks = np.repeat(np.arange(n), np.diff(q.start[i : j + 1]))[t >= 0]
         t = t[t >= 0]
-        w = self.weight[t]
-        slack = 1e-2 + 1e-5 * (K1 + 1) * np.bincount(asks, w, n)
+        slack = 1e-2 + 1e-5 * np.bincount(asks, self.bound[t], n)
         # Rare lists are walked.
         size = self.rare_start[t + 1] - self.rare_start[t]
         at = _spread(self.rare_start[t], size)
-        score = np.bincount(np.repeat(asks, size) * wide + self.rare_doc[at], np.repeat(w, size) * self.rare_value[at], n * wide)
+        score = np.bincount(np.repeat(asks * wide, size) + self.rare_doc[at], self.rare_value[at], n * wide)
         score = score.astype(np.float32).reshape(n, self.blocks, BLOCK)
-        weights = np.zeros((n, self.block.shape[1]), np.float32)
+        asked = np.zeros((len(self.most), n), np.float32)
         inside = self.column[t] >= 0
-        weights[asks[inside], self.column[t[inside]]] = w[inside]
-        bound = weights @ self.most + score.max(axis=2)
+        asked[self.column[t[inside]], asks[inside]] = 1
+        bound = asked.T @ self.most + score.max(axis=2)
         # A query's own rows are no results.
         low, high = (np.searchsorted(self.ids[self.by_id], q.ids[i:j], side=s) for s in ("left", "right"))
         own = np.repeat(np.arange(n), high - low), self.by_id[_spread(low, high - low)]
         score.reshape(n, wide)[own] = -np.inf
-        open_ = np.zeros(bound.shape, bool)
+        closed = np.ones(bound.shape, bool)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def look(pairs: np.ndarray) -> None:
+            """Open blocks and note the documents that reach the floor."""
+            closed[pairs] = False
             for b in np.flatnonzero(pairs.any(axis=0)):
                 who = np.flatnonzero(pairs[:, b])
-                score[who, b] += weights[who] @ self.block[b]
-            open_[pairs] = True
+                some = asked[self.columns[b]]
+                if 2 * len(who) > n:
+                    scores = ((some.T @ self.block[b]) + score[:, b])[who]
+                else:
+                    scores = some[:, who].T @ self.block[b] + score[who, b]
+                a, d = np.nonzero(scores >= (floor - slack)[who, None])
+                found.append((who[a], b * BLOCK + d, scores[a, d]))
 
         floor = q.best_score[i:j, -1].copy()
         new = np.flatnonzero(floor == -np.inf)
         if len(new):
-            best = bound[new].argmax(axis=1)
             pairs = np.zeros(bound.shape, bool)
-            pairs[new, best] = True
+            pairs[new, bound[new].argmax(axis=1)] = True
+            floor[new] = 0
             look(pairs)
-            if BLOCK > q.k:
-                floor[new] = np.partition(score[new, best], -q.k, axis=1)[:, -q.k] - slack[new]
+            self._raise(floor, slack, found)
         floor = np.maximum(floor, 1e-9)  # documents without a common term are no results
-        look((bound + slack[:, None] >= floor[:, None]) & ~open_)
-        q.opened += int(open_.sum())
-        q.blocks += open_.size
-        score[~open_] = -np.inf
-        score = score.reshape(n, wide)
-        hit = score >= (floor - slack)[:, None]
-        many = np.flatnonzero(hit.sum(axis=1) > q.k)
-        if len(many):
-            floor[many] = np.maximum(floor[many], np.partition(score[many], -q.k, axis=1)[:, -q.k] - slack[many])
-            hit[many] = score[many] >= (floor[many] - slack[many])[:, None]
-        who, doc = np.nonzero(hit)
-        here = doc < self.n
-        who, doc = who[here], doc[here]
-        exact = self._exact(asks, t, w, who, doc)
-        found = exact > 0
-        if found.any():
-            q.take(who[found] + i, self.ids[doc[found]], exact[found])
-
-    def _exact(self, asks: np.ndarray, t: np.ndarray, w: np.ndarray, who: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        look((bound + slack[:, None] >= floor[:, None]) & closed)
+        q.opened += int((~closed).sum())
+        q.blocks += closed.size
+        who, doc, about = self._raise(floor, slack, found)
+        keep = (about >= (floor - slack)[who]) & (doc < self.n)
+        who, doc = who[keep], doc[keep]
+        exact = self._exact(asks, t, who, doc)
+        right = exact > 0
+        if right.any():
+            q.take(who[right] + i, self.ids[doc[right]], exact[right])
+
+    def _raise(self, floor: np.ndarray, slack: np.ndarray, found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lift floors to the k-th best of what is found; (query, document, about score) by query."""
+        who, doc, about = (np.concatenate([f[c] for f in found]) for c in range(3)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        order = np.lexsort((-about, who))
+        who, doc, about = who[order], doc[order], about[order]
+        last = np.searchsorted(who, np.arange(len(floor))) + self.queries.k - 1
+        full = last < np.searchsorted(who, np.arange(len(floor)), side="right")
+        floor[full] = np.maximum(floor[full], about[last[full]] - slack[full])
+        found[:] = [(who, doc, about)]
+        return who, doc, about
+
+    def _exact(self, asks: np.ndarray, t: np.ndarray, who: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Scores of pairs (query, document), by query, in double precision, summed in the order of terms."""
         size = self.forward_start[doc + 1] - self.forward_start[doc]
         at = _spread(self.forward_start[doc], size)
         term, value = self.forward[at], self.value[at]
-        weight = np.zeros(len(self.weight))
+        has = np.zeros(len(self.bound), bool)
         start = np.append(0, np.cumsum(size))
         for q in np.unique(who):
-            begin, end = np.searchsorted(who, q), np.searchsorted(who, q, side="right")
-            own = slice(np.searchsorted(asks, q), np.searchsorted(asks, q, side="right"))
-            weight[t[own]] = w[own]
-            some = slice(start[begin], start[end])
-            value[some] *= weight[term[some]]
-            weight[t[own]] = 0
+            own = t[np.searchsorted(asks, q) : np.searchsorted(asks, q, side="right")]
+            some = slice(start[np.searchsorted(who, q)], start[np.searchsorted(who, q, side="right")])
+            has[own] = True
+            value[some] *= has[term[some]]
+            has[own] = False
         return np.round(np.bincount(np.repeat(np.arange(len(who)), size), value, len(who)), 6)
 
 
