@@ -5,7 +5,8 @@ with their weights, and each query as numbers into them.  Rounds of packets of a
 ``ROUND_BYTES`` are broadcast, and every task runs over its documents shard by shard: it builds
 the inverted index of a shard (postings with impacts, and the largest impact of each list in
 each block of documents), passes all queries of the round, and takes the thresholds they have
-reached on to its next shard.  The best k of all tasks are merged; document frequencies, the
+reached on to its next shard.  In a large table a sixteenth of the documents is passed ahead, so that
+all other tasks start with thresholds and return what reaches them only.  The best k of all tasks are merged; document frequencies, the
 number of documents and the mean length are those of the whole corpus, so scores compare exactly.
 
 Blocks are runs of documents that all lists share, and the cursor of a query stands on blocks.
@@ -43,13 +44,15 @@ from pixelframe.llm.textscan import Words, mix64, slices, string_buffers
 
 K1, B = 1.2, 0.75
 #: Documents and bytes of text of a shard, documents of a block, documents of a task.
-SHARD_DOCS, SHARD_BYTES, BLOCK, TASK_DOCS = 4096, 1 << 24, 64, 43_000
+SHARD_DOCS, SHARD_BYTES, BLOCK, TASK_DOCS = 4096, 1 << 24, 128, 43_000
+#: Of more than so many documents, a part (one in AHEAD) is passed ahead of the others and gives the queries their floors.
+AHEAD_DOCS, AHEAD = 65_536, 16
 #: Lists held by block (the longest ones, in at least this share of a shard's documents).
-FREQUENT, FREQUENT_SHARE = 2048, 0.01
+FREQUENT, FREQUENT_SHARE = 1024, 0.01
 #: Term occurrences of a packet, bytes of packets that are broadcast at a time.
 PACKET_TERMS, ROUND_BYTES = 500_000, 1 << 25
-#: Queries and rare postings that are looked at together.
-BATCH, BATCH_POSTINGS = 256, 600_000
+#: Queries that open blocks together, and of those the ones whose rare lists are walked together.
+BATCH, WALK = 512, 64
 
 
 def postings(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,6 +78,7 @@ class Queries:
         self.start = np.append(0, np.cumsum(sizes))
         self.best_score = np.full((len(ids), k), -np.inf)
         self.best_id = np.zeros((len(ids), k), np.int64)
+        self.floor = np.full(len(ids), -np.inf)
         self.opened = self.blocks = 0
 
     @classmethod
@@ -90,6 +94,11 @@ class Queries:
         order = np.lexsort((sizes, np.minimum.reduceat(weight[term], start)))
         return cls(ids[order], sizes[order], vocabulary, weight, term[_spread(start[order], sizes[order])], k)
 
+    def lift(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Scores that k results of the queries ``ids`` are known to reach."""
+        order = np.argsort(self.ids)
+        self.floor[order[np.searchsorted(self.ids[order], ids)]] = scores
+
     def take(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """Merge some new results."""
         asked = np.unique(query)
@@ -181,19 +190,10 @@ class Shard:
         self.rare_start = np.searchsorted(self.forward[rest], np.arange(len(df) + 1))
         return self
 
-    def batches(self) -> Iterator[tuple[int, int]]:
-        """Ranges of queries with a bounded number of rare postings."""
-        q = self.queries
-        for first in range(0, len(q.ids), BATCH):
-            last = min(first + BATCH, len(q.ids))
-            t = self.local[q.term[q.start[first] : q.start[last]]]
-            size = np.append(0, np.cumsum(np.where(t >= 0, self.rare_start[t + 1] - self.rare_start[t], 0)))[q.start[first : last + 1] - q.start[first]]
-            i = first
-            while i < last:
-                j = first + int(np.searchsorted(size, size[i - first] + BATCH_POSTINGS, side="right")) - 1
-                j = min(max(j, i + 1), last)
-                yield i, j
-                i = j
+    def search_all(self) -> None:
+        """Pass all queries."""
+        for i in range(0, len(self.queries.ids), BATCH):
+            self.search(i, min(i + BATCH, len(self.queries.ids)))
 
     def search(self, i: int, j: int) -> None:
         """Pass the queries from number ``i`` to ``j`` and keep their best."""
@@ -203,10 +203,14 @@ class Shard:
         t = t[t >= 0]
         slack = 1e-2 + 1e-5 * np.bincount(asks, self.bound[t], n)
         # Rare lists are walked.
-        size = self.rare_start[t + 1] - self.rare_start[t]
-        at = _spread(self.rare_start[t], size)
-        score = np.bincount(np.repeat(asks * wide, size) + self.rare_doc[at], self.rare_value[at], n * wide)
-        score = score.astype(np.float32).reshape(n, self.blocks, BLOCK)
+        score = np.empty((n, self.blocks, BLOCK), np.float32)
+        for first in range(0, n, WALK):
+            last = min(first + WALK, n)
+            own = slice(*np.searchsorted(asks, [first, last]))
+            size = self.rare_start[t[own] + 1] - self.rare_start[t[own]]
+            at = _spread(self.rare_start[t[own]], size)
+            flat = np.repeat((asks[own] - first) * wide, size) + self.rare_doc[at]
+            score[first:last] = np.bincount(flat, self.rare_value[at], (last - first) * wide).reshape(last - first, self.blocks, BLOCK)
         asked = np.zeros((len(self.most), n), np.float32)
         inside = self.column[t] >= 0
         asked[self.column[t[inside]], asks[inside]] = 1
@@ -231,7 +235,7 @@ class Shard:
                 a, d = np.nonzero(scores >= (floor - slack)[who, None])
                 found.append((who[a], b * BLOCK + d, scores[a, d]))
 
-        floor = q.best_score[i:j, -1].copy()
+        floor = np.maximum(q.best_score[i:j, -1], q.floor[i:j])
         new = np.flatnonzero(floor == -np.inf)
         if len(new):
             pairs = np.zeros(bound.shape, bool)
@@ -345,18 +349,19 @@ def _packets(lists: DataFrame) -> DataFrame:
     return lists.select("query", "terms", "w").mapInArrow(run, "ids binary, sizes binary, vocabulary binary, weights binary, numbers binary, bytes long")
 
 
-def pass_documents(rows: DataFrame, packets: list, mean: float, k: int, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """(query_id, id, score): each task's best ``k`` of ``rows`` (id, text) for the queries of ``packets``."""
-    shared = rows.sparkSession.sparkContext.broadcast(packets)
+def pass_documents(rows: DataFrame, packets: list, mean: float, k: int, shard_docs: int = SHARD_DOCS, floors: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(query_id, id, score): each task's best ``k`` of ``rows`` (id, text) for the queries of ``packets``, from their floors on."""
+    shared = rows.sparkSession.sparkContext.broadcast((packets, floors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = Queries.unpack(shared.value, k)
+        packets, floors = shared.value
+        queries = Queries.unpack(packets, k)
+        if floors is not None:
+            queries.lift(*floors)
         shard = Shard(mean, queries)
 
         def settle(shard: Shard) -> Shard:
-            shard.close()
-            for i, j in shard.batches():
-                shard.search(i, j)
+            shard.close().search_all()
             return Shard(mean, queries)
 
         for part in slices(batches, "text"):
@@ -373,7 +378,7 @@ def pass_documents(rows: DataFrame, packets: list, mean: float, k: int, shard_do
     return rows.mapInArrow(run, "query_id long, id long, score double")
 
 
-def search(docs: DataFrame, queries: Column, k: int = 10, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS, round_bytes: int = ROUND_BYTES) -> DataFrame:
+def search(docs: DataFrame, queries: Column, k: int = 10, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS, round_bytes: int = ROUND_BYTES, ahead_docs: int = AHEAD_DOCS) -> DataFrame:
     """The best ``k`` rows for each row that fulfils ``queries``: query_id, rank (from 1), the id column, score."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), queries.alias("asks"))
@@ -397,11 +402,19 @@ def search(docs: DataFrame, queries: Column, k: int = 10, id_col: str = "doc_id"
         rounds[-1].append(r["packet"])
         room -= r["bytes"]
     rows = base.where("id is not null").select("id", "text")
-    rows = rows.coalesce(max(1, -(-n // TASK_DOCS)))
+    tasks = max(1, -(-n // TASK_DOCS))
     found = []
     for some in rounds:
         held = packets.where(F.col("packet").between(some[0], some[-1])).select("ids", "sizes", "vocabulary", "weights", "numbers").collect()
-        found.append(pass_documents(rows, [tuple(map(bytes, r)) for r in held], mean, k, shard_docs))
+        held, rest, floors = [tuple(map(bytes, r)) for r in held], rows, None
+        if n > ahead_docs:
+            ahead = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(AHEAD)) == 0
+            first = scratch.table(pass_documents(rows.where(ahead).coalesce(tasks), held, mean, k, shard_docs), "ahead")
+            reached = first.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).where(F.size("s") >= k)
+            reached = reached.select("query_id", F.col("s")[k - 1].alias("s")).toArrow()  # a row for each query of the round at most
+            floors, rest = (reached.column(0).to_numpy(), reached.column(1).to_numpy()), rows.where(~ahead)
+            found.append(first)
+        found.append(pass_documents(rest.coalesce(tasks), held, mean, k, shard_docs, floors))
         if len(rounds) > 1:
             found[-1] = scratch.table(found[-1], "found")
     if not found:

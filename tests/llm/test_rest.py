@@ -213,9 +213,7 @@ def test_search_skips_blocks_and_takes_rounds(spark):
     for part in np.array_split(np.arange(4000), 2):
         shard = topk.Shard(40.0, queries)
         shard.add(part, Words(*string_buffers(pa.array([texts[i] for i in part]))))
-        shard.close()
-        for i, j in shard.batches():
-            shard.search(i, j)
+        shard.close().search_all()
     assert 0 < queries.opened < 0.5 * queries.blocks
     matrix = np.zeros((4000, len(known)))
     matrix[doc, number] = tf * 2.2 / (tf + 1.2)
@@ -226,7 +224,7 @@ def test_search_skips_blocks_and_takes_rounds(spark):
         assert queries.best_id[row].tolist() == np.lexsort((np.arange(4000), -s))[:10].tolist()
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:600])], "doc_id long, text string")
     once = topk.search(frame, F.col("doc_id") % 20 == 0, 5)
-    again = topk.search(frame.repartition(3), F.col("doc_id") % 20 == 0, 5, shard_docs=70, round_bytes=1)
+    again = topk.search(frame.repartition(3), F.col("doc_id") % 20 == 0, 5, shard_docs=70, round_bytes=1, ahead_docs=100)
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, again.collect()))
 
 
