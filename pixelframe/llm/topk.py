@@ -91,8 +91,8 @@ class Queries:
         ids, sizes, weight = np.concatenate(ids), np.concatenate(sizes), np.concatenate(weights)[first]
         # Queries with the same most frequent term, of one language mostly, are looked at together.
         start = np.cumsum(sizes) - sizes
-        order = np.lexsort((sizes, np.minimum.reduceat(weight[term], start)))
-        return cls(ids[order], sizes[order], vocabulary, weight, term[_spread(start[order], sizes[order])], k)
+        order = np.lexsort((sizes, np.minimum.reduceat(weight.astype(np.float32)[term], start)))
+        return cls(ids[order], sizes[order], vocabulary, weight, np.concatenate([term[start[i] : start[i] + sizes[i]] for i in order]), k)
 
     def lift(self, ids: np.ndarray, scores: np.ndarray) -> None:
         """Scores that k results of the queries ``ids`` are known to reach."""
