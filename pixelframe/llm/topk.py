@@ -44,15 +44,15 @@ from pixelframe.llm.textscan import Words, mix64, slices, string_buffers
 
 K1, B = 1.2, 0.75
 #: Documents and bytes of text of a shard, documents of a block, documents of a task.
-SHARD_DOCS, SHARD_BYTES, BLOCK, TASK_DOCS = 4096, 1 << 24, 128, 43_000
+SHARD_DOCS, SHARD_BYTES, BLOCK, TASK_DOCS = 8192, 1 << 25, 128, 52_000
 #: Of more than so many documents, a part (one in AHEAD) is passed ahead of the others and gives the queries their floors.
 AHEAD_DOCS, AHEAD = 65_536, 16
 #: Lists held by block (the longest ones, in at least this share of a shard's documents).
 FREQUENT, FREQUENT_SHARE = 1024, 0.01
 #: Term occurrences of a packet, bytes of packets that are broadcast at a time.
 PACKET_TERMS, ROUND_BYTES = 500_000, 1 << 25
-#: Queries that open blocks together, and of those the ones whose rare lists are walked together.
-BATCH, WALK = 512, 64
+#: Queries that open blocks together, rare postings of queries that are walked together.
+BATCH, WALK = 512, 100_000
 
 
 def postings(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,29 +132,31 @@ class Shard:
         first = np.searchsorted(doc, here)
         lead, low = np.full(self.n, 64), np.zeros(self.n, np.uint64)
         top = np.argsort(-df, kind="stable")[:64]
-        place = np.full(len(df), 64)
+        place = np.full(len(df), 64, np.int32)
         place[top] = np.arange(len(top))
-        key = np.where(place[term] < 64, tf.astype(np.int64) * 64 + 63 - place[term], 0)
+        place = place[term]
         if len(here):
-            lead[here] = 63 - np.maximum.reduceat(key, first) % 64
-            low[here] = np.minimum.reduceat(mix64(term.astype(np.uint64) + np.uint64(1)), first)
+            lead[here] = 63 - np.maximum.reduceat(np.where(place < 64, tf * 64 + 63 - place, 0), first) % 64
+            low[here] = np.minimum.reduceat(mix64(np.arange(1, len(df) + 1))[term], first)
         return np.lexsort((low, (2 * np.log2(length + 1)).astype(int), lead))
 
     def close(self) -> Shard:
-        doc, term, tf = map(np.concatenate, zip(*self.parts, strict=True))
+        doc, term, tf = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, ids, length = [], np.concatenate(self.ids), np.concatenate(self.lengths)
         known, term = np.unique(term, return_inverse=True)
+        term = term.astype(np.int32)
         at = np.minimum(np.searchsorted(self.queries.vocabulary, known), len(self.queries.vocabulary) - 1)
         asked = self.queries.vocabulary[at] == known
         self.local = np.full(len(self.queries.vocabulary), -1, np.int32)
         self.local[at[asked]] = np.arange(asked.sum())
         weight = self.queries.weight[at[asked]]
-        number = np.where(asked, np.cumsum(asked) - 1, -1)[term]
-        keep = number >= 0
-        doc, term, tf = doc[keep], number[keep], tf[keep]
+        term = np.where(asked, np.cumsum(asked) - 1, -1).astype(np.int32)[term]
+        keep = term >= 0
+        doc, term, tf = doc[keep], term[keep], tf[keep]
+        del keep
         df = np.bincount(term, minlength=len(weight))
         old = self._arrange(doc, term, tf, df, length)
-        place = np.empty(self.n, np.int64)
+        place = np.empty(self.n, np.int32)
         place[old] = np.arange(self.n)
         self.ids = ids[old]
         self.by_id = np.argsort(self.ids, kind="stable")
@@ -163,14 +165,16 @@ class Shard:
         first = np.searchsorted(doc, np.arange(self.n + 1))
         at = _spread(first[:-1][old], np.diff(first)[old])
         doc, self.forward, tf = place[doc[at]], term[at], tf[at]
+        del at, term
         self.forward_start = np.searchsorted(doc, np.arange(self.n + 1))
-        self.value = weight[self.forward] * tf * (K1 + 1) / (tf + soft[doc])
+        self.value = weight[self.forward]
+        self.value *= tf * (K1 + 1) / (tf + soft[doc])
         self.bound = weight * (K1 + 1)  # of any document
         # Frequent lists by block, the others as postings.
         self.blocks = -(-self.n // BLOCK)
         top = np.argsort(-df, kind="stable")[:FREQUENT]
         top = top[df[top] >= max(FREQUENT_SHARE * self.n, 2)]
-        self.column = np.full(len(df), -1)
+        self.column = np.full(len(df), -1, np.int32)
         self.column[top] = np.arange(len(top))
         column = self.column[self.forward]
         inside = column >= 0
@@ -186,7 +190,7 @@ class Shard:
             self.most[columns, b] = values.max(axis=1)
         rest = np.flatnonzero(~inside)
         rest = rest[np.argsort(self.forward[rest], kind="stable")]
-        self.rare_doc, self.rare_value = doc[rest], self.value[rest]
+        self.rare_doc, self.rare_value = doc[rest], self.value[rest].astype(np.float32)
         self.rare_start = np.searchsorted(self.forward[rest], np.arange(len(df) + 1))
         return self
 
@@ -204,13 +208,16 @@ class Shard:
         slack = 1e-2 + 1e-5 * np.bincount(asks, self.bound[t], n)
         # Rare lists are walked.
         score = np.empty((n, self.blocks, BLOCK), np.float32)
-        for first in range(0, n, WALK):
-            last = min(first + WALK, n)
+        walked = np.append(0, np.cumsum(np.bincount(asks, self.rare_start[t + 1] - self.rare_start[t], n)))
+        first = 0
+        while first < n:
+            last = min(max(int(np.searchsorted(walked, walked[first] + WALK, side="right")) - 1, first + 1), n)
             own = slice(*np.searchsorted(asks, [first, last]))
             size = self.rare_start[t[own] + 1] - self.rare_start[t[own]]
             at = _spread(self.rare_start[t[own]], size)
             flat = np.repeat((asks[own] - first) * wide, size) + self.rare_doc[at]
             score[first:last] = np.bincount(flat, self.rare_value[at], (last - first) * wide).reshape(last - first, self.blocks, BLOCK)
+            first = last
         asked = np.zeros((len(self.most), n), np.float32)
         inside = self.column[t] >= 0
         asked[self.column[t[inside]], asks[inside]] = 1
@@ -268,18 +275,16 @@ class Shard:
 
     def _exact(self, asks: np.ndarray, t: np.ndarray, who: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Scores of pairs (query, document), by query, in double precision, summed in the order of terms."""
-        size = self.forward_start[doc + 1] - self.forward_start[doc]
-        at = _spread(self.forward_start[doc], size)
-        term, value = self.forward[at], self.value[at]
-        has = np.zeros(len(self.bound), bool)
-        start = np.append(0, np.cumsum(size))
+        out, has = np.zeros(len(who)), np.zeros(len(self.bound), bool)
         for q in np.unique(who):
             own = t[np.searchsorted(asks, q) : np.searchsorted(asks, q, side="right")]
-            some = slice(start[np.searchsorted(who, q)], start[np.searchsorted(who, q, side="right")])
+            some = slice(np.searchsorted(who, q), np.searchsorted(who, q, side="right"))
+            size = self.forward_start[doc[some] + 1] - self.forward_start[doc[some]]
+            at = _spread(self.forward_start[doc[some]], size)
             has[own] = True
-            value[some] *= has[term[some]]
+            out[some] = np.bincount(np.repeat(np.arange(len(size)), size), self.value[at] * has[self.forward[at]], len(size))
             has[own] = False
-        return np.round(np.bincount(np.repeat(np.arange(len(who)), size), value, len(who)), 6)
+        return np.round(out, 6)
 
 
 def _counts(docs: DataFrame) -> DataFrame:
@@ -409,7 +414,8 @@ def search(docs: DataFrame, queries: Column, k: int = 10, id_col: str = "doc_id"
         held, rest, floors = [tuple(map(bytes, r)) for r in held], rows, None
         if n > ahead_docs:
             ahead = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(AHEAD)) == 0
-            first = scratch.table(pass_documents(rows.where(ahead).coalesce(tasks), held, mean, k, shard_docs), "ahead")
+            few = max(1, -(-4 * tasks // AHEAD))  # tasks of a quarter of the documents of the others
+            first = scratch.table(pass_documents(rows.where(ahead).coalesce(few), held, mean, k, shard_docs), "ahead")
             reached = first.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).where(F.size("s") >= k)
             reached = reached.select("query_id", F.col("s")[k - 1].alias("s")).toArrow()  # a row for each query of the round at most
             floors, rest = (reached.column(0).to_numpy(), reached.column(1).to_numpy()), rows.where(~ahead)
