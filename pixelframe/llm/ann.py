@@ -1,20 +1,24 @@
 """Approximate nearest neighbours by stable projections, a kd-tree and a chi-square stop.
 
-Vectors get one more component that brings all to the same norm, so the largest inner
-product is the smallest Euclidean distance.  A Gaussian (2-stable) matrix projects them to
-a few dimensions, where the squared distance of a pair is its true squared distance times
-a chi-square variable.  A shard's projections are indexed by a kd-tree; a query takes its
-leaves in the order of their distance, verifies their vectors by exact inner products,
-and stops when the chance that an unseen vector beats its k-th best is below 1 - p: the
-next leaf's squared distance exceeds the k-th best one times the p quantile.
-
-Rows are dealt to shards by a hash, queries to blocks; each (shard, block) cell is a task
-of bounded size, and the best k of all shards are merged.  Every row is indexed.
+Vectors get one more component that brings all of a tree to the same norm, and queries are
+scaled to that norm, so the largest inner product is the smallest Euclidean distance.  A Gaussian
+(2-stable) matrix projects them to a few dimensions, where the squared distance of a pair is its
+true squared distance times a chi-square variable.  The projections of a shard are indexed by
+a kd-tree.  A query walks it best first: of the nodes at hand the one closest to it in
+the projection is taken; an inner node is replaced by its children, the rows of a leaf
+come in as projected neighbours, and those within the stop radius are verified by exact
+inner products.  The stop radius is the distance beyond which the chance that an unseen
+row beats the k-th best is below 1 - p: the k-th best squared distance times the chi-square quantile.
+The walk ends when the closest node lies beyond it.
+
+Queries are broadcast in rounds of bounded size, each task indexes its own rows shard by
+shard (every row is indexed, none is shuffled) and takes the k-th best on to its next shard, and the
+best k of all tasks are merged.  Where norms differ much, a shard has a tree for each range of norms.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components
 take no part (neither as query nor as candidate); vectors of another dimension than the query are no
-candidates of it; a query's own id is never its neighbour; repeated rows are candidates
-each; one query for each id (the smallest vector if an id repeats).
+candidates of it; rows of a query's own id are never its neighbours; repeated rows are candidates
+each; equal query rows ask once, and rows of one id with different vectors each get a list of their own.
 """
 
 from __future__ import annotations
@@ -29,8 +33,11 @@ from pyspark.sql import functions as F
 
 from pixelframe.llm import scratch
 
-SHARD_ROWS, BLOCK_QUERIES = 4096, 1024
-DIMENSIONS, LEAF, CONFIDENCE = 8, 32, 0.97
+#: Rows of a shard, bytes of queries that are broadcast at a time, queries that walk together.
+SHARD_ROWS, ROUND_BYTES, TOGETHER = 32_768, 1 << 25, 256
+DIMENSIONS, LEAF, CONFIDENCE = 20, 64, 0.9
+#: Trees of a shard by norm, and the ratio of the largest norm to the median one from which there are several.
+RANGES, SPREAD = 4, 1.05
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -46,72 +53,148 @@ def chi_square_quantile(p: float, m: int) -> float:
     return high
 
 
-def kd_leaves(points: np.ndarray, leaf: int = LEAF) -> list[np.ndarray]:
-    """Row numbers of the leaves of a kd-tree: halves at the median of the widest side."""
-    todo, leaves = [np.arange(len(points))], []
-    while todo:
-        at = todo.pop()
-        if len(at) <= leaf:
-            leaves.append(at)
-            continue
-        side = int(np.ptp(points[at], axis=0).argmax())
-        order = at[np.argpartition(points[at, side], len(at) // 2)]
-        todo += [order[: len(at) // 2], order[len(at) // 2 :]]
-    return leaves
-
-
-def search_shard(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, norm: float, k: int, m: int = DIMENSIONS, p: float = CONFIDENCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query number, row number, score) of the best k of one shard, ties to the smaller id."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
+class KdTree:
+    """Halves at the median of the widest side; a node has a box, a leaf a run of ``order``."""
+
+    def __init__(self, points: np.ndarray, leaf: int = LEAF):
+        self.order = np.arange(len(points))
+        self.start, self.stop, self.left, low, high = [0], [len(points)], [], [], []
+        node = 0
+        while node < len(self.start):
+            a, b = self.start[node], self.stop[node]
+            own = points[self.order[a:b]]
+            low.append(own.min(axis=0))
+            high.append(own.max(axis=0))
+            if b - a > leaf:
+                half = (b - a) // 2
+                self.order[a:b] = self.order[a:b][np.argpartition(own[:, (high[-1] - low[-1]).argmax()], half)]
+                self.left.append(len(self.start))  # the right child follows it
+                self.start += [a, a + half]
+                self.stop += [a + half, b]
+            else:
+                self.left.append(-1)
+            node += 1
+        self.start, self.stop, self.left = (np.array(x) for x in (self.start, self.stop, self.left))
+        self.low, self.high = np.stack(low), np.stack(high)
+
+
+class Asked:
+    """Queries of one dimension and the best that each has found."""
+
+    def __init__(self, asks: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int):
+        self.asks, self.ids, self.q, self.k = asks, ids, q, k
+        self.norm = np.sqrt((q * q).sum(axis=1))
+        self.best = np.full((len(q), k), -np.inf)
+        self.best_id = np.zeros((len(q), k), np.int64)
+        self.verified = 0
+
+    def take(self, who: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Merge results (query number, id, score)."""
+        asked = np.unique(who)
+        q = np.concatenate([np.repeat(asked, self.k), who])
+        i = np.concatenate([self.best_id[asked].ravel(), ids])
+        s = np.concatenate([self.best[asked].ravel(), scores])
+        order = np.lexsort((i, -s, q))
+        order = order[np.arange(len(q)) - np.searchsorted(q[order], q[order]) < self.k]
+        self.best_id[asked], self.best[asked] = i[order].reshape(-1, self.k), s[order].reshape(-1, self.k)
+
+
+def search_shard(ids: np.ndarray, x: np.ndarray, asked: Asked, m: int = DIMENSIONS, p: float = CONFIDENCE) -> None:
+    """Let all queries search the rows of one shard."""
+    norm = np.sqrt((x * x).sum(axis=1))
+    parts = RANGES if norm.max() > SPREAD * np.median(norm) else 1
+    for part in np.array_split(np.argsort(-norm, kind="stable"), parts):
+        if len(part):
+            _search_tree(ids[part], x[part], float(norm[part].max()), asked, m, p)
+
+
+def _search_tree(ids: np.ndarray, x: np.ndarray, norm: float, asked: Asked, m: int, p: float) -> None:
     g = np.random.default_rng(11).normal(size=(x.shape[1] + 1, m))
-    lift = np.sqrt(np.maximum(norm - (x * x).sum(axis=1), 0))
-    xp, qp = x @ g[:-1] + lift[:, None] * g[-1], q @ g[:-1]
-    q_norm = (q * q).sum(axis=1)
-    leaves = kd_leaves(xp)
-    low = np.stack([xp[a].min(axis=0) for a in leaves])
-    high = np.stack([xp[a].max(axis=0) for a in leaves])
-    width = max(map(len, leaves))
-    members = np.full((len(leaves), width), -1)
-    for i, a in enumerate(leaves):
-        members[i, : len(a)] = a
-    away = np.zeros((len(q), len(leaves)))
-    for j in range(m):
-        away += np.maximum(np.maximum(low[:, j] - qp[:, j, None], qp[:, j, None] - high[:, j]), 0) ** 2
-    turn = np.argsort(away, axis=1, kind="stable")
+    lift = np.sqrt(np.maximum(norm * norm - (x * x).sum(axis=1), 0))
+    points = x @ g[:-1] + lift[:, None] * g[-1]
+    tree = KdTree(points)
+    ids, x, points = ids[tree.order], x[tree.order], points[tree.order]
     quantile = chi_square_quantile(p, m)
-    best = np.full((len(q), k), -np.inf)
-    found_q, found_x, found_s = [], [], []
-    active = np.arange(len(q))
-    step = 4
-    for r in range(0, len(leaves), step):
-        distance = np.maximum(q_norm[active] + norm - 2 * best[active].min(axis=1), 0)  # infinite until k are seen
-        active = active[away[active, turn[active, r]] <= distance * quantile]
-        if not len(active):
-            break
-        for part in np.array_split(active, max(1, len(active) // 256)):
-            rows = members[turn[part, r : r + step]].reshape(len(part), -1)
-            score = np.einsum("qrd,qd->qr", x[rows], q[part])
-            score[(rows < 0) | (ids[rows] == q_ids[part, None])] = -np.inf
-            floor = best[part].min(axis=1)
-            a, b = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
-            found_q.append(part[a])
-            found_x.append(rows[a, b])
-            found_s.append(score[a, b])
-            best[part] = np.partition(np.concatenate([best[part], score], axis=1), -k, axis=1)[:, -k:]
-    if not found_q:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    fq, fx, fs = map(np.concatenate, (found_q, found_x, found_s))
-    keep = fs >= best.min(axis=1)[fq]
-    fq, fx, fs = fq[keep], fx[keep], fs[keep]
-    rank = np.lexsort((ids[fx], -fs, fq))
-    fq, fx, fs = fq[rank], fx[rank], fs[rank]
-    start = np.searchsorted(fq, np.arange(len(q)))
-    first = np.arange(len(fq)) - start[fq] < k
-    return fq[first], order[fx[first]], fs[first]
-
-
-def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+    width = int((tree.stop - tree.start)[tree.left < 0].max())
+    for first in range(0, len(asked.q), TOGETHER):
+        q = np.arange(first, min(first + TOGETHER, len(asked.q)))
+        scale = norm / asked.norm[q]
+        at = (asked.q[q] * scale[:, None]) @ g[:-1]
+        bound = np.full((len(q), len(tree.left)), np.inf)  # infinite: not at hand, or done
+        bound[:, 0] = 0
+        alive = np.arange(len(q))
+        while len(alive):
+            node = bound[alive].argmin(axis=1)
+            radius = np.maximum(2 * norm * norm - 2 * scale[alive] * asked.best[q[alive], -1], 0) * quantile  # infinite until k are found
+            go = bound[alive, node] <= np.minimum(radius, np.finfo(float).max)
+            alive, node, radius = alive[go], node[go], radius[go]
+            bound[alive, node] = np.inf
+            inner = tree.left[node] >= 0
+            for child in (0, 1):
+                new = tree.left[node[inner]] + child
+                away = np.maximum(np.maximum(tree.low[new] - at[alive[inner]], at[alive[inner]] - tree.high[new]), 0)
+                bound[alive[inner], new] = (away * away).sum(axis=1)
+            who, leaf = alive[~inner], node[~inner]
+            if not len(who):
+                continue
+            rows = tree.start[leaf][:, None] + np.arange(width)
+            inside = rows < tree.stop[leaf][:, None]
+            rows = np.minimum(rows, len(ids) - 1)
+            gap = points[rows] - at[who][:, None, :]
+            near = inside & ((gap * gap).sum(axis=2) <= radius[~inner][:, None]) & (ids[rows] != asked.ids[q[who]][:, None])
+            a, b = np.nonzero(near)
+            score = np.einsum("rd,rd->r", x[rows[a, b]], asked.q[q[who[a]]])
+            asked.verified += len(score)
+            better = score >= asked.best[q[who[a]], -1]
+            if better.any():
+                asked.take(q[who[a[better]]], ids[rows[a, b][better]], score[better])
+
+
+def _matrix(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(flat values, start, length) of an array of lists."""
+    size = np.asarray(lists.value_lengths())
+    return np.asarray(lists.flatten()), np.cumsum(size) - size, size
+
+
+def pass_rows(rows: DataFrame, asking: pa.Table, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(ask, query_id, id, score): each task's best ``k`` of ``rows`` (id, v) for the queries (ask, id, v)."""
+    shared = rows.sparkSession.sparkContext.broadcast([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in asking.columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asks, q_ids, lists = shared.value
+        asks, q_ids = np.asarray(asks), np.asarray(q_ids)
+        flat, start, size = _matrix(lists)
+        groups = {int(d): Asked(asks[size == d], q_ids[size == d], flat[start[size == d][:, None] + np.arange(d)], k) for d in np.unique(size)}
+        held: dict[int, list] = {}
+        n: dict[int, int] = {}
+
+        def settle(d: int) -> None:
+            ids, x = (np.concatenate(c) for c in zip(*held.pop(d), strict=True))
+            n[d] = 0
+            search_shard(ids, x, groups[d])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, shard_rows):
+                part = batch.slice(at, shard_rows)
+                ids = np.asarray(part.column(0))
+                flat, start, size = _matrix(part.column(1))
+                for d in np.unique(size).tolist():
+                    if d in groups:
+                        own = size == d
+                        if n.get(d, 0) and n[d] + own.sum() > shard_rows:
+                            settle(d)
+                        held.setdefault(d, []).append((ids[own], flat[start[own][:, None] + np.arange(d)]))
+                        n[d] = n.get(d, 0) + int(own.sum())
+        for d in list(held):
+            settle(d)
+        for asked in groups.values():
+            who, nth = np.nonzero(asked.best > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(asked.asks[who]), pa.array(asked.ids[who]), pa.array(asked.best_id[who, nth]), pa.array(asked.best[who, nth])], names=["ask", "query_id", "id", "score"])
+
+    return rows.mapInArrow(run, "ask long, query_id long, id long, score double")
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = SHARD_ROWS, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """The ``k`` rows of largest inner product for each row that fulfils ``queries``.
 
     Columns: query_id, rank (from 1), the id column of the neighbour, score.
@@ -120,34 +203,33 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     v = F.col("v")
     fine = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))) & F.exists(v, lambda c: c != 0)
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), queries.alias("asks")).where(F.col("id").isNotNull() & fine)
-    norm = F.aggregate(v, F.lit(0.0), lambda s, c: s + c * c)
-    n, asking, most = base.agg(F.count("*"), F.count(F.when(F.col("asks"), 1)), F.max(norm)).first()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asking // block_queries))
-    key = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    rows = base.select("id", "v", key(shards).alias("shard"), each(blocks).alias("block"), F.lit(0).alias("role"))
-    ask = base.where("asks").groupBy("id").agg(F.min("v").alias("v"))
-    ask = ask.select("id", "v", each(shards).alias("shard"), key(blocks).alias("block"), F.lit(1).alias("role"))
-
-    def cell(table: pa.Table) -> pa.Table:
-        role = np.asarray(table.column("role"))
-        ids = np.asarray(table.column("id"))
-        lists = table.column("v").combine_chunks()
-        size = np.asarray(lists.value_lengths())
-        flat, start = np.asarray(lists.flatten()), np.cumsum(size) - size
-        out: tuple[list, list, list] = ([], [], [])
-        for d in np.unique(size[role == 1]):
-            x_at, q_at = np.flatnonzero((size == d) & (role == 0)), np.flatnonzero((size == d) & (role == 1))
-            if len(x_at):
-                x, q = (flat[start[a][:, None] + np.arange(d)] for a in (x_at, q_at))
-                fq, fx, fs = search_shard(ids[x_at], x, ids[q_at], q, most, k)
-                for column, values in zip(out, (ids[q_at][fq], ids[x_at][fx], fs), strict=True):
-                    column.append(values)
-        columns = [pa.array(np.concatenate(c) if c else np.zeros(0), t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)]
-        return pa.Table.from_arrays(columns, names=["query_id", "id", "score"])
-
-    cells = rows.union(ask).repartition(scratch.partitions(spark, shards * blocks, 2), "shard", "block")
-    found = cells.groupBy("shard", "block").applyInArrow(cell, "query_id long, id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    rows = base.select("id", "v")
+    n = rows.count()
+    rows = rows.coalesce(max(1, -(-n // shard_rows)))
+    asking = base.where("asks").select("id", "v").distinct().withColumn("part", F.spark_partition_id()).withColumn("ask", F.monotonically_increasing_id())
+    asking = scratch.table(asking, "asking")
+    # Rounds of queries: whole numbers of a table's parts, cut further where a part is large.
+    sizes = asking.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.size("v") * 8 + 16).alias("bytes")).orderBy("part").collect()
+    rounds: list[list] = []
+    room = 0
+    for r in sizes:
+        pieces = -(-r["bytes"] // round_bytes)
+        if r["bytes"] > room or pieces > 1:
+            rounds += [[(r["part"], i, pieces)] for i in range(pieces)]
+            room = round_bytes - r["bytes"] if pieces == 1 else 0
+        else:
+            rounds[-1].append((r["part"], 0, 1))
+            room -= r["bytes"]
+    found = []
+    for some in rounds:
+        part, i, pieces = some[0]
+        mine = F.col("part").isin([p for p, _, _ in some]) & (F.pmod(F.xxhash64("ask"), F.lit(pieces)) == i)
+        found.append(pass_rows(rows, asking.where(mine).select("ask", "id", "v").toArrow(), k, shard_rows))
+        if len(rounds) > 1:
+            found[-1] = scratch.table(found[-1], "found")
+    every = found[0] if found else spark.createDataFrame([], "ask long, query_id long, id long, score double")
+    for more in found[1:]:
+        every = every.union(more)
+    w = Window.partitionBy("ask").orderBy(F.desc("score"), "id")
+    ranked = every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
