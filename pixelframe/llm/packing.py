@@ -5,9 +5,10 @@ binary form, ``max_length`` at most, longest first.  A piece is a training seque
 of its own; pieces of equal length form a bucket, from which batches of equal shape
 are drawn without padding, and no sequence crosses documents.
 
-Token ids come from a byte-level BPE file of the ``tokenizers`` library.  BPE works on
-each pre-token by itself, so a task splits texts with the tokenizer's own
-pre-tokenisation pattern and encodes each distinct pre-token once.
+Token ids come from a byte-level BPE file of the ``tokenizers`` library, as its plain call gives them
+(``add_special_tokens=False``).  BPE works on each pre-token by itself, so a task cuts texts where
+the tokenizer's own pattern cuts them and encodes each distinct pre-token once.  A text that holds the
+content of an added token goes to the library as a whole.
 
 Defined results: a null or empty text has the end mark only (one piece of length 1);
 repeated rows and rows with equal or null ids are packed separately (``sequence_id`` is
@@ -58,20 +59,22 @@ def encoder(path: str, pattern: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+    special = re.compile("|".join(added)).search if added else lambda text: None
     split = splitter(pattern)
     known: dict[str, bytes] = {}
 
     def encode(texts: list[str]) -> list[bytes]:
-        pieces = [split(t) for t in texts]
+        pieces = [None if special(t) else split(t) for t in texts]
         if len(known) > CACHE:
             known.clear()
-        new = list({p for parts in pieces for p in parts if p not in known})
+        new = list({p for parts in pieces if parts for p in parts if p not in known})
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
             for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 known[p] = array("I", e.ids).tobytes()
-        return [b"".join(map(known.__getitem__, parts)) for parts in pieces]
+        whole = lambda t: array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
+        return [whole(t) if parts is None else b"".join(map(known.__getitem__, parts)) for t, parts in zip(texts, pieces, strict=True)]
 
     return encode
 

@@ -21,7 +21,6 @@ def test_pieces_are_powers_of_two_and_complete(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "x"), (0, "again")], "doc_id long, text string").withColumn("start", F.lit("x"))
     got = packing.pack(df, P.path("byte_bpe_50k.json"), P.PATTERN, with_ids=True).collect()
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     assert len({r["sequence_id"] for r in got}) == len(got)
     for i, text in enumerate(texts[1:], 1):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
@@ -33,6 +32,23 @@ def test_pieces_are_powers_of_two_and_complete(spark):
     assert sum(r["length"] for r in got if r["doc_id"] == 0) == 1 + 2
 
 
+def test_ids_are_those_of_the_plain_call():
+    """On all documents of a small table, on odd spacing and on contents of added tokens."""
+    import pyarrow.parquet as pq
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = [x or "" for x in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()]
+    texts += ["", " ", "  ", "a ", " a", "a  b", "a   b", "a \n b", "a\n b", "a\n\n  b ", "\t x", "it's 's '", "a\u00a0 b", "a \u3000b", "x" * 100_000, "end.\nNext 12,5%"]
+    texts += [f"a {x.content} b{x.content}" for x in t.get_added_tokens_decoder().values()]
+    encode = packing.encoder(path, P.PATTERN)
+    for i in range(0, len(texts), 200):
+        got = [np.frombuffer(b, "<u4").tolist() for b in encode(texts[i : i + 200])]
+        assert got == [t.encode(x, add_special_tokens=False).ids for x in texts[i : i + 200]]
+
+
 def test_cut_and_splitter():
     import public_tokenizers as P
     import regex
