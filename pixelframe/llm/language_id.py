@@ -4,8 +4,9 @@ Every word gets label marginals from forward-backward; a document's language is
 the label with the largest mean marginal, so mixed documents also yield a
 share for each language (``spans`` gives the runs).
 
-Training: a bounded sample of labelled documents (``per_language`` expected rows
-for each label, ``MAX_LABELS`` labels at most in the order of frequency), whole texts.
+Training: a bounded sample of labelled documents, whole texts: of each label the first
+``per_language`` distinct rows in the order of a hash of id and text, as long as the rows before hold fewer
+than ``LANGUAGE_BYTES`` bytes.  Every label is learned.
 Since documents carry one label, training sequences are made of pieces of
 documents of different languages, which is what the transitions are learned from.
 
@@ -21,15 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelframe.llm import scratch
 from pixelframe.llm.crf import Crf, Features, build_lexicon
 from pixelframe.llm.textscan import Words, slices, string_buffers
 
-#: Expected number of training documents of each language.
-PER_LANGUAGE = 300
-MAX_LABELS = 64
+#: Training documents of each language, and the bytes of text from which no further one is taken.
+PER_LANGUAGE, LANGUAGE_BYTES = 300, 4_000_000
+HASHES = 1_000_003
 UNDETERMINED = "und"
 
 
@@ -38,12 +40,12 @@ def remainder(id_col: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % n, F.lit(-1))
 
 
-def _scan(texts: list[str]) -> Words:
-    return Words(*string_buffers(pa.array(texts, pa.large_string())))
+def _scan(texts: list[str] | list[bytes]) -> Words:
+    return Words(*string_buffers(pa.array([t.encode() if isinstance(t, str) else t for t in texts], pa.large_binary())))
 
 
-def _join(pieces: list[Words], spans: list[tuple[int, int, int]]) -> str:
-    return " ".join(bytes(pieces[d].bytes[pieces[d].start[i] : pieces[d].end[j - 1]]).decode("utf-8", "replace") for d, i, j in spans)
+def _join(pieces: list[Words], spans: list[tuple[int, int, int]]) -> bytes:
+    return b" ".join(bytes(pieces[d].bytes[pieces[d].start[i] : pieces[d].end[j - 1]]) for d, i, j in spans)
 
 
 def train(labelled: list[tuple[str, str]], labels: list[str], seed: int = 7, epochs: int = 5, batch_words: int = 30_000) -> Crf:
@@ -75,26 +77,31 @@ def train(labelled: list[tuple[str, str]], labels: list[str], seed: int = 7, epo
         ys.append(np.concatenate([np.full(b - a, scanned[d][1]) for d, a, b in some]))
         n += len(ys[-1])
         if n >= batch_words or i >= len(pieces):
-            words = _scan(texts)
-            keep = np.concatenate(ys)
-            if len(words) == len(keep):
-                batches.append((words, keep))
+            batches.append((_scan(texts), np.concatenate(ys)))
             texts, ys, n = [], [], 0
     return crf.fit(batches, epochs)
 
 
-def sample_labelled(docs: DataFrame, text_col: str, lang_col: str, order: Column, per_language: int) -> list[tuple[str, str]]:
-    """About ``per_language`` rows of each of the most frequent labels, chosen by a hash of the row's key."""
-    counts = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count()
-    counts = counts.orderBy(F.desc("count"), "lang").limit(MAX_LABELS).collect()
-    if not counts:
-        return []
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(lang_col) == r["lang"], F.lit(min(1.0, per_language / r["count"]))).otherwise(share)
-    # At least a handful of rows even when the expectation is small.
-    picked = docs.where(F.pmod(order, F.lit(1_000_003)) < share * 1_000_003).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    return [(r["t"] or "", r["l"]) for r in picked.collect()]
+def sample_labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, language_bytes: int = LANGUAGE_BYTES) -> list[tuple[str, str]]:
+    """The bounded training rows of every label: its first distinct rows in the order of a hash of id and text."""
+    rows = docs.where(F.col(lang_col).isNotNull()).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), F.col(lang_col).alias("l"), F.col(id_col).cast("string").alias("i"))
+    rows = rows.withColumn("o", F.pmod(F.xxhash64("i", "t"), F.lit(HASHES)))
+    counts = scratch.table(rows.groupBy("l").count(), "labels")
+    most, labels = counts.agg(F.max("count"), F.count("*")).first()
+    margin, taken = 2, []
+    while labels:
+        # Only rows of low hashes are ranked, so no label's rows meet as a whole; a label that gets too few asks for more.
+        share = F.least(F.lit(1.0), margin * (per_language + 50.0) / F.col("count"))
+        drawn = scratch.join_counted(rows, counts, ["l"], "inner", labels).where(F.col("o") < share * HASHES).select("l", "count", "o", "i", "t").distinct()
+        first = Window.partitionBy("l").orderBy("o", "i", "t")
+        before = F.sum(F.octet_length("t")).over(first.rowsBetween(Window.unboundedPreceding, 0)) - F.octet_length("t")
+        ranked = drawn.select("t", "l", "count", F.row_number().over(first).alias("n"), before.alias("before"), F.count("*").over(Window.partitionBy("l")).alias("drawn"))
+        taken = ranked.where((F.col("n") <= per_language) & (F.col("before") < language_bytes)).orderBy("l", "n").collect()
+        enough = sum(r["n"] == 1 and r["drawn"] >= min(per_language, r["count"]) for r in taken)
+        if enough == labels or margin * (per_language + 50) >= most:
+            break
+        margin *= 8
+    return [(r["t"], r["l"]) for r in taken]
 
 
 def predict(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
@@ -139,7 +146,7 @@ def predict(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", text_col:
 
 def fit(train_docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Crf | None:
     """Train on a bounded sample of ``train_docs``; None when nothing is labelled."""
-    rows = sample_labelled(train_docs, text_col, lang_col, F.xxhash64(F.col(id_col).cast("string")), per_language)
+    rows = sample_labelled(train_docs, id_col, text_col, lang_col, per_language)
     labels = sorted({label for _, label in rows})
     return train(rows, labels) if labels else None
 
