@@ -8,7 +8,7 @@ posterior from the difference of Mahalanobis log densities.
 
 Defined results: null and empty texts have the statistics of an empty text and get a
 score like any other; with one class only (or none) every score is that class's
-share (0.5 without labels); repeated rows and null ids are kept.
+share (0.5 without labels); a document with both labels counts as 1; repeated rows and null ids are kept.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelframe.llm import scratch
 from pixelframe.llm.language_id import remainder
 from pixelframe.llm.textscan import Words, slices, string_buffers
 
@@ -142,7 +143,10 @@ class Discriminant:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Discriminant:
     """Class moments of the features over all labelled rows; only sums reach the driver."""
-    marked = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).dropDuplicates(["__id"])
+    marked = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
+    # Few labels: only the labelled texts are looked at.  Many: the short features are joined, not the texts.
+    if marked.count() <= scratch.BROADCAST_ROWS:
+        docs = docs.join(F.broadcast(marked.select(F.col("__id").alias(id_col))), id_col, "left_semi")
     x = features(docs, id_col, text_col).select(F.col(id_col).alias("__id"), "x").join(marked, "__id")
     d = len(FEATURES)
 

@@ -9,7 +9,7 @@ number, largest, share) whose logistic model is fitted to the document labels.
 The training sample is bounded: ``PER_CLASS`` expected documents of each label, whole
 texts.  Defined results: null or empty texts and texts without a letter have no span
 and get the score of zero toxic words; with labels of one kind only (or none) every
-score is that kind's share (0 without labels); null ids, repeated rows and further
+score is that kind's share (0 without labels); a document with both labels counts as toxic; null ids, repeated rows and further
 columns pass as in language identification.
 """
 
@@ -112,12 +112,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     The chosen ids are broadcast: their number is the bound of the sample.  The class shares of the corpus are restored in the document model's intercept.
     """
-    marked = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
+    marked = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
     counts = {r["__y"]: r["count"] for r in marked.groupBy("__y").count().collect()}
     chance = F.lit(0.0)
     for y, c in counts.items():
         chance = F.when(F.col("__y") == y, F.lit(min(1.0, per_class / c))).otherwise(chance)
-    chosen = marked.where(F.pmod(F.xxhash64(F.col("__id").cast("string")), F.lit(1_000_003)) < chance * 1_000_003).dropDuplicates(["__id"])
+    chosen = marked.where(F.pmod(F.xxhash64(F.col("__id").cast("string")), F.lit(1_000_003)) < chance * 1_000_003)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "__id").select("t", "__y").collect()
     model = train([(r["t"] or "", r["__y"]) for r in rows])
     if model.crf is not None and len(counts) == 2:
