@@ -195,14 +195,14 @@ def links(nodes: DataFrame, n: int, chunk: int = CHUNK) -> DataFrame:
     sets = F.array(*[F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks)])
     rows = nodes.select("fp", "node", F.explode(sets).alias("s")).select("s.part", "s.bits", "fp", "node")
     large = scratch.table(rows.groupBy("part", "bits").count().where(F.col("count") > chunk), "hot")
-    n_large = large.count()
+    n_large, copies = large.agg(F.count("*"), F.sum(F.col("count") * F.ceil(F.col("count") / chunk))).first()
     large = large.select("part", "bits", F.ceil(F.col("count") / chunk).cast("int").alias("p"))
     rows = scratch.join_counted(rows, large, ["part", "bits"], "left", n_large)
     p = F.coalesce("p", F.lit(1))
     rows = rows.withColumn("p", p).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("p")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda o: F.struct(F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j")))
     rows = rows.withColumn("c", F.explode(cells)).select("part", "bits", F.col("c.i").alias("i"), F.col("c.j").alias("j"), "chunk", "fp", "node")
-    dealt = rows.repartition(scratch.partitions(spark, n * len(masks), 150_000), "part", "bits", "i", "j")
+    dealt = rows.repartition(scratch.partitions(spark, n * len(masks) + (copies or 0), 150_000), "part", "bits", "i", "j")
     return dealt.mapInArrow(_linked, "a long, b long")
 
 
