@@ -13,21 +13,23 @@ Per-document work is a hash and a join with the plan of (source, block), so a so
 a third of all rows is spread over its blocks.
 
 Defined results: a null text has no tokens; a null source is a source of its own; rows of
-equal id and source stand or fall together; sources without tokens are shown once if
+equal id and source stand or fall together; sources that do not meet a limit even as they are
+are mixed as they are, with a warning; sources without tokens are shown once if
 ``cover`` is set and never otherwise; with an empty table the result is empty.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelframe.llm import scratch
 
-#: Blocks of a source, steps of one pass, passes, largest exponent (1: as the sources are; repetitions grow again beyond).
-BLOCKS, STEPS, PASSES, LARGEST = 1024, 5, 8, 1.0
+#: Least blocks of a source, rows of a table for each block beyond that, steps of one pass, passes, largest exponent (1: as the sources are; repetitions grow again beyond).
+BLOCKS, BLOCK_ROWS, STEPS, PASSES, LARGEST = 1024, 4096, 5, 8, 1.0
 
 
 def words(text: Column) -> Column:
@@ -60,10 +62,12 @@ def bisect_exponent(sources: DataFrame, total: int, budget: int | None, entropy:
             flat = math.log(r["z"]) - r["s"] / r["z"] > entropy * math.log(r["n"])
             shown = r["most"] / r["least"] if budget is None else r["most"] / r["z"] * budget / total
             low, high = (mid, high) if flat or shown > repeats else (low, mid)
+    if low >= LARGEST * (1 - 2.0 ** -(STEPS * PASSES - 2)):
+        warnings.warn("the sources as they are do not meet the entropy or repetition limit; they are mixed as they are", stacklevel=3)
     return high
 
 
-def plan(docs: DataFrame, entropy: float, repeats: float, budget: int | None = None, cover: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1, blocks: int = BLOCKS) -> DataFrame:
+def plan(docs: DataFrame, entropy: float, repeats: float, budget: int | None = None, cover: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1, blocks: int | None = None) -> DataFrame:
     """Every row of ``docs`` with ``n_tokens``, ``weight`` of its source and ``copies``.
 
     ``budget`` is in tokens (the tokens of ``docs`` if None); with ``cover`` it is what shows
@@ -73,7 +77,9 @@ def plan(docs: DataFrame, entropy: float, repeats: float, budget: int | None = N
     docs = docs.drop(*[c for c in ("n_tokens", "weight", "copies") if c in docs.columns])
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    block = F.conv(F.substring("__order", 1, 6), 16, 10).cast("int") % blocks
+    if blocks is None:
+        blocks = max(BLOCKS, -(-docs.count() // BLOCK_ROWS))
+    block = F.conv(F.substring("__order", 1, 8), 16, 10).cast("long") % blocks
     small = docs.select(key.alias("__key"), order.alias("__order"), words(F.col(text_col)).alias("tokens")).withColumn("__block", block)
     small = scratch.table(small, "tokens")
     per_block = scratch.table(small.groupBy("__key", "__block").agg(F.sum("tokens").alias("tokens")), "blocks")
@@ -103,13 +109,15 @@ def plan(docs: DataFrame, entropy: float, repeats: float, budget: int | None = N
     last = inside.withColumn("sum", F.sum("tokens").over(up_to)).where("sum <= room").groupBy("__key", "__block").agg(F.max("__order").alias("__last"))
     steps = scratch.table(cut.join(last, ["__key", "__block"], "left"), "plan")
     rows = docs.withColumns({"__key": key, "__order": order}).withColumn("__block", block)
+    steps = steps.select("__key", "__block", F.struct("weight", "epochs", "room", "tokens", F.col("__last").alias("last")).alias("__plan"))
     rows = scratch.join_counted(rows, steps, ["__key", "__block"], "left", n_cut)
-    extra = F.when((F.col("room") > 0) & ((F.col("room") >= F.col("tokens")) | (F.col("__order") <= F.col("__last"))), 1).otherwise(0)
-    return rows.select(*[F.col(c) for c in docs.columns], words(F.col(text_col)).alias("n_tokens"), "weight", (F.col("epochs") + extra).alias("copies"))
+    step = F.col("__plan")
+    extra = F.when((step["room"] > 0) & ((step["room"] >= step["tokens"]) | (F.col("__order") <= step["last"])), 1).otherwise(0)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], words(F.col(text_col)).alias("n_tokens"), step["weight"].alias("weight"), (step["epochs"] + extra).alias("copies"))
 
 
 def mix(docs: DataFrame, entropy: float, repeats: float, **options) -> DataFrame:
     """``docs`` with each row as often as planned; ``options`` as of ``plan``."""
     named = [options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("source_col", "source")]
-    planned = plan(docs.select(*named, F.struct(*docs.columns).alias("__row")), entropy, repeats, **options).where("copies > 0")
+    planned = plan(docs.select(*named, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")), entropy, repeats, **options).where("copies > 0")
     return planned.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")

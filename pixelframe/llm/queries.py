@@ -74,7 +74,7 @@ WITH RECURSIVE t AS (
   SELECT doc_id, source, coalesce('=' || source, 'null') AS k, md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o,
          CAST(coalesce(len(regexp_extract_all(text, '[^\\x09-\\x0D\\x20]+')), 0) AS BIGINT) AS n
   FROM documents),
-d AS (SELECT *, CAST(('0x' || substr(o, 1, 6)) AS INTEGER) % {mixing.BLOCKS} AS b FROM t),
+d AS (SELECT *, CAST(('0x' || substr(o, 1, 8)) AS BIGINT) % (SELECT greatest({mixing.BLOCKS}, (count(*) + {mixing.BLOCK_ROWS - 1}) // {mixing.BLOCK_ROWS}) FROM documents) AS b FROM t),
 s AS (SELECT k, sum(n)::BIGINT AS n FROM d GROUP BY k),
 tot AS (SELECT sum(n)::BIGINT AS n FROM s),
 lp AS (SELECT ln(s.n / tot.n::DOUBLE) AS lp FROM s, tot WHERE s.n > 0),

@@ -139,3 +139,30 @@ def test_quality_one_class(spark, share):
     docs = spark.createDataFrame([(i, "abc def") for i in range(4)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, share) for i in range(4)], "doc_id long, quality int")
     assert quality.classify(docs, labels, fold=1000, held=999).select("score").distinct().collect()[0][0] == share
+
+
+def test_every_label_is_learned_from_bounded_rows(spark):
+    """Seventy labels, one of which holds many equal rows of one id."""
+    rows = [(i, f"w{chr(97 + i % 70 // 26)}{chr(97 + i % 70 % 26)} common", f"l{i % 70}") for i in range(700)] + [(None, "same text", "l0")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.sample_labelled(docs, "doc_id", "text", "lang", 5)
+    assert {lang for _, lang in got} == {f"l{i}" for i in range(70)}
+    assert all(sum(lang == x for _, lang in got) == 5 for x in ("l0", "l7"))
+    assert len(language_id.sample_labelled(docs, "doc_id", "text", "lang", 5, language_bytes=1)) == 70
+    assert sorted(got) == sorted(language_id.sample_labelled(docs.repartition(7), "doc_id", "text", "lang", 5))
+    assert language_id.sample_labelled(docs.where("lang = 'x'"), "doc_id", "text", "lang", 5) == []
+
+
+def test_documents_with_two_labels_take_the_larger(spark):
+    docs = spark.createDataFrame([(i, "good words here " * 3 if i % 2 else "vile vile slur") for i in range(40)], "doc_id long, text string")
+    once = [(i, 1 - i % 2, i % 2) for i in range(40)]
+    twice = [(1, 0, 0), (2, 0, 0), (3, 0, 0), (3, None, None), (2, 7, 7)]
+    schema = "doc_id long, toxic int, quality int"
+    a, b = spark.createDataFrame(once, schema), spark.createDataFrame(once + twice, schema)
+    for labels in (a, b):
+        model = toxicity.fit(docs, labels)
+        want = toxicity.fit(docs, a)
+        assert np.allclose(model.coefficients, want.coefficients)
+    even = [(i, None, 1 - i % 2) for i in range(0, 40, 2)]
+    low, high = quality.fit(docs, spark.createDataFrame(even, schema).union(a)), quality.fit(docs, spark.createDataFrame([(i, None, 1) for i in range(40)], schema))
+    assert low.counts == high.counts == {1: 40}

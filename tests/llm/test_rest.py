@@ -207,6 +207,32 @@ def test_mixing_cover_and_odd_rows(spark):
     assert mixing.mix(docs.where("doc_id = -1"), 0.9, 3.0).count() == 0
 
 
+def test_mixing_takes_any_column_name(spark):
+    rows = [(i, "w " * (i % 5), "xyz"[i % 3], 1, 2, "t", "l", 0) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, room int, epochs int, tokens string, last string, `a.b` int")
+    plain = mixing.plan(docs.select("doc_id", "text", "source"), 0.9, 3.0).select("doc_id", "copies").collect()
+    out = mixing.plan(docs, 0.9, 3.0)
+    assert out.columns == [*docs.columns, "n_tokens", "weight", "copies"]
+    assert sorted(map(tuple, plain)) == sorted((r["doc_id"], r["copies"]) for r in out.collect())
+    assert mixing.mix(docs, 0.9, 3.0).columns == docs.columns
+    even = spark.createDataFrame([(s, 10) for s in "abcd"], "k string, tokens long")
+    with pytest.warns(UserWarning, match="as they are"):
+        assert mixing.bisect_exponent(even, 40, 40, 0.9, 4.0) == pytest.approx(1.0)
+
+
+def test_equal_payloads_match_sql(spark, tmp_path):
+    """The tables hold no equal payloads of 100 bytes, so revisits meet their SQL here."""
+    rows = [(i, f"http://h/{i}", h) for i, h in enumerate(["x" * 120, "y" * 99, "x" * 120, None, "", "y" * 99, "é" * 50, "é" * 50, "x" * 120])] + [(-3, "u", "z" * 200), (12, None, "z" * 200)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    df, want = queries.op6_arc_to_warc(spark, str(tmp_path)), con.sql(queries.OP6_SQL)
+    at = [list(want.columns).index(c) for c in df.columns]
+    got = sorted(map(tuple, df.collect()), key=repr)
+    assert got == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=repr)
+    assert sum(r[3] == "revisit" for r in got) == 4
+
+
 def brute_bm25(rows, asks, k):
     import re
 
