@@ -18,6 +18,7 @@ unique for each piece); further columns are ignored.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import zlib
@@ -51,6 +52,13 @@ def splitter(pattern: str):
     return lambda text: exact(text) if other(text) else fast(text)
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter of each byte in a byte-level model: printable ones stand for themselves, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, pattern: str):
     """texts -> ids as uint32 byte strings (of little-endian machines)."""
@@ -63,16 +71,24 @@ def encoder(path: str, pattern: str):
     special = re.compile("|".join(added)).search if added else lambda text: None
     split = splitter(pattern)
     known: dict[str, bytes] = {}
+    plan = json.loads(tokenizer.to_str())
+    level = plan["pre_tokenizer"] or {}
+    if pattern == _PLAIN_PATTERN and plan["normalizer"] is None and level.get("type") == "ByteLevel" and not level["add_prefix_space"]:
+        # A pre-token in the letters of the model is all that the library hands to it.
+        merge, letters = tokenizer.model.tokenize, byte_letters()
+        learn = lambda some: [[t.id for t in merge(p.encode().decode("latin-1").translate(letters))] for p in some]
+    else:
+        learn = lambda some: [e.ids for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
     def encode(texts: list[str]) -> list[bytes]:
         pieces = [None if special(t) else split(t) for t in texts]
         if len(known) > CACHE:
             known.clear()
-        new = list({p for parts in pieces if parts for p in parts if p not in known})
+        new = list(set().union(*(parts for parts in pieces if parts)).difference(known))
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
-            for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[p] = array("I", e.ids).tobytes()
+            for p, ids in zip(some, learn(some), strict=True):
+                known[p] = array("I", ids).tobytes()
         whole = lambda t: array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
         return [whole(t) if parts is None else b"".join(map(known.__getitem__, parts)) for t, parts in zip(texts, pieces, strict=True)]
 
