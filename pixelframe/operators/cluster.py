@@ -8,6 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelframe.operators.sampling import running_total
+from pixelframe.plans.materialise import materialise
+
 
 def squared_distance(cols: list[str], centre: list[float]) -> Column:
     return sum((F.pow(F.col(c).cast("double") - float(v), F.lit(2.0)) for c, v in zip(cols, centre, strict=True)), F.lit(0.0))
@@ -126,11 +129,24 @@ def merge_profiles(parts: DataFrame, by: list[str]) -> DataFrame:
 
 def boxplot(df: DataFrame, by: str, col: str, key: list[str], trim: float = 0.01) -> DataFrame:
     """Quartiles and 1.5 IQR whiskers of each class after cutting round(trim * n) rows from both tails."""
-    up, down = Window.partitionBy(by).orderBy(col, *key), Window.partitionBy(by)
-    ranked = df.where(F.col(col).isNotNull()).withColumns({"__r": F.row_number().over(up), "__n": F.count("*").over(down)})
-    cut = F.round(F.col("__n") * trim).cast("long")
-    kept = ranked.where((F.col("__r") > cut) & (F.col("__r") <= F.col("__n") - cut))
-    q = kept.groupBy(by).agg(F.percentile(col, F.lit(0.25)).alias("q1"), F.percentile(col, F.lit(0.5)).alias("q2"), F.percentile(col, F.lit(0.75)).alias("q3"), F.count("*").alias("n"))
+    full = df.where(F.col(col).isNotNull() & F.col(by).isNotNull()).select(by, F.col(col).cast("double").alias("__v"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(key)])
+    ranked = running_total(full.withColumn("__one", F.lit(1)), [by, "__v", *[f"__k{i}" for i in range(len(key))]], "__one", "__r")
+    ranked = materialise(ranked.select(by, "__v", "__r"), "ranked")
+    sizes = ranked.groupBy(by).agg(F.count("*").alias("__n"), (F.min("__r") - 1).alias("__before")).withColumn("__cut", F.round(F.col("__n") * trim).cast("long"))
+    rank = F.col("__r") - F.col("__before")
+    kept = ranked.join(F.broadcast(sizes) if sizes.count() <= 50_000 else sizes, by).where((rank > F.col("__cut")) & (rank <= F.col("__n") - F.col("__cut")))
+
+    def quantile(p: float) -> Column:
+        """Between the two ranks around the place p of the rows that are kept."""
+        place = (F.col("__n") - 2 * F.col("__cut") - 1) * F.lit(p)
+        low = F.floor(place)
+        share = F.first(place - low)
+        at = lambda i: F.max(F.when(rank - F.col("__cut") - 1 == low + i, F.col("__v")))
+        return at(0) + F.when(share > 0, share * (at(1) - at(0))).otherwise(0.0)
+
+    q = kept.groupBy(by).agg(quantile(0.25).alias("q1"), quantile(0.5).alias("q2"), quantile(0.75).alias("q3"), F.count("*").alias("n"))
+    q = materialise(q, "quartiles")
+    col = "__v"
     inside = kept.join(q, by).where((F.col(col) >= F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) & (F.col(col) <= F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
     return q.join(inside.groupBy(by).agg(F.min(col).alias("low"), F.max(col).alias("high")), by)
 

@@ -22,7 +22,7 @@ def complete(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def apply_complete(df: DataFrame, id_cols: list[str], cols: list[str], func) -> DataFrame:
-    """Apply ``func`` (frame to frame with the ids) to complete rows; other rows get nulls."""
+    """Apply ``func`` (frame to frame with the ids, which tell rows apart) to complete rows; other rows get nulls."""
     return df.select(*id_cols).join(func(complete(df, cols)), id_cols, "left")
 
 
@@ -99,3 +99,14 @@ def satisfied(conditions: list[tuple]) -> Column:
         x = F.col(col).cast("double")
         parts.append(reduce(lambda a, b: a | b, [F.abs(x - F.lit(float(v))) <= 1e-8 + 1e-5 * abs(v) for v in value]) if op == "in" else ops[op](x, F.lit(float(value))))
     return reduce(and_, parts, F.lit(True))
+
+
+def keep_fields(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The named columns that there are, in the order given."""
+    return df.select(*[F.col(f"`{c}`") for c in cols if c in df.columns])
+
+
+def dem_mask(pixels: DataFrame, dem: DataFrame, cols: list[str]) -> DataFrame:
+    """Null ``cols`` where the elevation raster (px, py, dem) has no value."""
+    here = pixels.join(dem.select("px", "py", "dem"), ["px", "py"], "left")
+    return here.withColumns({c: F.when(F.col("dem").isNotNull(), F.col(c)) for c in cols}).drop("dem")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelframe.grid import Grid
+from pixelframe.plans.materialise import materialise
 
 #: Rows of a side that may be broadcast; beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 200_000
@@ -96,11 +97,46 @@ def sensor_pairs(sensors: DataFrame, ground: DataFrame, reach: float, mu: float,
     return pairs.select("sensor", "cell", F.try_divide(F.exp(-mu * F.sqrt(r2)), r2).alias("value")).where(F.col("value") > tol)
 
 
-def knn(queries: DataFrame, reference: DataFrame, distance: Column, k: int, query_id: str, ref_id: str) -> DataFrame:
-    """The k nearest rows of a reference of counted size for each query row (ties to the smaller id)."""
-    pairs = queries.crossJoin(small(reference, reference.count())).withColumn("distance", distance)
-    w = Window.partitionBy(query_id).orderBy("distance", ref_id)
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def nearest(queries: DataFrame, reference: DataFrame, q_cols: list[str], r_cols: list[str], k: int, query_id: str, ref_id: str) -> DataFrame:
+    """The k nearest reference rows (``distance``, ``rank``) of each query row by Euclidean distance, ties to the smaller id.
+
+    Exact: queries meet the reference rows of their own and the neighbouring cells of a grid; those whose
+    k-th distance is beyond the cell width go on with cells twice as wide.  Of equal places
+    only the first k ids can be among the nearest.  Rows without a place are left out.
+    """
+    ref = reference.na.drop(subset=r_cols)
+    ref = ref.withColumn("__n", F.row_number().over(Window.partitionBy(*r_cols).orderBy(ref_id))).where(F.col("__n") <= k).drop("__n")
+    ref = materialise(ref, "reference")
+    left = materialise(queries.na.drop(subset=q_cols), "queries")
+    span = ref.agg(F.count("*"), *[f(c) for c in r_cols for f in (F.min, F.max)]).first()
+    reach = left.agg(*[f(c) for c in q_cols for f in (F.min, F.max)]).first()
+    n = span[0]
+    if not n or reach[0] is None:
+        k = 0
+    k = min(k, n)
+    sides = [float(b - a) for a, b in zip(span[1::2], span[2::2], strict=True)] if n else []
+    width = max([s * (k / n) ** (1 / len(q_cols)) for s in sides], default=1.0) or 1.0
+    far = max([max(float(b), float(d)) - min(float(a), float(c)) for a, b, c, d in zip(span[1::2], span[2::2], reach[::2], reach[1::2], strict=True)], default=0.0) if k else 0.0
+    square = sum(((F.col(a).cast("double") - F.col(b)) * (F.col(a).cast("double") - F.col(b)) for a, b in zip(q_cols, r_cols, strict=True)), F.lit(0.0))
+    best = Window.partitionBy(query_id).orderBy("distance", ref_id)
+    done = []
+    while True:
+        names = [f"__c{i}" for i in range(len(q_cols))]
+        around = left
+        for c, name in zip(q_cols, names, strict=True):
+            around = around.withColumn(name, F.explode(F.array(*[F.floor(F.col(c) / width) + o for o in (-1, 0, 1)])))
+        cells = ref.withColumns({name: F.floor(F.col(c) / width) for c, name in zip(r_cols, names, strict=True)})
+        got = around.join(cells, names).drop(*names).withColumn("distance", F.sqrt(square))
+        got = got.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        got = materialise(got, "near")
+        settled = got.where((F.col("rank") == k) & (F.col("distance") <= width)).select(query_id)
+        if width > far:
+            return reduce(DataFrame.unionByName, [*done, got])
+        done.append(got.join(settled, query_id, "left_semi"))
+        left = materialise(left.join(settled, query_id, "left_anti"), "queries")
+        width *= 2
+        if not left.limit(1).count():
+            return reduce(DataFrame.unionByName, done)
 
 
 def inside_polygon(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
@@ -111,3 +147,16 @@ def inside_polygon(x: Column, y: Column, ring: list[tuple[float, float]]) -> Col
             crosses = ((y < y1) != (y < y2)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
             hits.append(crosses.cast("int"))
     return sum(hits, F.lit(0)) % 2 == 1
+
+
+def overlapping_chunks(chunks: DataFrame) -> DataFrame:
+    """Pairs of chunks (chunk, low, high, wide) whose rows meet once the first is grown by its overlap; a few rows a raster."""
+    b = chunks.select(F.col("chunk").alias("b"), F.col("low").alias("b_low"), F.col("high").alias("b_high"))
+    meets = (F.col("chunk") < F.col("b")) & (F.col("low") - F.col("wide") <= F.col("b_high")) & (F.col("b_low") - F.col("wide") <= F.col("high"))
+    return chunks.join(F.broadcast(b), meets).select(F.col("chunk").alias("a"), "b")
+
+
+def polygon_members(points: DataFrame, x: Column, y: Column, rings: dict[int, list[tuple[float, float]]]) -> DataFrame:
+    """A row for each point and each polygon (a ring by its number) that holds it."""
+    held = F.array(*[F.when(inside_polygon(x, y, ring), F.lit(n).cast("long")) for n, ring in rings.items()])
+    return points.withColumn("polygon", F.explode(F.array_compact(held)))

@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelframe.operators.sampling import running_total
+
+#: Groups whose means are broadcast.
+BROADCAST_GROUPS = 50_000
+
 
 def regression(df: DataFrame, y: str, p: str, weight: Column | None = None, var: Column | None = None, by: list[str] | None = None, extra: list[Column] | None = None) -> DataFrame:
     """r2, expvar, mse (weighted), smse, lins_ccc, mae, rmse, max_error, mll when a variance is given, and ``extra`` aggregates.
@@ -17,9 +24,12 @@ def regression(df: DataFrame, y: str, p: str, weight: Column | None = None, var:
     w = (weight if weight is not None else F.lit(1.0)).cast("double")
     cols = df.withColumns({"__y": F.col(y).cast("double"), "__p": F.col(p).cast("double"), "__w": w}).na.drop(subset=["__y", "__p"])
     # Centre on a mean close to the data first: moments of shifted values keep their digits.
-    shift = Window.partitionBy(*by) if by else None
-    centre = F.avg("__y").over(shift) if by else F.lit(cols.agg(F.avg("__y")).first()[0] or 0.0)
-    cols = cols.withColumn("__m", centre)
+    if by:  # a mean for each group, joined back: rows of a group never meet
+        means = cols.groupBy(*[F.col(b).alias(f"__by{i}") for i, b in enumerate(by)]).agg(F.avg("__y").alias("__m"))
+        same = [F.col(b).eqNullSafe(F.col(f"__by{i}")) for i, b in enumerate(by)]
+        cols = cols.join(F.broadcast(means) if means.count() <= BROADCAST_GROUPS else means, reduce(and_, same)).drop(*[f"__by{i}" for i in range(len(by))])
+    else:
+        cols = cols.withColumn("__m", F.lit(cols.agg(F.avg("__y")).first()[0] or 0.0))
     e, z, q = F.col("__y") - F.col("__p"), F.col("__y") - F.col("__m"), F.col("__p") - F.col("__m")
     sw = F.sum("__w")
     se, see = F.sum(F.col("__w") * e), F.sum(F.col("__w") * e * e)
@@ -60,12 +70,18 @@ def auc(df: DataFrame, truth: Column, score: Column) -> DataFrame:
     Scores are counted first, so the running sum is over distinct scores only.
     """
     by = df.select(score.alias("s"), truth.cast("int").alias("t")).groupBy("s").agg(F.sum("t").alias("pos"), F.count("*").alias("n"))
-    by = by.withColumn("below", F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    by = running_total(by, ["s"], "n", "upto").withColumn("below", F.col("upto") - F.col("n"))
     rank = F.col("below") + (F.col("n") + 1) / 2
     pos, n = F.sum("pos"), F.sum("n")
     return by.agg(F.try_divide(F.sum(F.col("pos") * rank) - pos * (pos + 1) / 2, pos * (n - pos)).alias("auc"))
 
 
+def macro_auc(df: DataFrame, y: str, proba: list[str]) -> DataFrame:
+    """Mean one-versus-rest AUC of 0-based classes with a probability column each; classes without both kinds count not."""
+    each = [auc(df, F.col(y) == i, F.col(c)) for i, c in enumerate(proba)]
+    return reduce(DataFrame.union, each).agg(F.avg("auc").alias("auc"))
+
+
 def best_fit(df: DataFrame, y: str, p: str) -> DataFrame:
     """Line of predictions over observations."""
     return df.agg(F.regr_slope(p, y).alias("slope"), F.regr_intercept(p, y).alias("intercept"))
@@ -87,3 +103,21 @@ def transformed(df: DataFrame, y: str, p: str, transform, var: Column | None = N
 def leave_one_out(cross_validate, features: list[str]) -> dict[str, float]:
     """Mean r2 without each feature; ``cross_validate`` maps a feature list to scores by fold."""
     return {c: cross_validate([f for f in features if f != c]).agg(F.avg("r2")).first()[0] for c in features}
+
+
+def median_error(df: DataFrame, y: str, p: str, by: str) -> DataFrame:
+    """Median absolute error of each group from the ranks of its errors, which range partitions number."""
+    e = df.select(by, F.abs(F.col(y) - F.col(p)).alias("e")).na.drop().groupBy(by, "e").agg(F.count("*").alias("n"))
+    e = running_total(e, [by, "e"], "n", "upto")
+    size = e.groupBy(by).agg(F.sum("n").alias("all"), F.min(F.col("upto") - F.col("n")).alias("before"))
+    at = e.join(size, by).withColumn("low", F.col("upto") - F.col("n") - F.col("before")).withColumn("up", F.col("upto") - F.col("before"))
+    holds = lambda i: F.max(F.when((F.col("low") <= i) & (i < F.col("up")), F.col("e")))
+    return at.groupBy(by).agg(((holds(F.floor((F.col("all") - 1) / 2)) + holds(F.floor(F.col("all") / 2))) / 2).alias("median_ae"))
+
+
+def residual_histogram(df: DataFrame, y: str, p: str, bins: int) -> DataFrame:
+    """Counts of residuals in equal bins over their range, the last bin closed."""
+    e = df.select((F.col(y) - F.col(p)).alias("e")).na.drop()
+    low, high = e.agg(F.min("e"), F.max("e")).first()
+    width = ((high - low) / bins if low is not None else 0) or 1.0
+    return e.groupBy(F.least(F.floor((F.col("e") - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("long").alias("bin")).agg(F.count("*").alias("n"))

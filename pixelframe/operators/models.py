@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelframe.operators import filters
-from pixelframe.operators.joins import knn
+from pixelframe.operators.joins import nearest
 from pixelframe.plans.materialise import materialise
 
 
@@ -54,6 +55,16 @@ class Linear:
             out = out.withColumns({"Lower quantile": low, "Upper quantile": high, "Expected reduction in entropy": self.entropy_reduction()})
         return out
 
+    def save(self, df: DataFrame, path: str) -> None:
+        """Write the model as one JSON line through Spark (``df`` gives the session)."""
+        state = {"cols": self.cols, "coef": self.coef.tolist(), "cov": None if self.cov is None else self.cov.tolist(), "noise": self.noise}
+        df.sparkSession.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, df: DataFrame, path: str) -> Linear:
+        state = json.loads(df.sparkSession.read.text(path).first()["value"])
+        return cls(state["cols"], np.array(state["coef"]), None if state["cov"] is None else np.array(state["cov"]), state["noise"])
+
     def entropy_reduction(self) -> Column:
         return F.lit(0.5) * (F.ln(F.lit(self.noise) + self.quadratic()) - F.lit(math.log(self.noise)))
 
@@ -179,10 +190,11 @@ def fit_rules(df: DataFrame, cols: list[str], y: str, depth: int = 2) -> list[tu
     return out
 
 
-def nearest_regression(queries: DataFrame, train: DataFrame, distance: Column, y: str, query_id: str, train_id: str, k: int = 10, min_distance: float = 1e-3) -> DataFrame:
-    """Mean of the k nearest targets with weights 1 / (distance + min_distance)."""
+def nearest_regression(queries: DataFrame, train: DataFrame, q_cols: list[str], r_cols: list[str], y: str, query_id: str, train_id: str, k: int = 10, min_distance: float = 1e-3) -> DataFrame:
+    """Mean of the k nearest targets with weights 1 / (distance + min_distance); a row's own id is no neighbour."""
     w = 1 / (F.col("distance") + min_distance)
-    near = knn(queries, train, distance, k, query_id, train_id)
+    near = nearest(queries, train, q_cols, r_cols, k + 1, query_id, train_id).where(F.col(query_id) != F.col(train_id))
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy("distance", train_id))).where(F.col("rank") <= k)
     return near.groupBy(query_id).agg((F.sum(w * F.col(y)) / F.sum(w)).alias("prediction"))
 
 
@@ -333,9 +345,9 @@ def krige(points: DataFrame, queries: DataFrame, x: str, y: str, z: str, slope:
     return queries.join(solved, on, "left").drop("qx", "qy")
 
 
-def nearest_value(queries: DataFrame, points: DataFrame, distance: Column, value: str, query_id: str, point_id: str) -> DataFrame:
+def nearest_value(queries: DataFrame, points: DataFrame, q_cols: list[str], r_cols: list[str], value: str, query_id: str, point_id: str) -> DataFrame:
     """Nearest-point interpolation."""
-    return knn(queries, points, distance, 1, query_id, point_id).select(query_id, F.col(value).alias("prediction"))
+    return nearest(queries, points, q_cols, r_cols, 1, query_id, point_id).select(query_id, F.col(value).alias("prediction"))
 
 
 def crossval_ols(df: DataFrame, cols: list[str], y: str, fold: str) -> DataFrame:
@@ -407,3 +419,9 @@ def permutation_importance(df: DataFrame, cols: list[str], y: str, predict, key:
             mse = predict(a.join(b, "__i")).agg(F.avg(F.pow(F.col(y) - F.col("Prediction"), F.lit(2.0)))).first()[0]
             rows.append((c, r, float(mse - base)))
     return df.sparkSession.createDataFrame(rows, "feature string, repeat int, loss double")
+
+
+def mean_absolute_shap(attributions: DataFrame, cols: list[str]) -> DataFrame:
+    """(feature, importance): mean absolute value of the columns ``shap_<feature>``."""
+    row = attributions.agg(*[F.avg(F.abs(F.col(f"shap_{c}"))).alias(c) for c in cols])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("importance")) for c in cols])).alias("r")).select("r.*")

@@ -54,9 +54,9 @@ def value_bin(col: str, edges: list[float]):
 def resample_values(df: DataFrame, col: str, bins: int, total: int, key: list[str], interval: str = "linear", undersample: bool = False, bootstrap: bool = True, seed: int = 1) -> DataFrame:
     """``total // bins`` rows of each value bin: small bins are repeated, large ones cut only if ``undersample``.
 
-    An unknown interval name means linear.
+    An unknown interval name is an error.
     """
-    edges = percentile_edges(df, col, bins) if interval == "percentile" else linear_edges(df, col, bins)
+    edges = {"percentile": percentile_edges, "linear": linear_edges}[interval](df, col, bins)
     return resample_groups(df.withColumn("bin", value_bin(col, edges)).where("bin is not null"), "bin", total // bins, key, undersample, bootstrap, seed)
 
 
@@ -83,10 +83,22 @@ def resample_groups(df: DataFrame, group: str, quota: int, key: list[str], under
     return rows.drop("__n", "__h")
 
 
+def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows up to each in ``order`` (which tells rows apart).
+
+    Rows are dealt by ranges of the order, and only the sums of the ranges meet.
+    """
+    parts = materialise(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")
+    before = parts.groupBy("__p").agg(F.sum(value).alias("__s"))
+    before = before.withColumn("__s", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.sum(value).over(Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return parts.withColumn(name, inside).join(F.broadcast(before), "__p").withColumn(name, F.col(name) + F.col("__s")).drop("__p", "__s")
+
+
 def group_codes(df: DataFrame, col: str) -> DataFrame:
     """Dense codes 0..k-1 of the sorted distinct values (a table of levels is joined, rows are not ordered)."""
     codes = df.where(F.col(col).isNotNull()).select(col).distinct()
-    codes = codes.withColumn("code", F.dense_rank().over(Window.orderBy(col)).cast("long") - 1)
+    codes = running_total(codes.withColumn("__one", F.lit(1)), [col], "__one", "code").select(col, (F.col("code") - 1).cast("long").alias("code"))
     return df.join(codes, col, "left")
 
 
@@ -95,6 +107,37 @@ def k_folds(df: DataFrame, key: list[str], k: int, seed: int = 1) -> DataFrame:
     return chunks(df.withColumn("__h", F.xxhash64(*key, F.lit(seed))), ["__h", *key], k).withColumnRenamed("chunk", "fold").drop("__h")
 
 
+def bootstrap_draws(df: DataFrame, group: str, key: list[str], quota: int, seed: int = 1) -> DataFrame:
+    """``quota`` draws with replacement from the rows of each group, as column ``draw`` beside the drawn rows.
+
+    A draw is a row number by a hash; numbers come from range partitions and an equi-join, so a group of any size is spread.
+    """
+    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("__n"))
+    ranked = running_total(df.where(F.col(group).isNotNull()).withColumn("__one", F.lit(1)), [group, *key], "__one", "__r")
+    first = ranked.groupBy(group).agg(F.min("__r").alias("__f"))
+    ranked = ranked.join(first, group).withColumn("__r", F.col("__r") - F.col("__f")).drop("__one", "__f")
+    draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(quota - 1))))
+    draws = draws.select(group, "draw", F.pmod(F.xxhash64(group, "draw", F.lit(seed)), F.col("__n")).alias("__r"))
+    return draws.join(ranked, [group, "__r"]).drop("__r")
+
+
+def smote(df: DataFrame, cols: list[str], minority: DataFrame, key: str, k: int, times: int, seed: int = 1) -> DataFrame:
+    """``times`` synthetic rows for each row of ``minority``: points between it and one of its ``k`` nearest minority rows.
+
+    Columns ``key`` (of the origin), ``draw`` and ``cols``.
+    """
+    from pixelframe.operators.joins import nearest
+
+    rest = minority.na.drop(subset=cols)
+    near = nearest(rest.select(F.col(key).alias("__q"), *cols), rest.select(F.col(key).alias("__r"), *[F.col(c).alias(f"r_{c}") for c in cols]), cols, [f"r_{c}" for c in cols], k + 1, "__q", "__r")
+    near = near.where("__q <> __r").withColumn("rank", F.row_number().over(Window.partitionBy("__q").orderBy("distance", "__r"))).where(F.col("rank") <= k)
+    each = near.groupBy("__q").agg(F.array_sort(F.collect_list(F.struct("rank", *cols, *[f"r_{c}" for c in cols]))).alias("n"))
+    each = each.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    pick = F.col("n")[F.pmod(F.xxhash64("__q", "draw", F.lit(seed)), F.size("n")).cast("int")]
+    gap = F.pmod(F.xxhash64("__q", "draw", F.lit(seed + 1)), F.lit(1_000_003)) / 1_000_003.0
+    return each.select(F.col("__q").alias(key), "draw", *[(pick[c] + gap * (pick[f"r_{c}"] - pick[c])).alias(c) for c in cols])
+
+
 def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
     """Groups by falling size to the lightest fold; group sizes are the only rows on the driver."""
     sizes = df.groupBy(group).count().orderBy(F.desc("count"), group).collect()

@@ -424,19 +424,28 @@ def jn_leaveout_anti(spark, sf_dir):
     return joins.leave_out(table(spark, sf_dir, "orders"), groups, "o_custkey")[1].select("o_orderkey", "o_custkey")
 
 
-@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(l_partkey / 50.0) AS BIGINT) AS i, CAST(floor(l_suppkey / 25.0) AS BIGINT) AS j FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, i * 4 + j AS cell FROM b WHERE l_partkey > i * 50.0 AND l_partkey < (i + 1) * 50.0 AND l_suppkey > j * 25.0 AND l_suppkey < (j + 1) * 25.0 AND i >= 0 AND i < 4 AND j >= 0 AND j < 4""")
+def _box(spark, sf_dir) -> tuple[float, float, float, float]:
+    """Bounding box of all order lines."""
+    r = stats.bounding_box(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey").first()
+    return float(r["min_x"]), float(r["min_y"]), float(r["max_x"]), float(r["max_y"])
+
+
+_BOX = "bx AS (SELECT min(l_partkey)::DOUBLE AS x0, max(l_partkey)::DOUBLE AS x1, min(l_suppkey)::DOUBLE AS y0, max(l_suppkey)::DOUBLE AS y1 FROM lineitem)"
+
+
+@query(f"""WITH {_BOX}, b AS (SELECT l_orderkey, l_linenumber, l_partkey AS px, l_suppkey AS py, x0, y0, (x1 - x0) / 4 AS dx, (y1 - y0) / 4 AS dy, CAST(floor((l_partkey - x0) / ((x1 - x0) / 4)) AS BIGINT) AS i, CAST(floor((l_suppkey - y0) / ((y1 - y0) / 4)) AS BIGINT) AS j FROM lineitem, bx)
+SELECT l_orderkey, l_linenumber, px AS l_partkey, py AS l_suppkey, i * 4 + j AS cell FROM b WHERE px > x0 + i * dx AND px < x0 + (i + 1) * dx AND py > y0 + j * dy AND py < y0 + (j + 1) * dy AND i >= 0 AND i < 4 AND j >= 0 AND j < 4""")
 def jn_within_open(spark, sf_dir):
-    return joins.within_cells(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey", (0.0, 0.0, 200.0, 100.0), 4, 4).select(*KEY, "cell")
+    return joins.within_cells(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey", _box(spark, sf_dir), 4, 4).select(*KEY, "cell")
 
 
 @query("""WITH s AS (SELECT s_suppkey AS sensor, CAST(s_suppkey % 37 AS DOUBLE) AS x, CAST(s_suppkey % 23 AS DOUBLE) AS y, 5.0 AS z FROM supplier),
-g AS (SELECT p_partkey AS cell, CAST(p_partkey % 41 AS DOUBLE) AS gx, CAST(p_partkey % 29 AS DOUBLE) AS gy FROM part WHERE p_partkey < 400),
+g AS (SELECT p_partkey AS cell, CAST(p_partkey % 41 AS DOUBLE) AS gx, CAST(p_partkey % 29 AS DOUBLE) AS gy FROM part),
 p AS (SELECT sensor, cell, (x - gx) * (x - gx) + (y - gy) * (y - gy) + z * z AS r2 FROM s, g WHERE abs(x - gx) <= 4 AND abs(y - gy) <= 4)
 SELECT sensor, cell, round(exp(-0.01 * sqrt(r2)) / r2, 9) AS value FROM p WHERE exp(-0.01 * sqrt(r2)) / r2 > 0.02""")
 def jn_band_sensor(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sensor"), (F.col("s_suppkey") % 37).cast("double").alias("x"), (F.col("s_suppkey") % 23).cast("double").alias("y"), F.lit(5.0).alias("z"))
-    g = table(spark, sf_dir, "part").where("p_partkey < 400").select(F.col("p_partkey").alias("cell"), (F.col("p_partkey") % 41).cast("double").alias("gx"), (F.col("p_partkey") % 29).cast("double").alias("gy"))
+    g = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cell"), (F.col("p_partkey") % 41).cast("double").alias("gx"), (F.col("p_partkey") % 29).cast("double").alias("gy"))
     return joins.sensor_pairs(s, g, 4.0, 0.01, 0.02).withColumn("value", F.round("value", 9))
 
 
@@ -457,15 +466,15 @@ def jn_stack_merge(spark, sf_dir):
 _D4 = " + ".join(f"(a.embedding[{i}]::DOUBLE - b.embedding[{i}]::DOUBLE) * (a.embedding[{i}]::DOUBLE - b.embedding[{i}]::DOUBLE)" for i in range(1, 5))
 
 
-@query(f"""WITH p AS (SELECT a.vec_id AS query, b.vec_id AS ref, b.label AS y, sqrt({_D4}) AS d FROM embeddings a, embeddings b WHERE a.vec_id % 10 = 1 AND b.vec_id % 10 = 2),
+@query(f"""WITH p AS (SELECT a.vec_id AS query, b.vec_id AS ref, b.label AS y, sqrt({_D4}) AS d FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, ref) AS r FROM p)
 SELECT query, round(sum(y / (d + 0.001)) / sum(1 / (d + 0.001)), 6) AS prediction FROM r WHERE r <= 10 GROUP BY 1""")
 def jn_knn_idw(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
-    q = e.where("vec_id % 10 = 1").select(F.col("vec_id").alias("query"), *[F.col(f"e{i}").alias(f"q{i}") for i in range(4)])
-    ref = e.where("vec_id % 10 = 2").select(F.col("vec_id").alias("ref"), F.col("label").alias("y"), *[f"e{i}" for i in range(4)])
-    d = F.sqrt(sum((F.col(f"q{i}") - F.col(f"e{i}")) * (F.col(f"q{i}") - F.col(f"e{i}")) for i in range(4)))
-    return r6(models.nearest_regression(q, ref, d, "y", "query", "ref"))
+    """Labels of all vectors from the ten nearest others in the first four components."""
+    e = table(spark, sf_dir, "embeddings")
+    part = lambda name: [F.col("embedding")[i].cast("double").alias(f"{name}{i}") for i in range(4)]
+    q, ref = e.select(F.col("vec_id").alias("query"), *part("q")), e.select(F.col("vec_id").alias("ref"), F.col("label").alias("y"), *part("e"))
+    return r6(models.nearest_regression(q, ref, [f"q{i}" for i in range(4)], [f"e{i}" for i in range(4)], "y", "query", "ref"))
 
 
 # Ordering and sampling -----------------------------------------------------------------------
@@ -493,10 +502,10 @@ def ord_value_bins_pct(spark, sf_dir):
     return o.groupBy(sampling.value_bin("o_totalprice", sampling.percentile_edges(o, "o_totalprice", 5)).alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT CAST(floor((l_partkey - 1) / 500.0) * 4 + floor((l_suppkey - 1) / 25.0) AS BIGINT) AS cell, count(*) AS n FROM lineitem WHERE l_partkey BETWEEN 1 AND 2000 AND l_suppkey BETWEEN 1 AND 100 GROUP BY 1")
+@query(f"WITH {_BOX} SELECT CAST(least(floor((l_partkey - x0) / ((x1 - x0) / 4)), 3) * 4 + least(floor((l_suppkey - y0) / ((y1 - y0) / 4)), 3) AS BIGINT) AS cell, count(*) AS n FROM lineitem, bx GROUP BY 1")
 def ord_cell_counts(spark, sf_dir):
-    cells = joins.within_cells(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey", (1.0, 1.0, 2001.0, 101.0), 4, 4, closed=True)
-    return cells.where("l_partkey <= 2000 and l_suppkey <= 100").groupBy("cell").agg(F.count("*").alias("n"))
+    cells = joins.within_cells(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey", _box(spark, sf_dir), 4, 4, closed=True)
+    return cells.groupBy("cell").agg(F.count("*").alias("n"))
 
 
 @query("SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS BIGINT) AS code FROM customer")
@@ -512,11 +521,11 @@ def ord_feature_rank(spark, sf_dir):
     return r6(sampling.feature_ranks(both))
 
 
-@query("SELECT CAST(bin AS BIGINT) AS bin, CAST(greatest(n, 200) AS BIGINT) AS n FROM (SELECT o_custkey % 7 AS bin, count(*) AS n FROM orders WHERE o_orderkey % 97 < 5 + o_custkey % 7 GROUP BY 1)")
+@query("SELECT CAST(bin AS BIGINT) AS bin, CAST(greatest(n, (SELECT count(*) // 7 FROM orders)) AS BIGINT) AS n FROM (SELECT o_custkey % 7 AS bin, count(*) AS n FROM orders GROUP BY 1)")
 def ord_resample_counts(spark, sf_dir):
-    """Groups below the quota are repeated up to it, larger ones stay."""
-    o = table(spark, sf_dir, "orders").withColumn("bin", F.col("o_custkey") % 7).where("o_orderkey % 97 < 5 + bin")
-    return sampling.resample_groups(o, "bin", 200, ["o_orderkey"], False, True, 1).groupBy("bin").agg(F.count("*").alias("n"))
+    """Groups below the mean size are repeated up to it, larger ones stay."""
+    o = table(spark, sf_dir, "orders").withColumn("bin", F.col("o_custkey") % 7)
+    return sampling.resample_groups(o, "bin", o.count() // 7, ["o_orderkey"], False, True, 1).groupBy("bin").agg(F.count("*").alias("n"))
 
 
 @query("SELECT CAST(n // 5 AS BIGINT) AS low, CAST((n + 4) // 5 AS BIGINT) AS high, 5::BIGINT AS folds FROM (SELECT count(*) AS n FROM orders)")
@@ -607,7 +616,7 @@ def md_rules(spark, sf_dir):
 @query("""WITH p AS (SELECT c_custkey, s_suppkey, s_nationkey, abs(c_acctbal - s_acctbal) AS d FROM customer, supplier), r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY d, s_suppkey) AS r FROM p)
 SELECT c_custkey, s_nationkey AS prediction FROM r WHERE r = 1""")
 def md_nn(spark, sf_dir):
-    return models.nearest_value(table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier"), F.abs(F.col("c_acctbal") - F.col("s_acctbal")), "s_nationkey", "c_custkey", "s_suppkey")
+    return models.nearest_value(table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier"), ["c_acctbal"], ["s_acctbal"], "s_nationkey", "c_custkey", "s_suppkey")
 
 
 @query("""WITH s AS (SELECT c_custkey AS i, CAST(c_custkey % 211 AS DOUBLE) AS x, CAST(c_custkey % 97 AS DOUBLE) AS y, c_acctbal AS z FROM customer),
@@ -766,10 +775,10 @@ def snk_validation_table(spark, sf_dir):
     return r6(files.validation_table(li, "l_quantity", "p", ["l_orderkey", "l_linenumber"]), ["y_true", "y_pred"])
 
 
-@query(f"WITH {PX}, c AS (SELECT px AS cx, py AS cy FROM px WHERE (px + py) % 4 = 0) SELECT cx, cy, count(*) AS n, round(sum(value), 4) AS total FROM c JOIN px ON px.px BETWEEN cx - 2 AND cx + 1 AND px.py BETWEEN cy - 2 AND cy + 1 GROUP BY 1, 2")
+@query(f"WITH {PX}, c AS (SELECT px AS cx, py AS cy FROM px) SELECT cx, cy, count(*) AS n, round(sum(value), 4) AS total FROM c JOIN px ON px.px BETWEEN cx - 2 AND cx + 1 AND px.py BETWEEN cy - 2 AND cy + 1 GROUP BY 1, 2")
 def jn_windows(spark, sf_dir):
     px = pixels(spark, sf_dir)
-    c = px.where((F.col("px") + F.col("py")) % 4 == 0).select("px", "py", F.col("px").alias("cx"), F.col("py").alias("cy"))
+    c = px.select("px", "py", F.col("px").alias("cx"), F.col("py").alias("cy"))
     return joins.windows(c, px, 4).groupBy("cx", "cy").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 

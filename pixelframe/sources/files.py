@@ -53,3 +53,21 @@ def fill(value: Column, nodata: float = -1e20) -> Column:
 
 def numbered(df: DataFrame, by: str, order: list[str]) -> DataFrame:
     return df.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+
+
+def write_scores(scores: DataFrame, path: str) -> None:
+    """One row of scores as a JSON line."""
+    scores.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """(measure, score) of written scores."""
+    row = spark.read.json(path)
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("score")) for c in row.columns])).alias("r")).select("r.*")
+
+
+def write_split(df: DataFrame, keep: Column, path: str) -> None:
+    """Rows that fulfil ``keep`` under ``kept``, all others (nulls included) under ``dropped``."""
+    fine = F.coalesce(keep, F.lit(False))
+    df.where(fine).write.mode("overwrite").parquet(f"{path}/kept")
+    df.where(~fine).write.mode("overwrite").parquet(f"{path}/dropped")

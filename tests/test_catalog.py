@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from pixelframe.plans import catalog
+from pixelframe.plans import catalog, catalog_more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
