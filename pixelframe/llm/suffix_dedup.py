@@ -12,9 +12,10 @@ are dealt by that hash (equal fragments of a slice of documents are combined fir
    prefixes of 50 bytes are compared.  Strings of an earlier document cover;
 3. a hash with many kinds of fragments (the edge of a line that a third of all documents
    hold) is split into several buckets; the earliest of each string of a bucket meets those of
-   the other buckets by a digest of the string.
+   the other buckets by a digest of the string, in parts whose number follows the fragments.
 
-Fragments whose hash occurs in one document only hold no shared string, so sorting all suffixes
+Equal fragments are told by two independent 64-bit hashes of their bytes (the window hash and one over
+three windows that cover the fragment), not compared byte by byte.  Fragments whose hash occurs in one document only hold no shared string, so sorting all suffixes
 of the corpus would order text that the comparison cannot use: the sort covers what can match.
 
 Defined results: a null text is empty; texts under 50 bytes lose nothing; a null id comes
@@ -24,6 +25,7 @@ id and different texts count as documents in the order of their SHA-256 digests.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -42,8 +44,8 @@ LENGTH, GRAM, STARTS, SLICE = 50, 20, 32, 1_000_000
 PACKED = 1_000_000
 #: Kinds of fragments of a hash in one bucket.
 KINDS = 1024
-#: Parts that the strings of split buckets are packed for.
-MEETINGS = 256
+#: Least parts that the strings of split buckets are packed for, and fragments for each part beyond that.
+MEETINGS, MEETING_FRAGMENTS = 256, 10_000
 _MEET = np.dtype([("string", "S50"), ("doc", "<i8"), ("run", "<i8")])
 
 
@@ -245,7 +247,7 @@ def _sorted_bucket(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return at, owner[at], np.cumsum(np.append(True, ~equal)) - 1
 
 
-def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sort(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Buckets of a partition to (doc, run, part, packed): covered where part is null.
 
     The earliest places of the strings of split buckets are packed by a digest of the string, a
@@ -292,7 +294,7 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             string = part[at[meet][which][:, None] + np.arange(LENGTH)]
             row = np.empty(len(which), _MEET)
             row["string"], row["doc"], row["run"] = string.reshape(-1).view("S50"), d[meet][which], _code(where, 1)
-            meets.append((mix64(string.astype(np.uint64) @ mix64(np.arange(LENGTH) + 1)) % np.uint64(MEETINGS), row))
+            meets.append((mix64(string.astype(np.uint64) @ mix64(np.arange(LENGTH) + 1)) % np.uint64(parts), row))
     if meets:
         target, row = (np.concatenate(x) for x in zip(*meets, strict=True))
         order = np.argsort(target, kind="stable")
@@ -347,9 +349,10 @@ def covered_runs(docs: DataFrame, total: int, packed: DataFrame) -> DataFrame:
     n = wanted.count()
     items = wanted.groupBy("doc").agg(F.collect_list(F.struct("bucket", "split", "run", "starts")).alias("items"))
     pieces = packed.select("doc", "z").join(items, "doc").mapInArrow(_fetch, "bucket long, split boolean, doc long, starts array<long>, piece binary")
-    second = pieces.repartition(scratch.partitions(spark, n, 60_000), "bucket").mapInArrow(_sort, "doc long, run long, part int, packed binary")
+    parts = max(MEETINGS, n // MEETING_FRAGMENTS)
+    second = pieces.repartition(scratch.partitions(spark, n, 60_000), "bucket").mapInArrow(functools.partial(_sort, parts), "doc long, run long, part int, packed binary")
     second = scratch.table(second, "sorted")
-    third = second.where("part is not null").repartition(scratch.partitions(spark, n / 10, 100_000), "part").mapInArrow(_meet, "doc long, run long")
+    third = second.where("part is not null").repartition(scratch.partitions(spark, parts, 16), "part").mapInArrow(_meet, "doc long, run long")
     done = first.where("bucket is null").select("doc", "run")
     return done.union(second.where("part is null").select("doc", "run")).union(third)
 
