@@ -11,9 +11,11 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark) -> str:
-    """The configured folder; one of our own only where none is set, as in tests."""
+    """The configured folder; one of our own only where none is set and driver and tasks share a machine, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = _own.setdefault("path", "") or f"file://{tempfile.mkdtemp(prefix='spark-')}"
         _own["path"] = path
     return path.rstrip("/")
