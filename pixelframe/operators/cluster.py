@@ -64,7 +64,7 @@ class KMeans:
         for r in range(max(1, round(math.log(cost))) if cost > 1 else 0):
             d = F.array_min(F.array(*[squared_distance(cols, c) for c in found])) if len(found) > 1 else squared_distance(cols, found[0])
             draw = F.pmod(F.xxhash64(*cols, F.lit(self.seed + 1 + r)), F.lit(1_000_003)) / 1_000_003.0
-            new = rows.where(draw < self.l * d / max(cost, 1e-300)).select(*cols).distinct().limit(int(4 * self.l)).collect()
+            new = rows.where(draw < self.l * d / max(cost, 1e-300)).select(*cols).distinct().orderBy(*cols).collect()  # about l places
             found += [list(x) for x in new]
             cost = self._cost(rows, found)
         weight = {x["class"]: x["count"] for x in assign(rows, [squared_distance(cols, c) for c in found]).groupBy("class").count().collect()} if len(found) > 1 else {0: 1}
@@ -80,9 +80,11 @@ class KMeans:
             for x in centroids(got, cols).collect():
                 new[int(x["class"])] = [x[c] for c in cols]
                 seen.add(int(x["class"]))
-            for empty in set(range(self.k)) - seen:  # the row farthest from all others
-                far = got.orderBy(F.desc("distance2")).first()
-                new[empty] = [far[c] for c in cols]
+            empty = sorted(set(range(self.k)) - seen)
+            if empty:  # the places farthest from their centres, a different one for each
+                far = got.select("distance2", *cols).distinct().orderBy(F.desc("distance2"), *cols).limit(len(empty)).collect()
+                for j, x in zip(empty, far, strict=False):
+                    new[j] = [x[c] for c in cols]
             if last is not None and np.array_equal(new, centres):
                 break
             last, centres = centres, new

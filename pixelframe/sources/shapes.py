@@ -55,7 +55,8 @@ def read_points(spark: SparkSession, path: str, target: str | None = None) -> Da
     names = [name for name, _, _ in fields]
     if target is not None and target not in names:
         raise ValueError(f"no field {target!r}, there are {names}")
-    points = parse_points(files["shp"])
+    n, head, size = struct.unpack_from("<IHH", files["dbf"], 4)
+    points = [p for i, p in enumerate(parse_points(files["shp"])) if i >= n or files["dbf"][head + i * size] != 0x2A]  # not of deleted records
     pdf = pd.DataFrame([[*p, *r] for p, r in zip(points, rows, strict=True)], columns=["lon", "lat", *names])
     kinds = ", ".join(f"`{name}` {'double' if kind in 'NF' else 'string'}" for name, kind, _ in fields)
     return spark.createDataFrame(pdf, f"lon double, lat double, {kinds}")

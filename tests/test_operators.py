@@ -397,3 +397,49 @@ def test_pca_order(spark):
     assert list(model.exprs) == ["pc_1", "pc_2"]
     out = model.apply(df.withColumn("copy", F.col("a")))
     assert abs(out.agg(F.corr("pc_1", "copy")).first()[0]) > 0.99
+
+
+def test_points_of_deleted_records_are_left_out(spark, tmp_path):
+    from pixelframe.sources import shapes
+
+    shp, dbf = shapes.write_points([(1.0, 2.0), (3.0, 4.0), (5.0, 6.0)], [("v", "N", 8)], [[1.5], [2.5], [3.5]])
+    head, size = 33 + 32, 9
+    dbf = bytearray(dbf)
+    dbf[head + size] = 0x2A
+    (tmp_path / "d.shp").write_bytes(shp)
+    (tmp_path / "d.dbf").write_bytes(bytes(dbf))
+    got = sorted(map(tuple, shapes.read_points(spark, str(tmp_path / "d")).collect()))
+    assert got == [(1.0, 2.0, 1.5), (5.0, 6.0, 3.5)]
+
+
+def test_kmeans_gives_empty_classes_different_places(spark):
+    df = spark.createDataFrame([(float(i % 3), 0.0) for i in range(30)] + [(50.0 + i, 1.0) for i in range(3)], "a double, b double")
+    a, b = (cluster.KMeans(6, iterations=5).fit(df.repartition(n), ["a", "b"]).centres for n in (1, 4))
+    assert len({tuple(c) for c in a.tolist()}) == 6 and sorted(map(tuple, a.tolist())) == sorted(map(tuple, b.tolist()))
+
+
+def test_nearest_rows_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    q, r = rng.normal(size=(60, 2)), np.vstack([rng.normal(size=(80, 2)), np.repeat([[0.1, 0.2]], 30, axis=0), [[400.0, -300.0]]])
+    q[0] = (1000.0, 1000.0)
+    qs = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(q)] + [(99, None, 1.0)], "q long, x double, y double")
+    rs = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(r)], "r long, u double, v double")
+    got = {}
+    for x in joins.nearest(qs, rs, ["x", "y"], ["u", "v"], 5, "q", "r").collect():
+        got.setdefault(x["q"], []).append((x["rank"], x["r"]))
+    for i, p in enumerate(q):
+        d = np.sqrt(((r - p) ** 2).sum(axis=1))
+        assert [j for _, j in sorted(got[i])] == np.lexsort((np.arange(len(r)), np.round(d, 12)))[:5].tolist()
+    assert set(got) == set(range(60))
+    assert joins.nearest(qs, rs.where("r < 0"), ["x", "y"], ["u", "v"], 5, "q", "r").count() == 0
+
+
+def test_running_totals_and_bootstrap(spark):
+    df = spark.createDataFrame([(i % 7, i, 1 + i % 3) for i in range(200)], "g int, i int, n int")
+    got = {r["i"]: r["s"] for r in sampling.running_total(df, ["i"], "n", "s").collect()}
+    assert got == {i: sum(1 + j % 3 for j in range(i + 1)) for i in range(200)}
+    draws = sampling.bootstrap_draws(df, "g", ["i"], 40).collect()
+    assert len(draws) == 280 and len({(r["g"], r["draw"]) for r in draws}) == 280 and all(r["i"] % 7 == r["g"] for r in draws)
+    assert len({r["i"] for r in draws if r["g"] == 0}) < 29  # some twice, some never
+    with pytest.raises(KeyError):
+        sampling.resample_values(df, "i", 5, 50, ["i"], interval="cubic")
