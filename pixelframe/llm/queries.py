@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelframe.llm import ann, language_id, mixing, packing, quality, simhash, suffix_dedup, topk, toxicity, warc
+from pixelframe.llm import ann, language_id, mixing, packing, periodic, quality, simhash, suffix_dedup, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -125,6 +125,17 @@ SELECT * FROM r WHERE rank <= 10
 """
 
 
+def op12_harmonic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(periodic.plant(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    best = found.withColumn("best", periodic.longest(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_crf": op1_language_crf,
     "op2_simhash_bktree": op2_simhash_bktree,
@@ -136,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_temperature_mix": op8_temperature_mix,
     "op9_suffix_dc3": op9_suffix_dc3,
     "op10_bmw_bm25": op10_bmw_bm25,
+    "op12_harmonic_runs": op12_harmonic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_arc_to_warc": OP6_SQL, "op8_temperature_mix": OP8_SQL, "op10_bmw_bm25": OP10_SQL}
