@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelframe.llm import ann, language_id, mixing, packing, periodic, quality, simhash, suffix_dedup, topk, toxicity, warc
+from pixelframe.llm import ann, language_id, mixing, packing, periodic, prefix_trie, quality, simhash, suffix_dedup, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,6 +136,39 @@ def op12_harmonic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(prefix_trie.rebuild(prefix_trie.sequences(_table(spark, sf_dir, "conversations"))))
+
+
+OP13_SQL = """
+WITH t AS (
+  SELECT conv_id AS c, turn, substr(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS d,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS w
+  FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, d) AS k FROM t),
+bits AS (SELECT c, flatten(list_transform(range(1, CAST(length(c::VARCHAR) AS BIGINT) + 1), lambda i: list_concat([ascii(substr(c::VARCHAR, CAST(i AS INTEGER), 1))::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1]))) AS s FROM (SELECT DISTINCT c FROM k)),
+h AS (SELECT c, xor(list_reduce(list_concat([4294967295::BIGINT], s), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 4 AS h FROM bits),
+r AS (
+  SELECT h.c, k.k, k.d, k.w FROM h JOIN k ON k.c = h.c - h.c % 20 AND k.k <= h.h
+  UNION ALL
+  SELECT h.c, k.k, k.d, k.w FROM h JOIN k ON k.c = h.c AND k.k > h.h),
+q AS (SELECT h.c, coalesce(list(r.d ORDER BY r.k) FILTER (r.k IS NOT NULL), []) AS ds, coalesce(list(r.w ORDER BY r.k) FILTER (r.k IS NOT NULL), []) AS ws FROM h LEFT JOIN r ON r.c = h.c GROUP BY h.c),
+p AS (SELECT c, ds, ws, unnest(range(0, len(ds) + 1)) AS depth FROM q),
+n AS (
+  SELECT depth, array_to_string(list_slice(ds, 1, depth), '') AS path, min(c) AS conv_id, count(*) AS n_convs, coalesce(max(ws[depth]), 0) AS w,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(ds) = depth), '')) AS ends_sha256
+  FROM p GROUP BY 1, 2),
+u AS (SELECT m.depth, m.path, count(k.path) AS n_children FROM n m LEFT JOIN n k ON k.depth = m.depth + 1 AND substr(k.path, 1, 32 * m.depth) = m.path GROUP BY 1, 2),
+a AS (
+  SELECT substr(path, 1, 32 * up) AS path, up AS depth, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT n.path, unnest(range(0, n.depth + 1)) AS up, CASE WHEN n_children = 0 THEN 1 ELSE 0 END AS leaf, (n_convs - 1) * w AS saved FROM n JOIN u ON u.depth = n.depth AND u.path = n.path)
+  GROUP BY 1, 2)
+SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, u.n_children, CAST(a.n_leaves AS BIGINT) AS n_leaves, CAST(a.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN u ON u.depth = n.depth AND u.path = n.path JOIN a ON a.depth = n.depth AND a.path = n.path
+LEFT JOIN n m ON m.depth = n.depth - 1 AND m.path = substr(n.path, 1, 32 * m.depth)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_crf": op1_language_crf,
     "op2_simhash_bktree": op2_simhash_bktree,
@@ -148,6 +181,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dc3": op9_suffix_dc3,
     "op10_bmw_bm25": op10_bmw_bm25,
     "op12_harmonic_runs": op12_harmonic_runs,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_arc_to_warc": OP6_SQL, "op8_temperature_mix": OP8_SQL, "op10_bmw_bm25": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_arc_to_warc": OP6_SQL, "op8_temperature_mix": OP8_SQL, "op10_bmw_bm25": OP10_SQL, "op13_prefix_trie": OP13_SQL}
