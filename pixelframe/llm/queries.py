@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelframe.llm import ann, language_id, mixing, packing, periodic, prefix_trie, quality, simhash, suffix_dedup, topk, toxicity, warc
+from pixelframe.llm import ann, bin_slack, language_id, mixing, packing, periodic, prefix_trie, quality, simhash, suffix_dedup, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -125,6 +125,12 @@ SELECT * FROM r WHERE rank <= 10
 """
 
 
+def op11_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bin_slack.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op12_harmonic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic.find_runs(periodic.plant(_table(spark, sf_dir, "documents").select("doc_id", "text")))
     lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
@@ -180,6 +186,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_temperature_mix": op8_temperature_mix,
     "op9_suffix_dc3": op9_suffix_dc3,
     "op10_bmw_bm25": op10_bmw_bm25,
+    "op11_bin_slack": op11_bin_slack,
     "op12_harmonic_runs": op12_harmonic_runs,
     "op13_prefix_trie": op13_prefix_trie,
 }
