@@ -15,8 +15,8 @@ rare at any size; every choice finds the same links.
 
 Defined results: null or empty texts have fingerprint zero and link like any other; fewer
 than three words are one shingle; equal fingerprints are one node, so thousands of copies
-cost one; repeated rows repeat in the result; a document with a null id gets the component
-of its fingerprint's ids (null if there are none) and links nothing by itself.
+cost one; repeated rows repeat in the result; a document with a null id links others like any, and gets the smallest id
+reachable from it (null if there is none).
 """
 
 from __future__ import annotations
@@ -209,9 +209,11 @@ def links(nodes: DataFrame, n: int, chunk: int = CHUNK) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable) of every document."""
     marked = scratch.table(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = scratch.table(marked.groupBy("fp").agg(F.min(F.col(id_col)).cast("long").alias("node")), "nodes")
-    n = nodes.count()
-    joined = components(links(nodes.where("node is not null"), n))
-    named = scratch.table(nodes.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "classes")
+    # Fingerprints are the nodes, so one that only rows without an id hold still connects others.
+    nodes = scratch.table(marked.groupBy("fp").agg(F.min(F.col(id_col)).cast("long").alias("first")), "nodes")
+    joined = components(links(nodes.select("fp", F.col("fp").alias("node")), nodes.count()))
+    named = scratch.table(nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "classes")
+    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = scratch.table(named.join(smallest, "component").select("fp", "component_id"), "classes")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(named, "fp").select(id_col, hexed.alias("fingerprint"), "component_id")

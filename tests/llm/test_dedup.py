@@ -1,6 +1,7 @@
 """SimHash, suffix dedup and components against brute force."""
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -88,6 +89,15 @@ def test_null_ids_and_empty(spark):
     assert simhash.near_duplicates(df.where("doc_id = 9")).count() == 0
 
 
+def test_a_fingerprint_without_ids_connects_others(spark, monkeypatch):
+    """00 and 3f differ in six bits; 07, which only rows without an id hold, is within three of both."""
+    rows = [(1, 0x00), (None, 0x07), (None, 0x07), (2, 0x3F), (9, 1 << 40 | 0xFF00), (None, (1 << 64) - 1)]
+    marked = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in rows], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, id_col, text_col: marked)
+    got = Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(marked).collect())
+    assert got == Counter([(1, f"{0:016x}", 1), (None, f"{7:016x}", 1), (None, f"{7:016x}", 1), (2, f"{0x3F:016x}", 1), (9, f"{1 << 40 | 0xFF00:016x}", 9), (None, "f" * 16, None)])
+
+
 def test_components_of_paths_and_stars(spark):
     path = [(i, i + 1) for i in range(40)]
     star = [(100, 100 + i) for i in range(1, 30)]
