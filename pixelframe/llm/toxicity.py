@@ -6,8 +6,8 @@ it is far above the base share.  The field is trained on those word labels and t
 every word with a marginal; marginals aggregate to document statistics (expected
 number, largest, share) whose logistic model is fitted to the document labels.
 
-The training sample is bounded: ``PER_CLASS`` expected documents of each label, whole
-texts.  Defined results: null or empty texts and texts without a letter have no span
+The training sample is bounded: ``PER_CLASS`` distinct rows of each label and about ``CLASS_BYTES`` bytes (a text that
+begins below the bound is taken whole).  Defined results: null or empty texts and texts without a letter have no span
 and get the score of zero toxic words; with labels of one kind only (or none) every
 score is that kind's share (0 without labels); a document with both labels counts as toxic; null ids, repeated rows and further
 columns pass as in language identification.
@@ -15,6 +15,7 @@ columns pass as in language identification.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelframe.llm import language_id
 from pixelframe.llm.crf import Crf, Features, build_lexicon
 from pixelframe.llm.language_id import remainder
 from pixelframe.llm.textscan import Words, slices, string_buffers
 
-#: Expected number of training documents of each class.
-PER_CLASS = 900
+#: Most training rows of each class, and bytes of their texts.
+PER_CLASS, CLASS_BYTES = 900, 8_000_000
 #: A training word counts as toxic from this smoothed log-odds ratio, number and share of toxic documents
 #: (the share keeps out words that only the copies of one toxic document hold).
 MIN_LOG_ODDS, MIN_DOCS, MIN_SHARE = 2.5, 4, 0.01
@@ -107,21 +109,24 @@ def train(rows: list[tuple[str, int]], epochs: int = 3) -> ToxicModel:
     return ToxicModel(crf, _logistic(x, y))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> ToxicModel:
-    """Train on about ``per_class`` labelled rows of each class, chosen by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> ToxicModel:
+    """Train on labelled rows of each class: the first ``per_class`` distinct ones in hash order and about ``class_bytes``.
 
-    The chosen ids are broadcast: their number is the bound of the sample.  The class shares of the corpus are restored in the document model's intercept.
+    Twice as many ids are chosen by their hash and broadcast; the rows of an id, however many, are drawn by a hash of id and text.
+    The class shares of the corpus are restored in the document model's intercept.
     """
     marked = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
     counts = {r["__y"]: r["count"] for r in marked.groupBy("__y").count().collect()}
     chance = F.lit(0.0)
     for y, c in counts.items():
-        chance = F.when(F.col("__y") == y, F.lit(min(1.0, per_class / c))).otherwise(chance)
+        chance = F.when(F.col("__y") == y, F.lit(min(1.0, 2 * per_class / c))).otherwise(chance)
     chosen = marked.where(F.pmod(F.xxhash64(F.col("__id").cast("string")), F.lit(1_000_003)) < chance * 1_000_003)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "__id").select("t", "__y").collect()
-    model = train([(r["t"] or "", r["__y"]) for r in rows])
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
+    drawn = language_id.sample_labelled(rows, "__id", "__text", "__y", per_class, class_bytes)
+    # Classes take turns in training as their texts' checksums do.
+    model = train(sorted(drawn, key=lambda r: (zlib.crc32(r[0].encode()), r)))
     if model.crf is not None and len(counts) == 2:
-        used = np.bincount([r["__y"] for r in rows], minlength=2)
+        used = np.bincount([y for _, y in drawn], minlength=2)
         model.coefficients[0] += np.log(counts[1] / counts[0]) - np.log(used[1] / used[0])
     return model
 

@@ -153,6 +153,21 @@ def test_every_label_is_learned_from_bounded_rows(spark):
     assert language_id.sample_labelled(docs.where("lang = 'x'"), "doc_id", "text", "lang", 5) == []
 
 
+def test_toxic_sample_is_bounded_with_a_hot_id(spark, monkeypatch):
+    """An id with most rows, and texts longer than the bound, do not make the sample larger."""
+    rows = [(1, f"word{i} other text of the hot id") for i in range(500)] + [(1, "same again")] * 300 + [(i, f"plain words {i} " * 20) for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 1)) for i in range(1, 60)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda rows: seen.append(rows) or toxicity.ToxicModel(None, np.zeros(4)))
+    toxicity.fit(docs, labels, per_class=5)
+    assert 2 <= len(seen[0]) <= 10 and {y for _, y in seen[0]} == {0, 1} and len(set(seen[0])) == len(seen[0])
+    toxicity.fit(docs, labels, per_class=50, class_bytes=700)
+    for y in (0, 1):
+        sizes = [len(t) for t, v in seen[1] if v == y]
+        assert sizes and sum(sizes) - max(sizes) < 700
+
+
 def test_documents_with_two_labels_take_the_larger(spark):
     docs = spark.createDataFrame([(i, "good words here " * 3 if i % 2 else "vile vile slur") for i in range(40)], "doc_id long, text string")
     once = [(i, 1 - i % 2, i % 2) for i in range(40)]
