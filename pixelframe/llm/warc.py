@@ -4,7 +4,9 @@ Pages are written as ARC files (one version for each file, URL-record version 1
 a converter parses the version-specific header lines and declared lengths and writes
 WARC records with identifiers, timestamps, types and digests made from them, and a
 reader parses the WARC files again.  Archives are gzipped text files that Spark writes
-into the shared folder; every file holds a bounded number of records.
+into the shared folder.  Pages are written by classes of their size, each with a number of records for a file, so that a
+file holds about 128 MB at most (or eight of the largest pages).  Readers inflate a file bit by bit, members one
+after another, and hand rows on every ``BATCH_BYTES``, so a task never holds an inflated file.
 
 Defined results: a null html is an empty payload, a null url becomes ``urn:unknown``; a
 null page id stays null, is always a response and never referred to; rows with the same
@@ -14,10 +16,12 @@ empty archives.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import re
-import zlib
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +31,10 @@ from pixelframe.llm import scratch
 
 #: Payloads of fewer bytes are never revisits.
 MIN_REVISIT = 100
-RECORDS_PER_FILE = 2000
+#: (payload bytes below which a class lies, records in a file of it).
+SIZES = ((1 << 16, 2000), (1 << 20, 128), (1 << 62, 8))
+#: Bytes of payloads that are handed on at once.
+BATCH_BYTES = 8_000_000
 #: Capture time and address that pages without any get.
 CAPTURED, ADDRESS = "20240101000000", "0.0.0.0"
 #: Fixed values of the formats.
@@ -42,8 +49,22 @@ def _bytes(c: Column) -> Column:
     return F.octet_length(c).cast("string")
 
 
+def _classes(rows: DataFrame, size: Column) -> Iterator[tuple[str, Column, int]]:
+    """(name, condition, records in a file) of each class of sizes that occurs in ``rows``; ``c0`` always."""
+    least = [0, *[s for s, _ in SIZES[:-1]]]
+    (seen,) = rows.agg(F.array(*[F.count(F.when((size >= a) & (size < b), 1)) for a, (b, _) in zip(least, SIZES, strict=True)])).first()
+    for k, (a, (b, per_file)) in enumerate(zip(least, SIZES, strict=True)):
+        if seen[k] or not k:
+            yield f"c{k}", (size >= a) & (size < b), per_file
+
+
 def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Write ARC files: a version block, then records ``header line, network document``; versions alternate by task."""
+    for name, some, per_file in _classes(pages, F.coalesce(F.octet_length(F.col(html_col).cast("string")), F.lit(0))):
+        _write_arc(pages.where(some), f"{path}/{name}", per_file, id_col, url_col, html_col)
+
+
+def _write_arc(pages: DataFrame, path: str, per_file: int, id_col: str, url_col: str, html_col: str) -> None:
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     url = F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("urn:unknown")), r"\s", "%20")
     url = F.when(url == "", "urn:unknown").otherwise(url)
@@ -56,23 +77,22 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
     block = F.when(F.col("version") == "2", F.lit(f"2 0 pages\n{ARC_FIELDS['2']}\n")).otherwise(F.lit(f"1 0 pages\n{ARC_FIELDS['1']}\n"))
     top = F.concat(F.lit("filedesc://pages.arc"), F.regexp_replace("middle", "text/html", "text/plain"), _bytes(block), F.lit("\n"), block, F.lit("\n"))
     # Row numbers within a task start at zero, as its files do.
-    first = F.col("n").bitwiseAND(F.lit((1 << 33) - 1)) % RECORDS_PER_FILE == 0
+    first = F.col("n").bitwiseAND(F.lit((1 << 33) - 1)) % per_file == 0
     lines = rows.select(F.when(first, F.concat(top, record)).otherwise(record).alias("value"))
-    lines.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    lines.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
-def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def parse_arc(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields by name, network document) of each record; the version block says which fields a line has."""
-    at, fields = 0, ARC_FIELDS["1"].split()
-    while at < len(data):
-        if data[at : at + 1] == b"\n":
-            at += 1
+    fields = ARC_FIELDS["1"].split()
+    while line := stream.readline():
+        if not line.strip():
             continue
-        end = data.index(b"\n", at)
-        parts = data[at:end].decode("utf-8", "replace").split(" ")
+        parts = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
         length = int(parts[-1])
-        body = data[end + 1 : end + 1 + length]
-        at = end + 1 + length
+        body = stream.read(length)
+        if len(body) < length:
+            raise ValueError(f"an ARC record declares {length} bytes, {len(body)} are left")
         if parts[0].startswith("filedesc:"):
             fields = ARC_FIELDS[body[:1].decode()].split()
         elif len(parts) == len(fields):
@@ -88,29 +108,49 @@ def _http(body: bytes) -> tuple[bytes, bytes, dict[str, str]]:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("content", F.substring_index("path", "/", -1).alias("file"))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content", F.substring_index("path", "/", -1).alias("file"))
+
+
+def _inflated(content: pa.Scalar) -> BinaryIO:
+    """A gzip file of any number of members as a stream."""
+    return io.BufferedReader(gzip.GzipFile(fileobj=pa.BufferReader(content.as_buffer())), 1 << 20)
+
+
+def _batches(rows: Iterator[tuple[int, tuple]], kinds: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Record batches of (bytes, row) of about ``BATCH_BYTES``."""
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        # Payloads are bytes; they become strings without a copy.
+        columns = [pa.array(c, pa.binary()).view(t) if any(isinstance(x, bytes) for x in c) else pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    for n, row in rows:
+        held.append(row)
+        size += n + 200
+        if size > BATCH_BYTES:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
 
 
 def read_arc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Records of ARC files: page_id, url, ip, captured, digest, payload_bytes, at (file and number) and with ``with_payload`` head and payload."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
         for batch in batches:
             for content, file in zip(*batch.columns, strict=True):
-                rows = []
-                for k, (fields, body) in enumerate(parse_arc(zlib.decompress(content.as_py(), 31))):
+                for k, (fields, body) in enumerate(parse_arc(_inflated(content))):
                     head, payload, http = _http(body)
                     page = int(http["x-page-id"]) if "x-page-id" in http else None
-                    row = [page, fields["URL"], fields["IP-address"], fields["Archive-date"], hashlib.sha256(payload).hexdigest(), len(payload), f"{file} {k}"]
-                    rows.append([*row, head, payload] if with_payload else row)
-                if rows:
-                    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
-                    columns = [pa.array(c, pa.binary()).cast(t) if isinstance(c[0], bytes) else pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                    row = (page, fields["URL"], fields["IP-address"], fields["Archive-date"], hashlib.sha256(payload).hexdigest(), len(payload), f"{file} {k}")
+                    yield (len(body), (*row, head, payload)) if with_payload else (0, row)
 
     schema = "page_id long, url string, ip string, captured string, digest string, payload_bytes long, at string" + ", head string, payload string" * with_payload
     names = [x.split()[0] for x in schema.split(", ")]
-    return _files(spark, path).mapInArrow(run, schema)
+    kinds = [pa.int64() if x.endswith("long") else pa.string() for x in schema.split(", ")]
+    return _files(spark, path).mapInArrow(lambda batches: _batches(records(batches), kinds, names), schema)
 
 
 def _record_id(page: Column, salt: Column) -> Column:
@@ -136,11 +176,16 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     The first record (smallest page id) of a payload is a response and later ones revisit
     it.  Only payloads that occur more than once are joined back, by digest.
     """
-    short = read_arc(spark, arc_path, with_payload=False).where(F.col("payload_bytes") >= MIN_REVISIT)
+    short = scratch.table(read_arc(spark, arc_path, with_payload=False), "records")
     known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "captured", "at"))
-    firsts = short.groupBy("digest").agg(F.min(known).alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
+    firsts = short.where(F.col("payload_bytes") >= MIN_REVISIT).groupBy("digest").agg(F.min(known).alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
     firsts = scratch.table(firsts, "payloads")
-    rows = scratch.join_counted(read_arc(spark, arc_path), firsts, ["digest"], "left", firsts.count())
+    n = firsts.count()
+    for name, some, per_file in _classes(short, F.col("payload_bytes")):
+        _write_warc(scratch.join_counted(read_arc(spark, arc_path).where(some), firsts, ["digest"], "left", n), f"{warc_path}/{name}", per_file)
+
+
+def _write_warc(rows: DataFrame, path: str, per_file: int) -> None:
     again = F.coalesce(F.col("page_id") > F.col("first.page_id"), F.lit(False))
     iso = F.regexp_replace("captured", r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", "$1-$2-$3T$4:$5:$6Z")
     body = F.when(again, F.col("head")).otherwise(F.concat("head", "payload"))
@@ -159,21 +204,25 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
         F.lit("\r\n"),
         body,
     )
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(warc_path)
+    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def parse_warc(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record by its declared length."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+    while line := stream.readline():
+        if not line.strip():
+            continue
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record at {line[:40]!r}")
+        headers = {}
+        while (line := stream.readline()).strip():
+            name, _, value = line.decode("utf-8", "replace").rstrip("\r\n").partition(": ")
+            headers[name.lower()] = value
         size = int(headers["content-length"])
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        block = stream.read(size)
+        if len(block) < size:
+            raise ValueError(f"a WARC record declares {size} bytes, {len(block)} are left")
+        yield headers, block
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -182,11 +231,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     A response's digest and length are computed from its payload; a revisit states its own.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
         for batch in batches:
             for content in batch.column(0):
-                rows = []
-                for headers, block in parse_warc(zlib.decompress(content.as_py(), 31)):
+                for headers, block in parse_warc(_inflated(content)):
                     _, payload, http = _http(block)
                     stated = headers["warc-payload-digest"].removeprefix("sha256:")
                     revisit = headers["warc-type"] == "revisit"
@@ -196,14 +244,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     size = int(http["content-length"]) if revisit else len(payload)
                     page = int(http["x-page-id"]) if "x-page-id" in http else None
                     refers = _page_of(headers["warc-refers-to"]) if revisit else None
-                    rows.append((page, size, digest, headers["warc-type"], refers, headers["warc-target-uri"], headers["warc-date"]))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    yield 0, (page, size, digest, headers["warc-type"], refers, headers["warc-target-uri"], headers["warc-date"])
 
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, uri string, warc_date string"
     names = [x.split()[0] for x in schema.split(", ")]
-    return _files(spark, path).mapInArrow(run, schema)
+    return _files(spark, path).mapInArrow(lambda batches: _batches(records(batches), kinds, names), schema)
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
