@@ -77,21 +77,29 @@ WITH RECURSIVE t AS (
 d AS (SELECT *, CAST(('0x' || substr(o, 1, 8)) AS BIGINT) % (SELECT greatest({mixing.BLOCKS}, (count(*) + {mixing.BLOCK_ROWS - 1}) // {mixing.BLOCK_ROWS}) FROM documents) AS b FROM t),
 s AS (SELECT k, sum(n)::BIGINT AS n FROM d GROUP BY k),
 tot AS (SELECT sum(n)::BIGINT AS n FROM s),
-lp AS (SELECT ln(s.n / tot.n::DOUBLE) AS lp FROM s, tot WHERE s.n > 0),
+top AS (SELECT max(n)::DOUBLE AS top FROM s),
+lp AS (SELECT ln(s.n / tot.n::DOUBLE) AS lp, ln(s.n / tot.n::DOUBLE) - max(ln(s.n / tot.n::DOUBLE)) OVER () AS d, count(*) OVER () AS cnt FROM s, tot WHERE s.n > 0),
+g AS (
+  SELECT a, ln(sum(exp(a * d))) - sum(exp(a * d) * a * d) / sum(exp(a * d)) - {MIX_ENTROPY} * ln(max(cnt)) AS above, max(exp(a * d - lp)) / sum(exp(a * d)) <= {MIX_REPEATS} * (1 + 1e-12) AS fits
+  FROM (SELECT 2.0::DOUBLE ** k AS a FROM range(0, {mixing.DOUBLINGS} + 1) x(k)), lp GROUP BY a),
+one AS (SELECT above > 0 AS sharp, fits, (SELECT min(a) FROM g WHERE a > 1 AND (above < 0 OR NOT fits)) AS high FROM g WHERE a = 1),
+st AS (SELECT sharp, CASE WHEN NOT fits OR (sharp AND high IS NULL) THEN 1::DOUBLE WHEN sharp THEN high / 2 ELSE 0 END AS lo, CASE WHEN NOT fits OR (sharp AND high IS NULL) THEN 1::DOUBLE WHEN sharp THEN high ELSE 1 END AS hi FROM one),
 bi AS (
-  SELECT 0 AS i, 0::DOUBLE AS lo, {mixing.LARGEST}::DOUBLE AS hi
+  SELECT 0 AS i, sharp, lo, hi FROM st
   UNION ALL
-  SELECT i + 1, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END
-  FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid,
-        (SELECT ln(sum(exp((lo + hi) / 2 * lp))) - sum(exp((lo + hi) / 2 * lp) * (lo + hi) / 2 * lp) / sum(exp((lo + hi) / 2 * lp)) > {MIX_ENTROPY} * ln(count(*))
-             OR max(exp((lo + hi) / 2 * lp) / exp(lp)) / sum(exp((lo + hi) / 2 * lp)) > {MIX_REPEATS} FROM lp) AS up
+  SELECT i + 1, sharp, CASE WHEN sharp = good THEN mid ELSE lo END, CASE WHEN sharp = good THEN hi ELSE mid END
+  FROM (SELECT i, sharp, lo, hi, (lo + hi) / 2 AS mid,
+        (SELECT CASE WHEN sharp THEN 1 ELSE -1 END * (ln(sum(exp((lo + hi) / 2 * d))) - sum(exp((lo + hi) / 2 * d) * (lo + hi) / 2 * d) / sum(exp((lo + hi) / 2 * d)) - {MIX_ENTROPY} * ln(max(cnt))) >= 0
+            AND max(exp((lo + hi) / 2 * d - lp)) / sum(exp((lo + hi) / 2 * d)) <= {MIX_REPEATS} * (1 + 1e-12) FROM lp) AS good
         FROM bi WHERE i < {mixing.STEPS * mixing.PASSES})),
-a AS (SELECT hi AS a FROM bi WHERE i = {mixing.STEPS * mixing.PASSES}),
-p AS (SELECT k, s.n AS al, CASE WHEN s.n > 0 THEN exp(a * ln(s.n / tot.n::DOUBLE)) ELSE 0 END AS p FROM s, tot, a),
+a AS (SELECT CASE WHEN sharp THEN lo ELSE hi END AS a FROM bi WHERE i = {mixing.STEPS * mixing.PASSES}),
+p AS (SELECT k, s.n AS al, CASE WHEN s.n > 0 THEN exp(a * ln(s.n / top)) ELSE 0 END AS p FROM s, top, a),
 q AS (SELECT k, al, p / (SELECT sum(p) FROM p) AS w, CAST(floor(round(tot.n::DOUBLE * (p / (SELECT sum(p) FROM p)), 3)) AS BIGINT) AS quota FROM p, tot),
 e AS (SELECT k, round(w, 9) AS w, CASE WHEN al > 0 THEN quota // al ELSE 0 END AS ep, CASE WHEN al > 0 THEN quota % al ELSE 0 END AS rest FROM q),
 pb AS (SELECT k, b, sum(n)::BIGINT AS n FROM d GROUP BY k, b),
-c AS (SELECT k, b, w, ep, n, rest - (sum(n) OVER (PARTITION BY k ORDER BY md5('1:' || k || ':' || b), b) - n) AS room FROM pb JOIN e USING (k)),
+gr AS (SELECT k, b // {mixing.BLOCKS} AS gb, sum(n)::BIGINT AS gn FROM pb GROUP BY ALL),
+gs AS (SELECT k, gb, sum(gn) OVER (PARTITION BY k ORDER BY md5('1:' || k || ':group:' || gb), gb) - gn AS before FROM gr),
+c AS (SELECT k, pb.b, w, ep, pb.n, rest - before - (sum(pb.n) OVER (PARTITION BY k, gb ORDER BY md5('1:' || k || ':' || pb.b), pb.b) - pb.n) AS room FROM pb JOIN e USING (k) JOIN gs USING (k) WHERE gs.gb = pb.b // {mixing.BLOCKS}),
 r AS (SELECT d.*, c.w, c.ep, c.room, c.n AS bn, sum(d.n) OVER (PARTITION BY d.k, d.b ORDER BY d.o) AS cum FROM d JOIN c ON d.k = c.k AND d.b = c.b)
 SELECT doc_id, source, n AS n_tokens, w AS weight,
        CAST(ep + CASE WHEN room > 0 AND (room >= bn OR cum <= room) THEN 1 ELSE 0 END AS INTEGER) AS copies

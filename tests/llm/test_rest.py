@@ -1,5 +1,7 @@
 """Packing, neighbours, archives, mixing, search and the pipeline."""
 
+import gzip
+import io
 import math
 import zlib
 
@@ -132,15 +134,15 @@ def test_arc_versions_are_parsed():
     body = b"HTTP/1.1 200 OK\r\n\r\nhi\nyou"
     data = one[: one.index(b"\n") + 1] + one[one.index(b"\n") + 1 :][:76] + b"\n"
     data += b"http://a 1.2.3.4 20240101000000 text/html %d\n" % len(body) + body + b"\n"
-    (fields, got), *_ = list(warc.parse_arc(data))
+    (fields, got), *_ = list(warc.parse_arc(io.BytesIO(data)))
     assert got == body and fields["IP-address"] == "1.2.3.4"
     block = f"2 0 x\n{warc.ARC_FIELDS['2']}\n".encode()
     data = b"filedesc://a 0.0.0.0 20240101000000 text/plain %d\n" % len(block) + block + b"\n"
     data += b"http://b 1.2.3.4 20240101000000 text/html 404 - - 0 f.arc %d\n" % len(body) + body + b"\n"
-    (fields, got), *_ = list(warc.parse_arc(data))
+    (fields, got), *_ = list(warc.parse_arc(io.BytesIO(data)))
     assert got == body and fields["Result-code"] == "404"
     with pytest.raises(ValueError):
-        list(warc.parse_arc(b"http://b 1.2.3.4 5\nhello\n"))
+        list(warc.parse_arc(io.BytesIO(b"http://b 1.2.3.4 5\nhello\n")))
 
 
 def test_archives_round_trip(spark):
@@ -159,7 +161,7 @@ def test_revisits_refer_to_written_responses(spark):
     arc, out = warc.scratch.new_path(spark, "arc"), warc.scratch.new_path(spark, "warc")
     warc.write_arc(df, arc)
     warc.convert(spark, arc, out)
-    records = [h for r in warc._files(spark, out).collect() for h, _ in warc.parse_warc(warc.zlib.decompress(bytes(r["content"]), 31))]
+    records = [h for r in warc._files(spark, out).collect() for h, _ in warc.parse_warc(io.BytesIO(gzip.decompress(bytes(r["content"]))))]
     ids = [h["warc-record-id"] for h in records]
     assert len(set(ids)) == len(ids) == len(rows)
     responses = {h["warc-record-id"]: h["warc-payload-digest"] for h in records if h["warc-type"] == "response"}
@@ -170,7 +172,7 @@ def test_revisits_refer_to_written_responses(spark):
 
 def test_queries_match_sql(spark):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.sql(f"create or replace view {t} as select * from '{SF}/{t}.parquet'")
     norm = lambda v: round(v, 5) if isinstance(v, float) else v
     for name, sql in queries.ORACLE_SQL.items():
@@ -195,6 +197,108 @@ def test_mixing_meets_its_limits(spark):
     assert all(0 <= 1000 * r["w"] - r["t"] <= 10.01 for r in got)
 
 
+def _entropy(shares, a):
+    p = np.array(shares, float) / sum(shares)
+    w = (p / p.max()) ** a
+    w = w / w.sum()
+    return -(w * np.log(w, where=w > 0, out=np.zeros_like(w))).sum() / math.log(len(p)), (w / p).max()
+
+
+@pytest.mark.parametrize("target", [0.3, 0.5, 0.74, 0.75, 0.9, 0.99])
+def test_mixing_meets_its_target_from_both_sides(spark, target):
+    """Shares .60 .25 .10 .05 have an entropy of 0.745: exponents over one below it, under one above."""
+    shares = [600, 250, 100, 50]
+    src = spark.createDataFrame([(str(i), n) for i, n in enumerate(shares)], "k string, tokens long")
+    a = mixing.bisect_exponent(src, 1000, 1000, target, 1e9)
+    assert math.isclose(_entropy(shares, a)[0], target, abs_tol=1e-8) and (a > 1) == (target < 0.745)
+    near = [1000, 999, 998]
+    src = spark.createDataFrame([(str(i), n) for i, n in enumerate(near)], "k string, tokens long")
+    a = mixing.bisect_exponent(src, sum(near), sum(near), target, 1e9)
+    assert math.isclose(_entropy(near, a)[0], target, abs_tol=1e-6) and a > 100
+
+
+def test_mixing_stops_at_the_limit_from_both_sides(spark):
+    shares = [600, 250, 100, 50]
+    src = spark.createDataFrame([(str(i), n) for i, n in enumerate(shares)], "k string, tokens long")
+    for target, limit in ((0.01, 1.5), (0.999, 3.0)):
+        a = mixing.bisect_exponent(src, 1000, 1000, target, limit)
+        assert math.isclose(_entropy(shares, a)[1], limit, rel_tol=1e-8) and (a > 1) == (target < 0.5)
+    with pytest.warns(UserWarning, match="as they are"):
+        assert mixing.bisect_exponent(src, 1000, 5000, 0.5, 2.0) == 1.0  # every source is shown five times already
+
+
+def brute_copies(rows, entropy, repeats, cover, blocks=mixing.BLOCKS):
+    """(n_tokens, copies) of rows (id, text, source) by the definition of the mixture, quotas and permutations."""
+    import hashlib
+    import re
+
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    docs = []
+    for i, text, source in rows:
+        order = md5(f"1:{'' if i is None else i}")
+        docs.append(("null" if source is None else f"={source}", order, int(order[:8], 16) % blocks, len(re.findall(r"[^\x09-\x0D\x20]+", text or ""))))
+    size = {}
+    for k, _, _, n in docs:
+        size[k] = size.get(k, 0) + n
+    full = {k: n for k, n in size.items() if n}
+    total = sum(full.values())
+    shares = list(full.values())
+
+    def shown(a):
+        p = (np.array(shares, float) / max(shares)) ** a
+        each = p / np.array(shares)
+        return each.max() / each.min() if cover else each.max() / p.sum() * total
+
+    low, high = 0.0, 1.0
+    if (sharp := _entropy(shares, 1.0)[0] > entropy):
+        low = 1.0
+        high = next(2.0**k for k in range(1, 40) if _entropy(shares, 2.0**k)[0] < entropy or shown(2.0**k) > repeats)
+    for _ in range(100):
+        a = (low + high) / 2
+        good = (_entropy(shares, a)[0] >= entropy if sharp else _entropy(shares, a)[0] <= entropy) and shown(a) <= repeats
+        low, high = (a, high) if sharp == good else (low, a)
+    p = {k: (n / max(shares)) ** low for k, n in full.items()}
+    scale = max(full[k] / p[k] for k in full) if cover else total / sum(p.values())
+    out = []
+    for k, order, block, n in docs:
+        if not size[k]:
+            out.append((n, int(cover)))
+            continue
+        quota = max(size[k], int(round(scale * p[k], 3))) if cover else int(round(scale * p[k], 3))
+        epochs, rest = divmod(quota, size[k])
+        # Shown once more: documents before the quota's end in the order of permuted blocks.
+        first = lambda b: (md5(f"1:{k}:group:{b // mixing.BLOCKS}"), b // mixing.BLOCKS, md5(f"1:{k}:{b}"), b)
+        upto = sum(m for k2, o2, b2, m in docs if k2 == k and (first(b2) < first(block) or (b2 == block and o2 <= order)))
+        whole = sum(m for k2, _, b2, m in docs if k2 == k and (first(b2) < first(block) or b2 == block))
+        before = sum(m for k2, _, b2, m in docs if k2 == k and first(b2) < first(block))
+        out.append((n, epochs + int(rest > before and (rest >= whole or upto <= rest))))
+    return out
+
+
+@pytest.mark.parametrize("entropy, repeats, cover", [(0.6, 4.0, False), (0.95, 4.0, False), (0.6, 1.4, True), (0.95, 2.5, True), (0.05, 3.0, True)])
+def test_mixing_by_brute_force(spark, entropy, repeats, cover):
+    rng = np.random.default_rng(5)
+    rows = [(i, "w " * int(rng.integers(0, 40)), "aaaabbc"[i % 7] if i % 11 else None) for i in range(230)] + [(500, None, "none"), (501, "", "none"), (None, "x y", "a"), (3, "x y z", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.plan(docs, entropy, repeats, cover=cover, blocks=mixing.BLOCKS * 5).collect()
+    want = brute_copies(rows, entropy, repeats, cover, mixing.BLOCKS * 5)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(((r["doc_id"], r["source"], r["n_tokens"], r["copies"]) for r in got), key=key) == sorted(((i, s, *c) for (i, _, s), c in zip(rows, want, strict=True)), key=key)
+    assert len({c for _, c in want}) > 1
+
+
+def test_mixing_changes_the_given_table(spark):
+    """The sources of the table are flatter than the target: documents are left out and repeated, and the entropy is met."""
+    got = queries.op8_temperature_mix(spark, "/root/testdata/sf0.01").collect()
+    assert {0, 1, 2} <= {r["copies"] for r in got}
+    weight = {r["source"]: r["weight"] for r in got}
+    assert math.isclose(-sum(w * math.log(w) for w in weight.values()) / math.log(len(weight)), queries.MIX_ENTROPY, abs_tol=1e-6)
+    shown = {k: sum(r["copies"] * r["n_tokens"] for r in got if r["source"] == k) for k in weight}
+    total = sum(r["n_tokens"] for r in got)
+    longest = max(r["n_tokens"] for r in got)
+    assert all(0 <= weight[k] * total - n <= longest + 1 for k, n in shown.items())
+
+
 def test_mixing_cover_and_odd_rows(spark):
     rows = [(1, "a b", "x"), (2, None, "x"), (3, "c d e", None), (None, "f", "y"), (4, "", "z"), (1, "a b", "x"), *[(10 + i, "w " * 20, "big") for i in range(30)]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copies", F.lit("x")).withColumn("weight", F.lit(0))
@@ -220,6 +324,44 @@ def test_mixing_takes_any_column_name(spark):
         assert mixing.bisect_exponent(even, 40, 40, 0.9, 4.0) == pytest.approx(1.0)
 
 
+def test_archives_are_cut_by_bytes(spark, monkeypatch):
+    """Pages of several MB, with small bounds: files hold few of them, rows leave a reader in small batches, nothing is lost."""
+    monkeypatch.setattr(warc, "SIZES", ((1000, 50), (100_000, 4), (1 << 62, 2)))
+    rows = [(i, f"http://h/{i}", "s" * i) for i in range(120)] + [(200 + i, "http://m", f"{i} " * 3000) for i in range(9)] + [(300 + i, "http://l", f"{i % 3}é" * 1_000_000) for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    arc, out = warc.scratch.new_path(spark, "arc"), warc.scratch.new_path(spark, "warc")
+    warc.write_arc(df, arc)
+    warc.convert(spark, arc, out)
+    for path, magic in ((arc, warc.parse_arc), (out, warc.parse_warc)):
+        for r in warc._files(spark, path).collect():
+            sizes = [len(body) for head, body in magic(io.BytesIO(gzip.decompress(bytes(r["content"])))) if "filedesc" not in str(head)]
+            largest = max(sizes, default=0)
+            assert len(sizes) <= 50 and (largest < 2000 or len(sizes) <= 4) and (largest < 200_000 or len(sizes) <= 2)
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_warc(spark, out).collect()}
+    first = {}
+    for i, _, h in rows:
+        first.setdefault(h, i)
+    again = {i: first[h] for i, _, h in rows if len(h) >= 100 and first[h] < i}
+    assert got == {i: (len(h.encode()), "revisit" if i in again else "response", again.get(i)) for i, _, h in rows}
+    content = gzip.compress(b"2 0 x\n") + gzip.compress(b"") + gzip.compress(b"next member")
+    import pyarrow as pa
+
+    assert warc._inflated(pa.scalar(content, pa.binary())).read() == b"2 0 x\nnext member"
+    monkeypatch.setattr(warc, "BATCH_BYTES", 1000)
+    batches = list(warc._batches(((900, (i, b"x")) for i in range(7)), [pa.int64(), pa.string()], ["a", "b"]))
+    assert [b.num_rows for b in batches] == [1, 1, 1, 1, 1, 1, 1] and batches[0].column(1).to_pylist() == ["x"]
+
+
+def test_cut_archives_are_errors():
+    line = b"http://b 1.2.3.4 20240101000000 text/html 50\nhello\n"
+    with pytest.raises(ValueError, match="declares 50 bytes"):
+        list(warc.parse_arc(io.BytesIO(line)))
+    with pytest.raises(ValueError, match="declares 9 bytes"):
+        list(warc.parse_warc(io.BytesIO(b"WARC/1.0\r\nContent-Length: 9\r\n\r\nabc")))
+    with pytest.raises(ValueError, match="no WARC record"):
+        list(warc.parse_warc(io.BytesIO(b"hello\r\n")))
+
+
 def test_equal_payloads_match_sql(spark, tmp_path):
     """The tables hold no equal payloads of 100 bytes, so revisits meet their SQL here."""
     rows = [(i, f"http://h/{i}", h) for i, h in enumerate(["x" * 120, "y" * 99, "x" * 120, None, "", "y" * 99, "é" * 50, "é" * 50, "x" * 120])] + [(-3, "u", "z" * 200), (12, None, "z" * 200)]
