@@ -149,13 +149,6 @@ def inside_polygon(x: Column, y: Column, ring: list[tuple[float, float]]) -> Col
     return sum(hits, F.lit(0)) % 2 == 1
 
 
-def overlapping_chunks(chunks: DataFrame) -> DataFrame:
-    """Pairs of chunks (chunk, low, high, wide) whose rows meet once the first is grown by its overlap; a few rows a raster."""
-    b = chunks.select(F.col("chunk").alias("b"), F.col("low").alias("b_low"), F.col("high").alias("b_high"))
-    meets = (F.col("chunk") < F.col("b")) & (F.col("low") - F.col("wide") <= F.col("b_high")) & (F.col("b_low") - F.col("wide") <= F.col("high"))
-    return chunks.join(F.broadcast(b), meets).select(F.col("chunk").alias("a"), "b")
-
-
 def polygon_members(points: DataFrame, x: Column, y: Column, rings: dict[int, list[tuple[float, float]]]) -> DataFrame:
     """A row for each point and each polygon (a ring by its number) that holds it."""
     held = F.array(*[F.when(inside_polygon(x, y, ring), F.lit(n).cast("long")) for n, ring in rings.items()])

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from pixelframe.functions import scalars as sc
-from pixelframe.operators import filters, joins, metrics, models, sampling, transforms
+from pixelframe.operators import filters, joins, metrics, models, raster, sampling, tiles, transforms
 from pixelframe.plans.catalog import _CL, _V, COLS, KEY, LI, PX, _classes, _scored, covariates, pixels, query, r6, table
 from pixelframe.plans.materialise import shared_folder
 from pixelframe.sources import files
@@ -131,10 +131,77 @@ def snk_dropped_targets(spark, sf_dir):
     return spark.read.parquet(f"{path}/dropped")
 
 
-@query("WITH t AS (SELECT * FROM (VALUES (0, 0, 9, 4), (1, 10, 25, 4), (2, 26, 29, 1)) t(chunk, low, high, wide)) SELECT a.chunk AS a, b.chunk AS b FROM t a JOIN t b ON a.chunk < b.chunk AND a.low - a.wide <= b.high AND b.low - a.wide <= a.high")
+FINE = "px AS (SELECT CAST(floor(l_partkey / 20.0) AS BIGINT) AS px, CAST(l_suppkey AS BIGINT) AS py, avg(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2)"
+_STRIPS = """b AS (SELECT max(py) + 1 AS h FROM px), k AS (SELECT s, h // 4 AS base, h % 4 AS longer FROM range(4) t(s), b),
+st AS (SELECT s, greatest(s * base + least(s, longer) - 2, 0) AS low, (s + 1) * base + least(s + 1, longer) + 2 AS high FROM k)"""
+
+
+def fine_pixels(spark, sf_dir):
+    """Mean prices on finer cells than the catalogue's other raster."""
+    cell = [F.floor(F.col("l_partkey") / 20).alias("px"), F.col("l_suppkey").cast("long").alias("py")]
+    return table(spark, sf_dir, "lineitem").groupBy(*cell).agg(F.avg("l_extendedprice").alias("value"))
+
+
+def _height(px):
+    """Rows of the lineitem raster; its suppliers are numbered through."""
+    return px.agg(F.max("py")).first()[0] + 1
+
+
+@query(f"WITH {FINE}, {_STRIPS} SELECT s AS strip, count(*) AS n, min(py) AS first, max(py) AS last, round(sum(value), 4) AS total FROM px JOIN st ON py >= low AND py < high GROUP BY 1")
+def ras_strips(spark, sf_dir):
+    """Four strips of the raster that share two rows with each neighbour."""
+    px = fine_pixels(spark, sf_dir)
+    out = tiles.strips(px, _height(px), 4, 2).groupBy("strip").agg(F.count("*").alias("n"), F.min("py").alias("first"), F.max("py").alias("last"), F.sum("value").alias("total"))
+    return out.withColumn("total", F.round("total", 4))
+
+
+@query(f"WITH {FINE}, {_STRIPS}, p AS (SELECT CAST(s_suppkey AS BIGINT) AS py FROM supplier) SELECT s AS strip, count(*) AS points FROM p JOIN st ON py >= low AND py < high GROUP BY 1")
 def jn_chunk_overlap(spark, sf_dir):
-    t = spark.createDataFrame([(0, 0, 9, 4), (1, 10, 25, 4), (2, 26, 29, 1)], "chunk int, low int, high int, wide int")
-    return joins.overlapping_chunks(t)
+    """Points that each grown strip of the raster holds."""
+    points = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("py"))
+    return tiles.strips(points, _height(fine_pixels(spark, sf_dir)), 4, 2).groupBy("strip").agg(F.count("*").alias("points"))
+
+
+#: A raster axis beyond both ends: cells and their mirror image without the last, repeated.
+_MIRRORED = """b AS (SELECT max(px) + 1 AS w, max(py) + 1 AS h FROM px),
+ex AS (SELECT e, least((e + 20 * (2 * w - 1)) % (2 * w - 1), 2 * w - 2 - (e + 20 * (2 * w - 1)) % (2 * w - 1)) AS px, w FROM b, range(-{halo}, w + {halo}) t(e)),
+ey AS (SELECT e, least((e + 20 * (2 * h - 1)) % (2 * h - 1), 2 * h - 2 - (e + 20 * (2 * h - 1)) % (2 * h - 1)) AS py, h FROM b, range(-{halo}, h + {halo}) t(e))"""
+
+
+@query(f"WITH {FINE}, {_MIRRORED.format(halo=3)}, " + """tx AS (SELECT t AS tx, e - t * 4 + 3 AS ix, px FROM ex, range((w + 3) // 4) t(t) WHERE e >= t * 4 - 3 AND e < t * 4 + 7),
+ty AS (SELECT t AS ty, e - t * 4 + 3 AS iy, py FROM ey, range((h + 3) // 4) t(t) WHERE e >= t * 4 - 3 AND e < t * 4 + 7)
+SELECT tx, ty, count(*) AS n, round(sum(value), 4) AS total, round(sum(value * (1 + ix + 10 * iy)), 3) AS placed FROM px JOIN tx USING (px) JOIN ty USING (py) GROUP BY 1, 2""")
+def ras_tiles(spark, sf_dir):
+    """Tiles of 4 by 4 pixels with a halo of three, mirrored at the edges: pixels, their sum and their places."""
+    px = fine_pixels(spark, sf_dir)
+    out = tiles.tile_table(px, px.agg(F.max("px")).first()[0] + 1, _height(px), 4, 3)
+    out = out.groupBy("tx", "ty").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.sum(F.col("value") * (1 + F.col("ix") + 10 * F.col("iy"))).alias("placed"))
+    return out.withColumns({"total": F.round("total", 4), "placed": F.round("placed", 3)})
+
+
+_SENSOR = (1.0, 1.0, 2.0, 0.1)
+_FOOT = ", ".join(f"({i}, {j}, {w!r})" for (i, j), w in raster.footprint(3, *_SENSOR).items())
+
+
+@query(f"WITH {FINE}, hp AS (SELECT * FROM px WHERE (px + 2 * py) % 9 <> 0), {_MIRRORED.format(halo=3)}, k AS (SELECT * FROM (VALUES {_FOOT}) k(i, j, weight)), " + """
+c AS (SELECT x.e AS px, y.e AS py FROM ex x, ey y WHERE x.e >= 0 AND x.e < w AND y.e >= 0 AND y.e < h),
+s AS (SELECT c.px, c.py, sum(hp.value * weight) / sum(weight) AS v FROM c, k JOIN ex ON ex.e = c.px + i JOIN ey ON ey.e = c.py + j JOIN hp ON hp.px = ex.px AND hp.py = ey.py GROUP BY 1, 2)
+SELECT c.px, c.py, CASE WHEN hp.value IS NOT NULL THEN round(v, 5) END AS value FROM c LEFT JOIN s ON s.px = c.px AND s.py = c.py LEFT JOIN hp ON hp.px = c.px AND hp.py = c.py""")
+def ras_gamma_forward(spark, sf_dir):
+    """A gamma sensor's footprint over the raster with holes."""
+    px = fine_pixels(spark, sf_dir)
+    width, height = px.agg(F.max("px")).first()[0] + 1, _height(px)
+    out = tiles.gamma(px.where((F.col("px") + 2 * F.col("py")) % 9 != 0), width, height, *_SENSOR, size=8, reach=3)
+    return out.withColumn("value", F.round("value", 5))
+
+
+@query()
+def ras_deconvolve(spark, sf_dir):
+    """The footprint undone: holes are filled by it first and made holes again."""
+    px = fine_pixels(spark, sf_dir)
+    width, height = px.agg(F.max("px")).first()[0] + 1, _height(px)
+    out = tiles.gamma(px.where((F.col("px") + 2 * F.col("py")) % 9 != 0), width, height, *_SENSOR, forward=False, noise=0.1, reach=1)
+    return out.withColumn("value", F.round("value", 5))
 
 
 @query("SELECT c_custkey, CAST((c_custkey % 10 >= 2 AND c_custkey % 10 < 7 AND c_custkey % 13 < 8)::INT AS BIGINT) AS polygon FROM customer WHERE c_custkey % 10 >= 2 AND c_custkey % 10 < 7 AND c_custkey % 13 < 8 UNION ALL SELECT c_custkey, 2 FROM customer WHERE c_custkey % 10 < 3 AND c_custkey % 13 >= 5 AND c_custkey % 13 < 12")

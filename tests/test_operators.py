@@ -262,14 +262,11 @@ def test_interpolation_ends(spark):
     assert list(got) == [10, 10, 20, 30, 30]
 
 
-def test_kernel_impute_and_deconvolve(spark):
+def test_kernel_impute_and_mirror(spark):
     px = spark.createDataFrame([(x, y, "b", None if (x, y) == (1, 1) else 2.0) for x in range(4) for y in range(4)], "px int, py int, band string, value double")
     kernel = raster.footprint(1, 1, 1, 2, 0.1)
     got = raster.kernel_impute(px, kernel).where("px = 1 and py = 1").first()["value"]
     assert math.isclose(got, 2.0, rel_tol=1e-6)
-    flat = px.withColumn("value", F.lit(2.0))
-    out = [r["value"] for r in raster.deconvolve(flat, "band", 4, 4, kernel, 0.0).collect()]
-    assert np.allclose(out, 2.0)
     assert raster.mirror(px.select("px", "py", "value"), 4, 4).count() == 49
 
 
