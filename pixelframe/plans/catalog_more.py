@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from pixelframe.functions import scalars as sc
+from pixelframe.grid import Grid
 from pixelframe.operators import filters, joins, metrics, models, raster, sampling, tiles, transforms
 from pixelframe.plans.catalog import _CL, _V, COLS, KEY, LI, PX, _classes, _scored, covariates, pixels, query, r6, table
 from pixelframe.plans.materialise import shared_folder
-from pixelframe.sources import files
+from pixelframe.sources import files, gtiff
 
 _ID = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 
@@ -179,6 +180,17 @@ def ras_tiles(spark, sf_dir):
     return out.withColumns({"total": F.round("total", 4), "placed": F.round("placed", 3)})
 
 
+@query(f"WITH {FINE} SELECT px, py, 0 AS band, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 2) AS value FROM px WHERE px >= 2 AND px < 8 AND py <= 60")
+def snk_raster_round_trip(spark, sf_dir):
+    """The raster written as compressed, tiled images and read again through pushed filters."""
+    px = fine_pixels(spark, sf_dir)
+    grid = Grid(0.0, 0.0, 20.0, 1.0, px.agg(F.max("px")).first()[0] + 1, _height(px))
+    path = f"{shared_folder(spark)}/raster-{uuid.uuid4().hex}"
+    gtiff.write_raster(px, grid, path, block=64, tile=16)
+    out = gtiff.read_raster(spark, path).where("px >= 2 AND px < 8 AND py <= 60 AND value IS NOT NULL")
+    return out.withColumn("value", F.round("value", 2))
+
+
 _SENSOR = (1.0, 1.0, 2.0, 0.1)
 _FOOT = ", ".join(f"({i}, {j}, {w!r})" for (i, j), w in raster.footprint(3, *_SENSOR).items())
 

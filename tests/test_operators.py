@@ -2,7 +2,6 @@
 
 import math
 import os
-import struct
 
 import numpy as np
 import pytest
@@ -280,29 +279,6 @@ def test_filters(spark):
     assert back.count() == 3
 
 
-def test_geotiff_round_trip(spark, tmp_path):
-    from pixelframe.sources import gtiff
-
-    g = Grid(0.0, 90.0, 1.0, 1.0, 20, 10)
-    image = np.arange(200, dtype=float).reshape(10, 20)
-    image[3, 4] = np.nan
-    path = os.path.join(tmp_path, "a.tif")
-    with open(path, "wb") as f:
-        f.write(gtiff.encode(image, g))
-    gtiff.register(spark)
-    df = spark.read.format("gtiff").option("path", path).option("rows", 3).load()
-    got = {(r["px"], r["py"]): r["value"] for r in df.collect()}
-    assert len(got) == 200 and got[4, 3] is None and got[5, 3] == 65.0
-    assert df.where("py >= 8").count() == 40
-    assert spark.read.format("gtiff").option("path", path).option("low", 8).load().count() == 40
-    assert gtiff.read_header(path).grid == g
-    assert gtiff.pixels_from_binary(spark, path).where("value is null").count() == 1
-    made = gtiff.write_band(df, g, "out", strip=4).collect()
-    assert len(made) == 3 and gtiff.parse(bytes(made[0]["content"])).grid.width == 20
-    turned = bytearray(gtiff.encode(image, g))
-    assert struct.unpack_from("<2sH", turned) == (b"II", 42)
-
-
 def test_shapefile(spark, tmp_path):
     from pixelframe.sources import shapes
 
