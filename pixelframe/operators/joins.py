@@ -97,6 +97,10 @@ def sensor_pairs(sensors: DataFrame, ground: DataFrame, reach: float, mu: float,
     return pairs.select("sensor", "cell", F.try_divide(F.exp(-mu * F.sqrt(r2)), r2).alias("value")).where(F.col("value") > tol)
 
 
+#: Most rows of a cell for each wanted neighbour before cells are halved, and most halvings.
+DENSE, HALVINGS = 64, 20
+
+
 def nearest(queries: DataFrame, reference: DataFrame, q_cols: list[str], r_cols: list[str], k: int, query_id: str, ref_id: str) -> DataFrame:
     """The k nearest reference rows (``distance``, ``rank``) of each query row by Euclidean distance, ties to the smaller id.
 
@@ -117,6 +121,12 @@ def nearest(queries: DataFrame, reference: DataFrame, q_cols: list[str], r_cols:
     sides = [float(b - a) for a, b in zip(span[1::2], span[2::2], strict=True)] if n else []
     width = max([s * (k / n) ** (1 / len(q_cols)) for s in sides], default=1.0) or 1.0
     far = max([max(float(b), float(d)) - min(float(a), float(c)) for a, b, c, d in zip(span[1::2], span[2::2], reach[::2], reach[1::2], strict=True)], default=0.0) if k else 0.0
+    # Clustered rows: cells are halved until the densest holds few rows, so queries beside it settle among few.
+    for _ in range(HALVINGS if k else 0):
+        densest = ref.groupBy(*[F.floor(F.col(c) / width).alias(f"__c{i}") for i, c in enumerate(r_cols)]).count().agg(F.max("count")).first()[0]
+        if densest <= DENSE * k:
+            break
+        width /= 2
     square = sum(((F.col(a).cast("double") - F.col(b)) * (F.col(a).cast("double") - F.col(b)) for a, b in zip(q_cols, r_cols, strict=True)), F.lit(0.0))
     best = Window.partitionBy(query_id).orderBy("distance", ref_id)
     done = []

@@ -1,10 +1,9 @@
-"""Models: closed forms from one aggregation, rules, neighbours, kriging, and MLlib where it fits."""
+"""Models: closed forms from one aggregation, rules, neighbours, and MLlib where it fits."""
 
 from __future__ import annotations
 
 import json
 import math
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +11,6 @@ from pyspark.sql import functions as F
 
 from pixelframe.operators import filters
 from pixelframe.operators.joins import nearest
-from pixelframe.plans.materialise import materialise
 
 
 def gram(df: DataFrame, cols: list[str], y: str) -> tuple[np.ndarray, np.ndarray, float, int]:
@@ -255,96 +253,6 @@ def variogram(points: DataFrame, x: str, y: str, z: str, lag: float, lags: int)
     return pairs.groupBy(F.floor(F.col("d") / lag).cast("long").alias("bin")).agg(F.count("*").alias("n"), F.avg("d").alias("distance"), (F.avg(diff) / 2).alias("gamma"))
 
 
-class Kriging:
-    """Ordinary kriging with a linear variogram from up to ``limit`` points (a documented bound); exact at data points."""
-
-    def __init__(self, points: DataFrame, x: str, y: str, z: str, slope: float = 1.0, nugget: float = 0.0, closest: int = 10, limit: int = 5000):
-        rows = points.select(x, y, z).na.drop().limit(limit + 1).collect()
-        if len(rows) > limit:
-            raise ValueError("too many points for kriging in a task")
-        data = np.array(rows, float)
-        self.xy, self.z, self.slope, self.nugget, self.closest = data[:, :2], data[:, 2], slope, nugget, min(closest, len(data))
-
-    def _gamma(self, d: np.ndarray) -> np.ndarray:
-        return np.where(d > 0, self.nugget + self.slope * d, 0.0)
-
-    def at(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out, var = np.zeros(len(q)), np.zeros(len(q))
-        for i, p in enumerate(q):
-            d = np.sqrt(((self.xy - p) ** 2).sum(axis=1))
-            near = np.argsort(d, kind="stable")[: self.closest]
-            xy, k = self.xy[near], len(near)
-            a = np.ones((k + 1, k + 1))
-            a[:k, :k] = self._gamma(np.sqrt(((xy[:, None] - xy) ** 2).sum(axis=2)))
-            a[k, k] = 0
-            b = np.append(self._gamma(d[near]), 1.0)
-            w = np.linalg.lstsq(a, b, rcond=None)[0]
-            out[i], var[i] = w[:k] @ self.z[near], w @ b
-        return out, var
-
-    def predict(self, df: DataFrame, x: str, y: str) -> DataFrame:
-        def run(frames):
-            for pdf in frames:
-                value, var = self.at(pdf[[x, y]].to_numpy(float))
-                yield pdf.assign(Prediction=value, Variance=var)
-
-        return df.mapInPandas(run, df.withColumns({"Prediction": F.lit(0.0), "Variance": F.lit(0.0)}).schema)
-
-
-def krige(points: DataFrame, queries: DataFrame, x: str, y: str, z: str, slope: float = 1.0, nugget: float = 0.0, closest: int = 10) -> DataFrame:
-    """Ordinary kriging with a linear variogram of any number of points: ``queries`` with Prediction and Variance.
-
-    Each place of the queries meets the points of its own and the eight cells around it; where
-    the ``closest`` points may lie further away, the cells double until they cannot.  Ties go
-    to the smaller (x, y, z).  Queries without a place get nulls.
-    """
-    raw = points.select(*[F.col(c).cast("double").alias(n) for c, n in ((x, "px"), (y, "py"), (z, "pz"))]).na.drop()
-    # Of one place no more than the first ``closest`` values can be among the closest.
-    first = F.row_number().over(Window.partitionBy("px", "py").orderBy("pz"))
-    pts = materialise(raw.withColumn("__n", first).where(F.col("__n") <= closest).drop("__n"), "points")
-    n, x0, x1, y0, y1 = pts.agg(F.count("*"), F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
-    if not n:
-        raise ValueError("kriging without a point")
-    width = max(math.sqrt((x1 - x0) * (y1 - y0) * closest / n), max(x1 - x0, y1 - y0) * closest / n) or 1.0
-    left = materialise(queries.select(F.col(x).cast("double").alias("qx"), F.col(y).cast("double").alias("qy")).na.drop().distinct(), "places")
-    done = []
-    while left.limit(1).count():
-        bx, by = (F.floor((F.col(c) - low) / width) for c, low in (("qx", x0), ("qy", y0)))
-        q = left.withColumns({"__x": bx, "__y": by})
-        inside = [F.col("qx") - (x0 + (F.col("__x") - 1) * width), x0 + (F.col("__x") + 2) * width - F.col("qx")]
-        inside += [F.col("qy") - (y0 + (F.col("__y") - 1) * width), y0 + (F.col("__y") + 2) * width - F.col("qy")]
-        whole = (F.col("__x") <= 1) & (F.col("__x") + 1 >= math.floor((x1 - x0) / width)) & (F.col("__y") <= 1) & (F.col("__y") + 1 >= math.floor((y1 - y0) / width))
-        around = F.array(*[F.struct((F.col("__x") + i).alias("bx"), (F.col("__y") + j).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        q = q.withColumns({"reach": F.least(*inside) * (1 - 1e-9), "whole": whole, "b": F.explode(around)}).select("qx", "qy", "reach", "whole", "b.bx", "b.by")
-        cells = pts.withColumns({"bx": F.floor((F.col("px") - x0) / width), "by": F.floor((F.col("py") - y0) / width)})
-        d = F.sqrt((F.col("px") - F.col("qx")) * (F.col("px") - F.col("qx")) + (F.col("py") - F.col("qy")) * (F.col("py") - F.col("qy")))
-        order = Window.partitionBy("qx", "qy").orderBy("d", "px", "py", "pz")
-        near = q.join(cells, ["bx", "by"]).withColumn("d", d).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= closest)
-        near = near.groupBy("qx", "qy").agg(F.sort_array(F.collect_list(F.struct("d", "px", "py", "pz"))).alias("near"), F.max("d").alias("far"), F.first("reach").alias("reach"), F.first("whole").alias("whole"))
-        near = materialise(near.where(F.col("whole") | ((F.size("near") == closest) & (F.col("far") < F.col("reach")))).select("qx", "qy", "near"), "near")
-        done.append(near)
-        left = materialise(left.join(near, ["qx", "qy"], "left_anti"), "places")
-        width *= 2
-
-    def solve(frames):
-        for pdf in frames:
-            value, var = np.zeros(len(pdf)), np.zeros(len(pdf))
-            for i, rows in enumerate(pdf["near"]):
-                own = np.array([(r["px"], r["py"], r["pz"]) for r in rows], float)
-                local = object.__new__(Kriging)
-                local.xy, local.z, local.slope, local.nugget, local.closest = own[:, :2], own[:, 2], slope, nugget, len(own)
-                (value[i],), (var[i],) = local.at(pdf[["qx", "qy"]].to_numpy(float)[i : i + 1])
-            yield pdf[["qx", "qy"]].assign(Prediction=value, Variance=var)
-
-    schema = "qx double, qy double, Prediction double, Variance double"
-    every = reduce(DataFrame.union, done) if done else None
-    if every is None:
-        return queries.withColumns({"Prediction": F.lit(None).cast("double"), "Variance": F.lit(None).cast("double")})
-    solved = every.mapInPandas(solve, schema)
-    on = (F.col(x).cast("double") == F.col("qx")) & (F.col(y).cast("double") == F.col("qy"))
-    return queries.join(solved, on, "left").drop("qx", "qy")
-
-
 def nearest_value(queries: DataFrame, points: DataFrame, q_cols: list[str], r_cols: list[str], value: str, query_id: str, point_id: str) -> DataFrame:
     """Nearest-point interpolation."""
     return nearest(queries, points, q_cols, r_cols, 1, query_id, point_id).select(query_id, F.col(value).alias("prediction"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pixelframe.functions import scalars as sc
 from pixelframe.grid import Grid
-from pixelframe.operators import cluster, filters, joins, metrics, models, raster, sampling, stats, transforms
+from pixelframe.operators import cluster, filters, joins, kriging, metrics, models, raster, sampling, stats, transforms
 from pixelframe.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -664,7 +664,7 @@ def md_krige(spark, sf_dir):
     """Ordinary kriging of supplier balances onto customer places."""
     s = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 37).cast("double").alias("x"), (F.col("s_suppkey") % 23).cast("double").alias("y"), "s_acctbal")
     c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 37).cast("double").alias("x"), (F.col("c_custkey") % 23).cast("double").alias("y"))
-    return models.krige(s, c, "x", "y", "s_acctbal")
+    return kriging.krige(s, c, "x", "y", "s_acctbal", kriging.Variogram("linear", (1.0, 0.0)))
 
 
 # Metrics -------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pixelframe.functions import scalars as sc
 from pixelframe.grid import Grid
-from pixelframe.operators import filters, joins, metrics, models, raster, sampling, tiles, transforms
+from pixelframe.operators import filters, joins, kriging, metrics, models, raster, sampling, tiles, transforms
 from pixelframe.plans.catalog import _CL, _V, COLS, KEY, LI, PX, _classes, _scored, covariates, pixels, query, r6, table
 from pixelframe.plans.materialise import shared_folder
 from pixelframe.sources import files, gtiff
@@ -191,6 +191,38 @@ def snk_raster_round_trip(spark, sf_dir):
     return out.withColumn("value", F.round("value", 2))
 
 
+_PLACES = "p AS (SELECT s_suppkey AS id, s_suppkey % 37 AS x, s_suppkey % 23 AS y, s_acctbal / 1000 AS z FROM supplier)"
+
+
+def _places(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    return s.select("s_suppkey", (F.col("s_suppkey") % 37).cast("double").alias("x"), (F.col("s_suppkey") % 23).cast("double").alias("y"), (F.col("s_acctbal") / 1000).alias("z"))
+
+
+@query(f"""WITH {_PLACES}, d AS (SELECT sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, (a.z - b.z) * (a.z - b.z) / 2 AS g FROM p a JOIN p b ON a.id < b.id),
+e AS (SELECT min(d) AS low, (max(d) - min(d)) / 6 AS step FROM d), k AS (SELECT k, low + k * step AS a, CASE WHEN k = 5 THEN 1e9 ELSE low + (k + 1) * step END AS b FROM e, range(6) t(k))
+SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS lag, round(avg(d), 5) AS distance, round(avg(g), 5) AS gamma, CAST(count(*) AS BIGINT) AS pairs FROM d JOIN k ON d >= a AND d < b GROUP BY k""")
+def md_variogram_lags(spark, sf_dir):
+    """Experimental variogram of supplier balances over all pairs (one by one up to 2000 suppliers, by cells beyond)."""
+    found = kriging.experimental(_places(spark, sf_dir), "x", "y", "z")
+    rows = [(i + 1, round(float(d), 5), round(float(g), 5), int(n)) for i, (d, g, n) in enumerate(zip(*found, strict=True))]
+    return spark.createDataFrame(rows, "lag int, distance double, gamma double, pairs long")
+
+
+@query()
+def md_krige_universal(spark, sf_dir):
+    """Universal kriging with a fitted spherical variogram and a plane onto customer places."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 37).cast("double").alias("x"), (F.col("c_custkey") % 23).cast("double").alias("y"))
+    return kriging.krige(_places(spark, sf_dir), c, "x", "y", "z", "spherical", drift=True)
+
+
+@query()
+def md_mlkrige(spark, sf_dir):
+    """A Bayesian line over account balances by place, and its kriged out-of-fold residuals, for all suppliers."""
+    s = _places(spark, sf_dir).withColumn("n", F.col("s_suppkey") % 7)
+    return kriging.ml_krige(s, s, lambda rows: models.bayes_linear(rows, ["n"], "z", iterations=3).predict, "x", "y", "z", ["s_suppkey"]).select("s_suppkey", "Prediction", "Variance", "Residual")
+
+
 _SENSOR = (1.0, 1.0, 2.0, 0.1)
 _FOOT = ", ".join(f"({i}, {j}, {w!r})" for (i, j), w in raster.footprint(3, *_SENSOR).items())
 

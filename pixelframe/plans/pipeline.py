@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelframe.grid import Grid
-from pixelframe.operators import filters, joins, metrics, models, sampling, transforms
+from pixelframe.operators import filters, joins, kriging, metrics, models, sampling, transforms
 
 
 @dataclass
@@ -74,6 +74,12 @@ def fit_model(df: DataFrame, cols: list[str], y: str, spec: dict):
     if name == "approxgp":
         add, model = models.approx_gp(df, cols, y, **options)
         return lambda frame: model.predict(add(frame))
+    if name == "krige":
+        return lambda frame: kriging.krige(df, frame, *cols, y, **options)
+    if name == "mlkrige":
+        base = options.pop("base", {"name": "randomforest"})
+        at = [options.pop("x"), options.pop("y")]
+        return lambda frame: kriging.ml_krige(df, frame, lambda rows: fit_model(rows, cols, y, base), *at, y, options.pop("key", at), **options)
     if name == "randomforest":
         return models.forest(df, cols, y, **options)[1]
     model = models.mllib(name, df, cols, y, **options)

@@ -187,35 +187,6 @@ def test_kmeans_labels_set_centres(spark):
     assert {r["a"]: r["class"] for r in got} == {1.0: 1, 1.2: 1, 10.0: 0, 10.2: 0}
 
 
-def test_kriging_is_exact_at_points(spark):
-    pts = frame(spark, [(0.3, 1.2, 0.47), (1.9, 0.6, 0.56), (1.1, 3.2, 0.74), (3.3, 4.4, 1.47), (4.7, 3.8, 1.74)], "x double, y double, z double")
-    got = {r["z"]: r["Prediction"] for r in models.Kriging(pts, "x", "y", "z").predict(pts, "x", "y").collect()}
-    assert all(math.isclose(a, b, abs_tol=1e-6) for a, b in got.items())
-
-
-def test_kriging_of_many_points_against_all_distances(spark, tmp_path):
-    rng = np.random.default_rng(8)
-    rows = [(int(k), float(v)) for k, v in enumerate(rng.uniform(-9, 9, 2000))]
-    frame(spark, rows, "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
-    frame(spark, [(k,) for k in range(0, 900, 7)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
-    want = models.Kriging(frame(spark, sorted((float(k % 37), float(k % 23), v) for k, v in rows), "x double, y double, z double").coalesce(1), "x", "y", "z")
-    for r in catalog.QUERIES["md_krige"](spark, str(tmp_path)).collect():
-        value, var = want.at(np.array([(r["x"], r["y"])]))
-        assert math.isclose(r["Prediction"], value[0], abs_tol=1e-6) and math.isclose(r["Variance"], var[0], abs_tol=1e-6)
-
-
-def test_kriging_far_from_the_points_and_without_a_place(spark):
-    rng = np.random.default_rng(9)
-    pts = [tuple(map(float, p)) for p in sorted(map(tuple, np.vstack([rng.normal(0, 1, (150, 3)), rng.normal(40, 0.1, (150, 3))])))]
-    df = frame(spark, pts, "x double, y double, z double").coalesce(1)
-    places = [(-500.0, 7.0), (20.0, 20.0), (0.0, 0.0), (40.0, 40.1), (39.0, 2.0)]
-    got = models.krige(df, frame(spark, [*places, (None, 1.0)], "x double, y double"), "x", "y", "z").collect()
-    value, _ = models.Kriging(df, "x", "y", "z").at(np.array(places))
-    found = {(r["x"], r["y"]): r["Prediction"] for r in got}
-    assert found.pop((None, 1.0)) is None and len(got) == 6
-    assert all(math.isclose(found[p], v, abs_tol=1e-6) for p, v in zip(places, value, strict=True))
-
-
 def test_linear_models(spark):
     rng = np.random.default_rng(3)
     x = rng.uniform(-2, 2, 200)
