@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pixelframe.functions import scalars as sc
 from pixelframe.grid import Grid
-from pixelframe.operators import filters, joins, kriging, metrics, models, raster, sampling, tiles, transforms
+from pixelframe.operators import filters, joins, kriging, metrics, models, raster, rules, sampling, tiles, transforms
 from pixelframe.plans.catalog import _CL, _V, COLS, KEY, LI, PX, _classes, _scored, covariates, pixels, query, r6, table
 from pixelframe.plans.materialise import shared_folder
 from pixelframe.sources import files, gtiff
@@ -223,6 +223,36 @@ def md_mlkrige(spark, sf_dir):
     return kriging.ml_krige(s, s, lambda rows: models.bayes_linear(rows, ["n"], "z", iterations=3).predict, "x", "y", "z", ["s_suppkey"]).select("s_suppkey", "Prediction", "Variance", "Residual")
 
 
+_LINES = ["l_quantity", "l_discount", "l_tax"]
+_FIXED = rules.Committee(_LINES, [
+    [([("l_quantity", "<=", 25.0)], 1.0, {"l_quantity": 2.0}), ([("l_quantity", ">", 25.0), ("l_tax", "<=", 0.04)], 3.0, {}), ([("l_quantity", ">", 25.0), ("l_tax", ">", 0.04)], 0.0, {"l_tax": 1.0, "l_discount": 2.0})],
+    [([], 5.0, {"l_discount": -1.0})],
+])
+
+
+@query("""WITH c AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (l_quantity <= 25) AS a, count(*) FILTER (l_quantity > 25 AND l_tax > 0.04) AS b FROM lineitem)
+SELECT 'l_quantity' AS feature, round(100 * n / (2 * n), 6) AS conditions, round(100 * a / (2 * n), 6) AS models FROM c
+UNION ALL SELECT 'l_discount', 0, round(100 * (b + n) / (2 * n), 6) FROM c UNION ALL SELECT 'l_tax', round(100 * (n - a) / (2 * n), 6), round(100 * b / (2 * n), 6) FROM c""")
+def md_rule_usage(spark, sf_dir):
+    """How many order lines fall to rules that name a feature."""
+    return r6(rules.usage(table(spark, sf_dir, "lineitem"), _FIXED))
+
+
+@query(f"""WITH p AS (SELECT {_ID}, CASE WHEN l_quantity <= 25 THEN 1 + 2 * l_quantity WHEN l_tax <= 0.04 THEN 3 ELSE l_tax + 2 * l_discount END AS a, 5 - l_discount AS b FROM lineitem)
+SELECT {_ID}, round((a + b) / 2, 6) AS p, round((a - b) * (a - b) / 4, 6) AS v FROM p""")
+def md_committee(spark, sf_dir):
+    """Mean and variance over the members of a committee of rules."""
+    out = _FIXED.predict(table(spark, sf_dir, "lineitem"))
+    return r6(out.select(*KEY, F.col("Prediction").alias("p"), F.col("Variance").alias("v")))
+
+
+@query()
+def md_cubist(spark, sf_dir):
+    """A committee of two members learned from all order lines."""
+    li = table(spark, sf_dir, "lineitem")
+    return rules.fit(li, _LINES, "l_extendedprice", members=2, depth=3, key=KEY).predict(li).select(*KEY, "Prediction", "Variance")
+
+
 _SENSOR = (1.0, 1.0, 2.0, 0.1)
 _FOOT = ", ".join(f"({i}, {j}, {w!r})" for (i, j), w in raster.footprint(3, *_SENSOR).items())
 
