@@ -13,6 +13,10 @@ from pixelframe.operators import filters
 from pixelframe.operators.joins import nearest
 
 
+#: Most terms of a linear model whose quadratic form is spelled out as one sum.
+SPELLED = 12
+
+
 def gram(df: DataFrame, cols: list[str], y: str) -> tuple[np.ndarray, np.ndarray, float, int]:
     """(X'X, X'y, y'y, n) with an intercept column first; complete rows, one pass, d x d numbers on the driver."""
     x = [F.lit(1.0), *[F.col(c).cast("double") for c in cols]]
@@ -41,7 +45,14 @@ class Linear:
     def quadratic(self) -> Column:
         """x' C x of the posterior covariance."""
         x = [F.lit(1.0), *[F.col(c).cast("double") for c in self.cols]]
-        return sum((x[i] * x[j] * float(self.cov[i, j]) for i in range(len(x)) for j in range(len(x))), F.lit(0.0))
+        if len(x) <= SPELLED:
+            return sum((x[i] * x[j] * float(self.cov[i, j]) for i in range(len(x)) for j in range(len(x))), F.lit(0.0))
+        # A sum of so many terms is no expression any more: rows of C meet the array of x.
+        whole = F.array(*x)
+        add = lambda a, v: a + v
+        rows = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in self.cov])
+        dot = lambda row, v: v * F.aggregate(F.zip_with(row, whole, lambda c, w: c * w), F.lit(0.0), add)
+        return F.aggregate(F.zip_with(rows, whole, dot), F.lit(0.0), add)
 
     def predict(self, df: DataFrame, interval: float = 0.95) -> DataFrame:
         out = df.withColumn("Prediction", self.mean())

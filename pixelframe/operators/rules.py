@@ -19,9 +19,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelframe.functions.scalars import normal_interval
 from pixelframe.operators import filters
 from pixelframe.operators.joins import nearest
-from pixelframe.operators.models import ensemble
 from pixelframe.operators.models import rules as rule_sum
 from pixelframe.plans.materialise import materialise
 
@@ -197,7 +197,15 @@ class Committee:
         whole = F.lit(True)
         for c in self.cols:
             whole = whole & F.col(c).isNotNull()
-        return df.withColumns({name: F.when(whole, v) for name, v in ensemble(self.values(), interval).items()})
+        # Members are worked out once; mean and variance are taken from their array.
+        of = F.when(whole, F.array(*self.values()))
+        k = len(self.members)
+        out = df.withColumn("__members", of)
+        out = out.withColumn("Prediction", F.aggregate("__members", F.lit(0.0), lambda a, m: a + m) / k)
+        apart = F.aggregate("__members", F.lit(0.0), lambda a, m: a + (m - F.col("Prediction")) * (m - F.col("Prediction"))) / k
+        out = out.withColumn("Variance", apart)
+        low, high = normal_interval(F.col("Prediction"), F.col("Variance"), interval)
+        return out.withColumns({"Lower quantile": low, "Upper quantile": high}).drop("__members")
 
     def state(self) -> dict:
         return {"cols": self.cols, "members": self.members, "limits": self.limits}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pixelframe.functions import scalars as sc
 from pixelframe.grid import Grid
-from pixelframe.operators import filters, joins, kriging, metrics, models, raster, rules, sampling, tiles, transforms
+from pixelframe.operators import filters, joins, kriging, learners, metrics, models, raster, rules, sampling, tiles, transforms
 from pixelframe.plans.catalog import _CL, _V, COLS, KEY, LI, PX, _classes, _scored, covariates, pixels, query, r6, table
 from pixelframe.plans.materialise import shared_folder
 from pixelframe.sources import files, gtiff
@@ -253,6 +253,21 @@ def md_cubist(spark, sf_dir):
     return rules.fit(li, _LINES, "l_extendedprice", members=2, depth=3, key=KEY).predict(li).select(*KEY, "Prediction", "Variance")
 
 
+@query()
+def md_svr(spark, sf_dir):
+    """Support vector regression of order lines over random features."""
+    li = table(spark, sf_dir, "lineitem").withColumn("y", F.col("l_extendedprice") / 10_000)
+    return learners.svr(li, _LINES, "y", n_features=15, iterations=4).predict(li).select(*KEY, "Prediction")
+
+
+@query(f"WITH r AS (SELECT regr_slope(l_extendedprice / 1000, l_quantity) AS b, regr_intercept(l_extendedprice / 1000, l_quantity) AS a FROM lineitem) SELECT round(b, 1) AS slope, round(a / 5, 0) AS intercept FROM r")
+def md_sgd_bayes(spark, sf_dir):
+    """Stochastic variational line over order lines; its mean is the least-squares line's, to the digits shown."""
+    li = table(spark, sf_dir, "lineitem").withColumn("y", F.col("l_extendedprice") / 1000)
+    model = learners.sgd_bayes(li, ["l_quantity"], "y", prior=100.0)
+    return spark.createDataFrame([(round(float(model.coef[1]), 1), round(float(model.coef[0]) / 5, 0))], "slope double, intercept double")
+
+
 _SENSOR = (1.0, 1.0, 2.0, 0.1)
 _FOOT = ", ".join(f"({i}, {j}, {w!r})" for (i, j), w in raster.footprint(3, *_SENSOR).items())
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelframe.grid import Grid
-from pixelframe.operators import filters, joins, kriging, metrics, models, rules, sampling, transforms
+from pixelframe.operators import filters, joins, kriging, learners, metrics, models, rules, sampling, transforms
 
 
 @dataclass
@@ -80,6 +80,13 @@ def fit_model(df: DataFrame, cols: list[str], y: str, spec: dict):
         base = options.pop("base", {"name": "randomforest"})
         at = [options.pop("x"), options.pop("y")]
         return lambda frame: kriging.ml_krige(df, frame, lambda rows: fit_model(rows, cols, y, base), *at, y, options.pop("key", at), **options)
+    if name == "svr":
+        return learners.svr(df, cols, y, **options).predict
+    if name == "sgdbayesreg":
+        return learners.sgd_bayes(df, cols, y, **options).predict
+    if name == "sgdapproxgp":
+        add, model = learners.sgd_approx_gp(df, cols, y, **options)
+        return lambda frame: model.predict(add(frame))
     if name in ("cubist", "multicubist"):
         return (rules.fit if name == "cubist" else rules.fit_many)(df, cols, y, **options).predict
     if name == "randomforest":
