@@ -4,37 +4,29 @@ from __future__ import annotations
 
 import math
 from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelframe.operators.sampling import running_total
 
-#: Groups whose means are broadcast.
-BROADCAST_GROUPS = 50_000
-
-
 def regression(df: DataFrame, y: str, p: str, weight: Column | None = None, var: Column | None = None, by: list[str] | None = None, extra: list[Column] | None = None) -> DataFrame:
     """r2, expvar, mse (weighted), smse, lins_ccc, mae, rmse, max_error, mll when a variance is given, and ``extra`` aggregates.
 
-    Complete rows only; sums of squares come from moments, so one pass is enough.
+    Complete rows only; sums of squares come from moments, so one pass is enough (two with weights).
     """
     by = by or []
     w = (weight if weight is not None else F.lit(1.0)).cast("double")
     cols = df.withColumns({"__y": F.col(y).cast("double"), "__p": F.col(p).cast("double"), "__w": w}).na.drop(subset=["__y", "__p"])
-    # Centre on a mean close to the data first: moments of shifted values keep their digits.
-    if by:  # a mean for each group, joined back: rows of a group never meet
-        means = cols.groupBy(*[F.col(b).alias(f"__by{i}") for i, b in enumerate(by)]).agg(F.avg("__y").alias("__m"))
-        same = [F.col(b).eqNullSafe(F.col(f"__by{i}")) for i, b in enumerate(by)]
-        cols = cols.join(F.broadcast(means) if means.count() <= BROADCAST_GROUPS else means, reduce(and_, same)).drop(*[f"__by{i}" for i in range(len(by))])
-    else:
-        cols = cols.withColumn("__m", F.lit(cols.agg(F.avg("__y")).first()[0] or 0.0))
-    e, z, q = F.col("__y") - F.col("__p"), F.col("__y") - F.col("__m"), F.col("__p") - F.col("__m")
+    e, z, q = F.col("__y") - F.col("__p"), F.col("__y"), F.col("__p")
     sw = F.sum("__w")
     se, see = F.sum(F.col("__w") * e), F.sum(F.col("__w") * e * e)
-    sz, szz = F.sum(F.col("__w") * z), F.sum(F.col("__w") * z * z)
-    total = szz - sz * sz / sw
+    if weight is None:  # variances are kept by their own updates, whatever the mean
+        total = F.count("*") * F.var_pop("__y")
+    else:  # moments of shifted values keep their digits; one mean close to the data does for all groups
+        shifted = z - F.lit(cols.agg(F.avg("__y")).first()[0] or 0.0)
+        sz, szz = F.sum(F.col("__w") * shifted), F.sum(F.col("__w") * shifted * shifted)
+        total = szz - sz * sz / sw
     aggs = [
         (1 - F.try_divide(see, total)).alias("r2"),
         (1 - F.try_divide(see - se * se / sw, total)).alias("expvar"),

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from pixelframe.plans.materialise import materialise
 
@@ -13,22 +16,14 @@ def chunks(df: DataFrame, order: list[str], k: int) -> DataFrame:
 
     Rows are numbered within range partitions whose sizes are added up, so no task sees all rows.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    ranged = materialise(ranged, "ranges")  # ranges are sampled: they must be the same in both passes
-    local = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    sizes = {r["__p"]: r["count"] for r in ranged.groupBy("__p").count().collect()}
-    start, total = {}, 0
-    for p in sorted(sizes):
-        start[p], total = total, total + sizes[p]
+    numbered = running_total(df.withColumn("__one", F.lit(1).cast("long")), order, "__one", "__i").drop("__one")
+    total = numbered.agg(F.max("__i")).first()[0]
     if not total:
         return df.withColumn("chunk", F.lit(0).cast("long"))
-    offset = F.element_at(F.map_from_arrays(F.array(*[F.lit(p) for p in start]), F.array(*[F.lit(v) for v in start.values()])), F.col("__p"))
-    i = offset + F.col("__r") - 1
+    i = F.col("__i") - 1
     q, r = divmod(total, k)
     chunk = F.when(i < r * (q + 1), F.floor(i / (q + 1))).otherwise(r + F.floor((i - r * (q + 1)) / max(q, 1)))
-    return local.withColumn("chunk", chunk.cast("long")).drop("__p", "__r")
+    return numbered.withColumn("chunk", chunk.cast("long")).drop("__i")
 
 
 def linear_edges(df: DataFrame, col: str, bins: int) -> list[float]:
@@ -61,38 +56,66 @@ def resample_values(df: DataFrame, col: str, bins: int, total: int, key: list[st
 
 
 def resample_groups(df: DataFrame, group: str, quota: int, key: list[str], undersample: bool, bootstrap: bool, seed: int) -> DataFrame:
-    """Rows of each group in hash order, repeated in turns up to the quota.
+    """Groups brought to ``quota`` rows each.
 
-    A group's rows are numbered by (group, salt) first and a group keeps only what can be chosen.
+    With ``bootstrap`` a group below the quota (``undersample``: every group) is drawn from with replacement; without it groups above
+    the quota are cut to their first rows in hash order if ``undersample``.  Other groups stay as they are.
     """
     n = df.groupBy(group).agg(F.count("*").alias("__n"))
-    # A bin is sampled at a rate first, so that a group of any size is cut before it is ordered.
-    h = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1_000_000_007))
-    rows = df.join(n, group).withColumn("__h", h)
-    if undersample:
-        w = Window.partitionBy(group).orderBy("__h", *key)
-        rows = rows.where((F.col("__n") <= quota) | (F.col("__h") <= F.lit(1_000_000_007.0) * F.least(F.lit(1.0), F.lit(2.0 * quota + 100) / F.col("__n"))))
-        rows = rows.withColumn("__r", F.row_number().over(w)).where((F.col("__r") <= quota) | (F.col("__n") <= quota)).drop("__r")
+    rows = df.join(n, group)
+    few = F.col("__n") < quota
     if bootstrap:
-        w = Window.partitionBy(group).orderBy("__h", *key)
-        few = rows.where(F.col("__n") < quota).withColumn("__r", F.row_number().over(w))
-        times = F.lit(quota).cast("long") / F.col("__n")
-        count = F.floor(times) + (F.col("__r") <= quota % F.col("__n")).cast("long")
-        few = few.withColumn("__c", F.explode(F.sequence(F.lit(1).cast("long"), count))).drop("__c", "__r")
-        rows = rows.where(F.col("__n") >= quota).unionByName(few)
-    return rows.drop("__n", "__h")
+        chosen = rows if undersample else rows.where(few)
+        drawn = bootstrap_draws(chosen.drop("__n"), group, key, quota, seed).drop("draw").select(df.columns)
+        return drawn if undersample else rows.where(~few).select(df.columns).unionByName(drawn)
+    if not undersample:
+        return df
+    # A group is sampled at a rate first, so that it is cut before it is ordered; its rows are numbered by ranges.
+    h = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1_000_000_007))
+    many = rows.where(~few).withColumn("__h", h).where(F.col("__h") <= F.lit(1_000_000_007.0) * F.least(F.lit(1.0), F.lit(2.0 * quota + 100) / F.col("__n")))
+    many = running_total(many.withColumn("__one", F.lit(1).cast("long")), [group, "__h", *key], "__one", "__r")
+    first = many.groupBy(group).agg(F.min("__r").alias("__f"))
+    kept = many.join(first, group).where(F.col("__r") - F.col("__f") < quota)
+    return rows.where(few).select(df.columns).unionByName(kept.select(df.columns))
+
+
+def resample_spatially(df: DataFrame, x: str, y: str, rows: int, cols: int, key: list[str], total: int | None = None, undersample: bool = False, bootstrap: bool = True, seed: int = 1) -> DataFrame:
+    """``resample_groups`` by the cells of a ``rows`` by ``cols`` grid over the bounding box; ``total`` rows (those of ``df`` if None) over all cells.
+
+    Points on edges lie in no cell and go, as do cells without a point.
+    """
+    from pixelframe.operators.joins import within_cells
+
+    x0, y0, x1, y1, n = df.agg(F.min(x), F.min(y), F.max(x), F.max(y), F.count("*")).first()
+    if not n:
+        return df
+    cells = within_cells(df, x, y, (x0, y0, x1, y1), cols, rows).where("cell IS NOT NULL")
+    return resample_groups(cells, "cell", (n if total is None else total) // (rows * cols), key, undersample, bootstrap, seed).drop("cell")
 
 
 def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
-    """``df`` with the sum of ``value`` over all rows up to each in ``order`` (which tells rows apart).
+    """``df`` with the sum of ``value`` over all rows up to each in ``order`` (rows that it does not tell apart come in any order).
 
-    Rows are dealt by ranges of the order, and only the sums of the ranges meet.
+    Rows are dealt by ranges of the order and summed up where they lie; only the sums of the ranges meet.
     """
-    parts = materialise(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")
+    whole = df.schema[value].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    kind = "long" if whole else "double"
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__running_value", F.col(value).cast(kind))
+
+    def run(batches):
+        so_far = 0
+        for b in batches:
+            v = b.column(b.num_columns - 1).fill_null(0).to_numpy(zero_copy_only=False)
+            sums = so_far + np.cumsum(v)
+            so_far = sums[-1] if len(sums) else so_far
+            yield b.set_column(b.num_columns - 1, name, pa.array(sums))
+
+    schema = StructType([*df.schema.fields, StructField(name, LongType() if whole else DoubleType())])
+    parts = materialise(sorted_.mapInArrow(run, schema).withColumn("__p", F.spark_partition_id()), "ranges")
+    # One row for each range.
     before = parts.groupBy("__p").agg(F.sum(value).alias("__s"))
-    before = before.withColumn("__s", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.sum(value).over(Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return parts.withColumn(name, inside).join(F.broadcast(before), "__p").withColumn(name, F.col(name) + F.col("__s")).drop("__p", "__s")
+    before = before.withColumn("__s", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast(kind))
+    return parts.join(F.broadcast(before), "__p").withColumn(name, F.col(name) + F.col("__s")).drop("__p", "__s")
 
 
 def group_codes(df: DataFrame, col: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pixelframe.functions import scalars as sc
 from pixelframe.grid import Grid
-from pixelframe.operators import filters, joins, kriging, learners, metrics, models, raster, rules, sampling, tiles, transforms
+from pixelframe.operators import filters, joins, kriging, learners, metrics, models, raster, rules, sampling, stats, tiles, transforms
 from pixelframe.plans.catalog import _CL, _V, COLS, KEY, LI, PX, _classes, _scored, covariates, pixels, query, r6, table
 from pixelframe.plans.materialise import shared_folder
 from pixelframe.sources import files, gtiff
@@ -25,7 +25,7 @@ def flt_apply_complete(spark, sf_dir):
 
 @query(f"WITH {LI} SELECT round(avg(q * q), 6) AS q, round(avg(d * d), 6) AS d, round(avg(t * t), 6) AS t FROM li")
 def agg_power(spark, sf_dir):
-    return r6(covariates(spark, sf_dir).agg(*[F.avg(F.pow(F.col(c).cast("double"), F.lit(2.0))).alias(c) for c in COLS]))
+    return r6(covariates(spark, sf_dir).agg(*[F.avg(stats.power(F.col(c), 2)).alias(c) for c in COLS]))
 
 
 @query("SELECT p_brand, count(DISTINCT p_size) AS n FROM part GROUP BY 1")
@@ -260,10 +260,10 @@ def md_svr(spark, sf_dir):
     return learners.svr(li, _LINES, "y", n_features=15, iterations=4).predict(li).select(*KEY, "Prediction")
 
 
-@query(f"WITH r AS (SELECT regr_slope(l_extendedprice / 1000, l_quantity) AS b, regr_intercept(l_extendedprice / 1000, l_quantity) AS a FROM lineitem) SELECT round(b, 1) AS slope, round(a / 5, 0) AS intercept FROM r")
+@query("WITH r AS (SELECT regr_slope(2 * l_quantity + l_extendedprice / 10000, l_quantity) AS b, regr_intercept(2 * l_quantity + l_extendedprice / 10000, l_quantity) AS a FROM lineitem) SELECT round(b, 1) AS slope, round(a / 5, 0) AS intercept FROM r")
 def md_sgd_bayes(spark, sf_dir):
     """Stochastic variational line over order lines; its mean is the least-squares line's, to the digits shown."""
-    li = table(spark, sf_dir, "lineitem").withColumn("y", F.col("l_extendedprice") / 1000)
+    li = table(spark, sf_dir, "lineitem").withColumn("y", 2 * F.col("l_quantity") + F.col("l_extendedprice") / 10_000)
     model = learners.sgd_bayes(li, ["l_quantity"], "y", prior=100.0)
     return spark.createDataFrame([(round(float(model.coef[1]), 1), round(float(model.coef[0]) / 5, 0))], "slope double, intercept double")
 
@@ -316,11 +316,8 @@ _PQ = f"WITH {LI}, o AS (SELECT {{leave}} AS leave, 1 - sum((y - p) * (y - p)) /
 def mt_leave_one_out(spark, sf_dir):
     """r2 of a linear model without each covariate in turn."""
     df = filters.complete(covariates(spark, sf_dir), ["q", "d"])
-    out = None
-    for leave, x in (("q", "d"), ("d", "q")):
-        scores = metrics.regression(models.ols(df, [x], "y").predict(df), "y", "Prediction").select(F.lit(leave).alias("leave"), "r2")
-        out = scores if out is None else out.union(scores)
-    return r6(out)
+    found = metrics.leave_one_out(lambda left: metrics.regression(models.ols(df, left, "y").predict(df), "y", "Prediction"), ["q", "d"])
+    return r6(spark.createDataFrame(list(found.items()), "leave string, r2 double"))
 
 
 @query(f"""WITH g AS (SELECT count(*) / 4.0 + 0.5 AS a, sum(l_quantity) / 4.0 AS b, sum(l_quantity * l_quantity) / 4.0 + 0.5 AS d, sum(l_extendedprice / 1000) / 4.0 AS u, sum(l_quantity * l_extendedprice / 1000) / 4.0 AS v FROM lineitem),

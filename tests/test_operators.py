@@ -147,6 +147,47 @@ def test_resample_groups(spark):
     assert counts(sampling.resample_groups(df, "g", 40, ["id"], False, False, 1)) == {0: 100, 1: 10}
 
 
+def test_draws_row_by_row(spark):
+    """Every draw is the row whose number in key order the hash names; groups that stay keep their rows."""
+    df = spark.range(57).select("id", (F.col("id") * 7 % 3).alias("g"), F.lit("x").alias("draw_"))
+    big = df.unionByName(spark.range(100, 300).select("id", F.lit(9).cast("long").alias("g"), F.lit("x").alias("draw_")))
+    sizes = {0: 19, 1: 19, 2: 19, 9: 200}
+    hashes = {(r["g"], r["d"]): r["h"] for r in spark.range(40).select(F.explode(F.array(*[F.lit(g).cast("long") for g in sizes])).alias("g"), F.col("id").cast("int").alias("d")).select("g", "d", F.xxhash64("g", "d", F.lit(3)).alias("h")).collect()}
+    members = {g: sorted(r["id"] for r in big.where(F.col("g") == g).collect()) for g in sizes}
+    want = sorted((g, members[g][hashes[g, d] % sizes[g]]) for g in (0, 1, 2) for d in range(40))
+    got = sampling.resample_groups(big, "g", 40, ["id"], False, True, 3)
+    assert got.columns == big.columns
+    assert sorted((r["g"], r["id"]) for r in got.where("g < 9").collect()) == want and sorted(r["id"] for r in got.where("g = 9").collect()) == members[9]
+    all_drawn = sampling.resample_groups(big, "g", 40, ["id"], True, True, 3)
+    assert sorted((r["g"], r["id"]) for r in all_drawn.collect()) == sorted((g, members[g][hashes[g, d] % sizes[g]]) for g in sizes for d in range(40))
+    cut = sampling.resample_groups(big, "g", 40, ["id"], True, False, 3)
+    order = [r["id"] for r in big.where("g = 9").orderBy(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000_007)), "id").limit(40).collect()]
+    assert sorted(r["id"] for r in cut.where("g = 9").collect()) == sorted(order) and cut.where("g < 9").count() == 57
+
+
+def test_resample_in_space(spark):
+    rows = [(i, 0.5 + (i % 2), 0.5) for i in range(30)] + [(100, 0.5, 1.5), (101, 0.0, 0.0), (102, 2.0, 2.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    got = sampling.resample_spatially(df, "x", "y", 2, 2, ["id"], total=48)
+    counts = {(r[0], r[1]): r[2] for r in got.groupBy(F.floor("x"), F.floor("y")).count().collect()}
+    assert counts == {(0, 0): 15, (1, 0): 15, (0, 1): 12} and got.columns == df.columns  # corner points are on edges
+    assert sampling.resample_spatially(df, "x", "y", 2, 2, ["id"], total=16, undersample=True).groupBy(F.floor("x"), F.floor("y")).count().where("count <> 4").count() == 0
+    assert sampling.resample_spatially(df.where("id < 0"), "x", "y", 2, 2, ["id"]).count() == 0
+
+
+def test_running_total_by_batches(spark):
+    df = spark.range(5000).select((F.col("id") * 37 % 5000).alias("i"), F.when(F.col("id") % 5 > 0, F.col("id") % 11).cast("int").alias("n"), F.struct("id").alias("s"), (F.col("id") / 4).alias("v"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 300)
+    try:
+        rows = sampling.running_total(df, ["i"], "n", "sum").orderBy("i").collect()
+        assert [r["sum"] for r in rows] == np.cumsum([r["n"] or 0 for r in rows]).tolist() and rows[3]["s"]["id"] is not None
+        rows = sampling.running_total(df, ["i"], "v", "sum").orderBy("i").collect()
+        assert np.allclose([r["sum"] for r in rows], np.cumsum([r["v"] for r in rows]))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sampling.running_total(df.where("i < 0"), ["i"], "n", "sum").count() == 0
+
+
 def test_folds(spark):
     df = spark.range(103).select("id", (F.col("id") % 9).alias("g"))
     sizes = sorted(r["count"] for r in sampling.k_folds(df, ["id"], 5).groupBy("fold").count().collect())
