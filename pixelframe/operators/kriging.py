@@ -213,23 +213,34 @@ def krige(points: DataFrame, queries: DataFrame, x: str, y: str, z: str, variogr
     return queries.join(solved, on, "left").drop("qx", "qy")
 
 
-def ml_krige(train: DataFrame, queries: DataFrame, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], x: str, y: str, target: str, key: list[str], folds: int = 5, interval: float = 0.95, seed: int = 1, **options) -> DataFrame:
-    """Regression kriging: a model's prediction plus the kriged residual of the place.
-
-    ``fit(rows)`` gives a function that adds Prediction (and Variance).  Residuals are out of fold, as a flexible model has
-    none on rows that it has seen.  Variances add up where the model has one; ``options`` as of ``krige``.
-    """
+def residuals(train: DataFrame, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], x: str, y: str, target: str, key: list[str], folds: int = 5, seed: int = 1) -> DataFrame:
+    """(x, y, residual) of every row by a model that has not seen its fold."""
     folded = materialise(k_folds(train, key, folds, seed), "folds")
     held = None
     for k in range(folds):
         part = fit(folded.where(F.col("fold") != k))(folded.where(F.col("fold") == k))
-        part = part.select(x, y, (F.col(target).cast("double") - F.col("Prediction")).alias("__residual"))
+        part = part.select(F.col(x).alias("x"), F.col(y).alias("y"), (F.col(target).cast("double") - F.col("Prediction")).alias("residual"))
         held = part if held is None else held.unionByName(part)
-    out = fit(train)(queries)
-    own = "Variance" in out.columns
-    out = out.withColumnRenamed("Prediction", "__prediction").drop("Lower quantile", "Upper quantile")
+    return materialise(held, "residuals")
+
+
+def with_residuals(predicted: DataFrame, held: DataFrame, x: str, y: str, interval: float = 0.95, **options) -> DataFrame:
+    """Predictions (and variances) with the kriged residual of their place added; ``options`` as of ``krige``."""
+    own = "Variance" in predicted.columns
+    out = predicted.withColumnRenamed("Prediction", "__prediction").drop("Lower quantile", "Upper quantile")
     out = out.withColumnRenamed("Variance", "__variance") if own else out
-    out = krige(held, out, x, y, "__residual", **options)
+    places = held.select(F.col("x").alias(x), F.col("y").alias(y), F.col("residual").alias("__residual"))
+    out = krige(places, out, x, y, "__residual", **options)
     out = out.withColumns({"Residual": F.col("Prediction"), "Prediction": F.col("__prediction") + F.col("Prediction"), "Variance": (F.col("__variance") if own else F.lit(0.0)) + F.col("Variance")})
     low, high = normal_interval(F.col("Prediction"), F.greatest("Variance", F.lit(0.0)), interval)
     return out.withColumns({"Lower quantile": low, "Upper quantile": high}).drop("__prediction", "__variance")
+
+
+def ml_krige(train: DataFrame, queries: DataFrame, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], x: str, y: str, target: str, key: list[str], folds: int = 5, interval: float = 0.95, seed: int = 1, **options) -> DataFrame:
+    """Regression kriging: a model's prediction plus the kriged residual of the place.
+
+    ``fit(rows)`` gives a function that adds Prediction (and Variance).  Residuals are out of fold, as a flexible model has
+    none on rows that it has seen.  Variances add up where the model has one.
+    """
+    held = residuals(train, fit, x, y, target, key, folds, seed)
+    return with_residuals(fit(train)(queries), held, x, y, interval, **options)

@@ -64,15 +64,20 @@ class Linear:
             out = out.withColumns({"Lower quantile": low, "Upper quantile": high, "Expected reduction in entropy": self.entropy_reduction()})
         return out
 
+    def to_state(self) -> dict:
+        return {"cols": self.cols, "coef": np.asarray(self.coef).tolist(), "cov": None if self.cov is None else np.asarray(self.cov).tolist(), "noise": self.noise}
+
+    @classmethod
+    def of_state(cls, state: dict) -> Linear:
+        return cls(state["cols"], np.array(state["coef"]), None if state["cov"] is None else np.array(state["cov"]), state["noise"])
+
     def save(self, df: DataFrame, path: str) -> None:
         """Write the model as one JSON line through Spark (``df`` gives the session)."""
-        state = {"cols": self.cols, "coef": self.coef.tolist(), "cov": None if self.cov is None else self.cov.tolist(), "noise": self.noise}
-        df.sparkSession.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        df.sparkSession.createDataFrame([(json.dumps(self.to_state()),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
     @classmethod
     def load(cls, df: DataFrame, path: str) -> Linear:
-        state = json.loads(df.sparkSession.read.text(path).first()["value"])
-        return cls(state["cols"], np.array(state["coef"]), None if state["cov"] is None else np.array(state["cov"]), state["noise"])
+        return cls.of_state(json.loads(df.sparkSession.read.text(path).first()["value"]))
 
     def entropy_reduction(self) -> Column:
         return F.lit(0.5) * (F.ln(F.lit(self.noise) + self.quadratic()) - F.lit(math.log(self.noise)))
@@ -212,20 +217,30 @@ def forest(df: DataFrame, cols: list[str], y: str, trees: int = 20, depth: int =
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
-    assemble = VectorAssembler(inputCols=cols, outputCol="__x")
-    model = RandomForestRegressor(featuresCol="__x", labelCol=y, numTrees=trees, maxDepth=depth, seed=seed).fit(assemble.transform(df.na.drop(subset=[*cols, y])))
+    rows = df.na.drop(subset=[*cols, y]).withColumn("__y", F.col(y).cast("double"))
+    model = RandomForestRegressor(featuresCol="__x", labelCol="__y", numTrees=trees, maxDepth=depth, seed=seed).fit(VectorAssembler(inputCols=cols, outputCol="__x").transform(rows))
+    return model, lambda frame: predict_forest([model], cols, frame)
 
-    def predict(frame: DataFrame) -> DataFrame:
-        frame = assemble.transform(frame)
-        for i, tree in enumerate(model.trees):
-            frame = tree.setFeaturesCol("__x").setPredictionCol(f"__t{i}").transform(frame)
-        t = F.array(*[F.col(f"__t{i}") for i in range(trees)])
-        mean = F.aggregate(t, F.lit(0.0), lambda a, b: a + b) / trees
-        out = frame.withColumn("Prediction", mean)
-        var = F.aggregate(t, F.lit(0.0), lambda a, b: a + (b - F.col("Prediction")) * (b - F.col("Prediction"))) / trees
-        return out.withColumn("Variance", var).drop("__x", *[f"__t{i}" for i in range(trees)])
 
-    return model, predict
+def predict_forest(forests: list, cols: list[str], frame: DataFrame) -> DataFrame:
+    """``frame`` with the mean over the trees of all forests, their population variance and its interval; null where a column is null."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from pixelframe.functions.scalars import normal_interval
+
+    names = frame.columns
+    frame = VectorAssembler(inputCols=cols, outputCol="__x", handleInvalid="keep").transform(frame)
+    trees = [tree for model in forests for tree in model.trees]
+    for i, tree in enumerate(trees):
+        frame = tree.setFeaturesCol("__x").setPredictionCol(f"__t{i}").transform(frame)
+    whole = F.lit(True)
+    for c in cols:
+        whole = whole & F.col(c).isNotNull()
+    out = frame.withColumn("__t", F.when(whole, F.array(*[F.col(f"__t{i}") for i in range(len(trees))])))
+    out = out.withColumn("Prediction", F.aggregate("__t", F.lit(0.0), lambda a, b: a + b) / len(trees))
+    out = out.withColumn("Variance", F.aggregate("__t", F.lit(0.0), lambda a, b: a + (b - F.col("Prediction")) * (b - F.col("Prediction"))) / len(trees))
+    low, high = normal_interval(F.col("Prediction"), F.col("Variance"), 0.95)
+    return out.withColumns({"Lower quantile": low, "Upper quantile": high}).select(*names, "Prediction", "Variance", "Lower quantile", "Upper quantile")
 
 
 def mllib(name: str, df: DataFrame, cols: list[str], y: str, **options):

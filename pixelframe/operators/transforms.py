@@ -19,45 +19,67 @@ from pixelframe.operators import stats
 
 @dataclass
 class Columns:
-    """A frozen map from column names to expressions; columns not named are dropped from ``cols``."""
+    """A frozen map from column names to expressions; columns not named are dropped from ``cols``.
+
+    ``kind`` names the rule in ``BUILD`` that makes the expressions from the state, so a saved state is enough.
+    """
 
     cols: list[str]
     exprs: dict[str, Column]
     state: dict = field(default_factory=dict)
+    kind: str = ""
+
+    @property
+    def names(self) -> list[str]:
+        return list(self.exprs)
 
     def apply(self, df: DataFrame) -> DataFrame:
         gone = [c for c in self.cols if c not in self.exprs]
         return df.withColumns(self.exprs).drop(*gone)
 
+    def saved(self) -> dict:
+        return {"kind": self.kind, "cols": self.cols, "state": self.state}
+
+
+def frozen(kind: str, cols: list[str], state: dict):
+    """A transform from its kind, its columns and its state."""
+    if kind in FITTED:
+        return FITTED[kind].of_state(cols, state)
+    return Columns(cols, BUILD[kind](cols, state), state, kind)
+
+
+def load_chain(saved: list[dict]) -> list:
+    return [frozen(**s) for s in saved]
+
 
 def _x(c: str) -> Column:
     return F.col(c).cast("double")
 
 
+def _moments(df: DataFrame, cols: list[str]) -> dict:
+    return {c: {k: float(v) for k, v in m.items() if k in ("mean", "sd", "min")} for c, m in stats.fit_moments(df, cols).items()}
+
+
 def centre(df: DataFrame, cols: list[str]) -> Columns:
-    s = stats.fit_moments(df, cols)
-    return Columns(cols, {c: _x(c) - s[c]["mean"] for c in cols}, s)
+    return frozen("centre", cols, _moments(df, cols))
 
 
 def standardise(df: DataFrame, cols: list[str]) -> Columns:
     """(x - mean) / sd; columns without variance are dropped, so the width depends on the data."""
-    s = stats.fit_moments(df, cols)
-    return Columns(cols, {c: (_x(c) - s[c]["mean"]) / s[c]["sd"] for c in cols if s[c]["sd"] > 0}, s)
+    return frozen("standardise", cols, _moments(df, cols))
 
 
-def positive(df: DataFrame, cols: list[str], func=None, shift: float = 1e-6) -> Columns:
-    """func(x - min + shift)."""
-    s = stats.fit_moments(df, cols)
-    func = func or (lambda x: x)
-    return Columns(cols, {c: func(_x(c) - s[c]["min"] + shift) for c in cols}, s)
+def positive(df: DataFrame, cols: list[str]) -> Columns:
+    """x - min and a millionth."""
+    return frozen("positive", cols, _moments(df, cols))
 
 
 def log(df: DataFrame, cols: list[str]) -> Columns:
-    return positive(df, cols, F.ln)
+    return frozen("log", cols, _moments(df, cols))
 
 
 def sqrt(df: DataFrame, cols: list[str]) -> Columns:
-    return positive(df, cols, F.sqrt)
+    return frozen("sqrt", cols, _moments(df, cols))
 
 
 def whiten(df: DataFrame, cols: list[str], keep_fraction: float | None = None, n_components: int | None = None, variation_fraction: float | None = None) -> Columns:
@@ -77,55 +99,70 @@ def whiten(df: DataFrame, cols: list[str], keep_fraction: float | None = None, n
     else:
         k = min(max(1, int(d * keep_fraction)), d) if keep_fraction is not None else d
     values, vectors = values[-k:], vectors[:, -k:]
+    return frozen("whiten", cols, {"mean": mean.tolist(), "eigenvalues": values.tolist(), "vectors": vectors.tolist()})
+
+
+def _components(cols: list[str], state: dict) -> dict[str, Column]:
     exprs = {}
-    for j in range(k):
-        weights = vectors[:, j] / math.sqrt(values[j])
-        exprs[f"w{j}"] = sum((_x(c) - float(m)) * float(w) for c, m, w in zip(cols, mean, weights, strict=True))
-    return Columns(cols, exprs, {"mean": mean.tolist(), "eigenvalues": values.tolist(), "vectors": vectors.tolist()})
+    vectors = np.array(state["vectors"])
+    for j, value in enumerate(state["eigenvalues"]):
+        weights = vectors[:, j] / math.sqrt(value)
+        exprs[f"w{j}"] = sum((_x(c) - float(m)) * float(w) for c, m, w in zip(cols, state["mean"], weights, strict=True))
+    return exprs
 
 
 def one_hot(df: DataFrame, cols: list[str], hot: float = 0.5) -> Columns:
     """An indicator of ``hot`` or 0 for each level; null gives nulls, an unseen value zeros."""
     whole = df.select(*[F.col(c).cast("long").alias(c) for c in cols])
-    exprs, state = {}, {}
+    return frozen("onehot", cols, {"hot": hot, "levels": {c: [int(v) for v in stats.levels(whole, c)] for c in cols}})
+
+
+def _indicators(cols: list[str], state: dict) -> dict[str, Column]:
+    exprs = {}
     for c in cols:
-        state[c] = stats.levels(whole, c)
         x = F.col(c).cast("long")
-        for i, v in enumerate(state[c]):
-            exprs[f"{c}_{i}"] = F.when(x.isNull(), None).when(x == v, F.lit(hot)).otherwise(F.lit(0.0))
-    return Columns(cols, exprs, state)
+        for i, v in enumerate(state["levels"][c]):
+            exprs[f"{c}_{i}"] = F.when(x.isNull(), None).when(x == v, F.lit(state["hot"])).otherwise(F.lit(0.0))
+    return exprs
 
 
-def random_hot(df: DataFrame, cols: list[str], n_features: int, seed: int = 0) -> Columns:
+def random_hot(df: DataFrame, cols: list[str], n_features: int = 10, seed: int = 0) -> Columns:
     """Each level becomes a seeded Gaussian row of ``n_features`` numbers."""
-    rng = np.random.default_rng(seed)
     whole = df.select(*[F.col(c).cast("long").alias(c) for c in cols])
-    exprs, state = {}, {}
+    return frozen("randomhot", cols, {"n": n_features, "seed": seed, "levels": {c: [int(v) for v in stats.levels(whole, c)] for c in cols}})
+
+
+def _gaussian_rows(cols: list[str], state: dict) -> dict[str, Column]:
+    rng, exprs = np.random.default_rng(state["seed"]), {}
     for c in cols:
-        state[c] = stats.levels(whole, c)
-        table = rng.normal(size=(len(state[c]), n_features))
-        pairs = [F.lit(int(v)) for v in state[c]]
-        for j in range(n_features):
-            values = F.map_from_arrays(F.array(*pairs), F.array(*[F.lit(float(t)) for t in table[:, j]]))
+        levels = state["levels"][c]
+        table = rng.normal(size=(len(levels), state["n"]))
+        for j in range(state["n"]):
+            values = F.map_from_arrays(F.array(*[F.lit(v) for v in levels]).cast("array<long>"), F.array(*[F.lit(float(t)) for t in table[:, j]]).cast("array<double>"))
             exprs[f"{c}_{j}"] = F.try_element_at(values, F.col(c).cast("long"))
-    return Columns(cols, exprs, state)
+    return exprs
 
 
 def impute_mean(df: DataFrame, cols: list[str]) -> Columns:
-    s = stats.fit_moments(df, cols)
-    return Columns(cols, {c: F.coalesce(_x(c), F.lit(s[c]["mean"])) for c in cols}, s)
+    return frozen("mean", cols, _moments(df, cols))
+
+
+#: Columns up to which the Gaussian imputer is spelled out as an expression (2 ** d - 1 patterns).
+SPELLED = 8
 
 
-def impute_gauss(df: DataFrame, cols: list[str]) -> Columns:
+def impute_gauss(df: DataFrame, cols: list[str]):
     """Conditional Gaussian mean of the missing given the observed columns; the mean if all are missing.
 
-    The regression of every missing pattern is worked out once (2 ** d - 1 patterns at most,
-    d up to 8) and applied as an expression.
+    Up to ``SPELLED`` columns the regression of every missing pattern is an expression; beyond, those of the patterns that a batch of
+    rows shows are worked out where they are met.
     """
-    if len(cols) > 8:
-        raise ValueError("the Gaussian imputer takes up to 8 columns")
     mean, cov = stats.covariance_matrix(df, cols)
-    precision = np.linalg.pinv(cov)
+    return frozen("gaus" if len(cols) <= SPELLED else "gaus_rows", cols, {"mean": mean.tolist(), "cov": cov.tolist()})
+
+
+def _patterns(cols: list[str], state: dict) -> dict[str, Column]:
+    mean, precision = np.array(state["mean"]), np.linalg.pinv(np.array(state["cov"]))
     d = len(cols)
     pattern = sum(F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(cols))
     exprs: dict[str, Column] = {}
@@ -142,31 +179,43 @@ def impute_gauss(df: DataFrame, cols: list[str]) -> Columns:
                 value = value + sum((_x(cols[j]) - float(mean[j])) * float(v) for j, v in zip(b, w, strict=True))
             out = F.when(pattern == mask, value).otherwise(out)
         exprs[c] = out
-    return Columns(cols, exprs, {"mean": mean.tolist(), "cov": cov.tolist()})
+    return exprs
 
 
-class NearestImputer:
-    """Null cells become the mean of the k nearest reference rows over the observed columns.
+class _Batches:
+    """A transform that changes the rows of a batch with NumPy, one missing pattern after another."""
 
-    The reference is at most ``nodes`` random complete rows, the documented bound of what is shipped to tasks.
-    """
+    kind = ""
 
-    def __init__(self, df: DataFrame, cols: list[str], nodes: int = 500, k: int = 3, seed: int = 1):
-        rows = df.select(*[_x(c).alias(c) for c in cols]).na.drop().orderBy(F.xxhash64(*cols, F.lit(seed))).limit(nodes).collect()
-        if len(rows) < k:
-            raise ValueError("fewer complete rows than neighbours")
-        self.cols, self.k, self.reference = cols, k, np.array(rows, float)
+    def __init__(self, cols: list[str], state: dict):
+        self.cols, self.names, self.state = cols, cols, state
+
+    @classmethod
+    def of_state(cls, cols: list[str], state: dict):
+        out = cls.__new__(cls)
+        _Batches.__init__(out, cols, state)
+        return out
+
+    def saved(self) -> dict:
+        return {"kind": self.kind, "cols": self.cols, "state": self.state}
+
+    def filler(self):
+        """A function of (known columns of some rows, mask of the missing ones) that gives the missing columns."""
+        raise NotImplementedError
 
     def apply(self, df: DataFrame) -> DataFrame:
-        cols, k, ref = self.cols, self.k, self.reference
+        cols, make = self.cols, self.filler
 
         def run(frames):
+            fill = make()
             for pdf in frames:
                 x = pdf[cols].to_numpy(float, na_value=np.nan)
-                for i in np.flatnonzero(np.isnan(x).any(axis=1)):
-                    seen = ~np.isnan(x[i])
-                    dist = ((ref[:, seen] - x[i, seen]) ** 2).sum(axis=1)
-                    x[i, ~seen] = ref[np.argsort(dist, kind="stable")[:k]][:, ~seen].mean(axis=0)
+                gone = np.isnan(x)
+                patterns, which = np.unique(gone, axis=0, return_inverse=True)
+                for i, missing in enumerate(patterns):
+                    if missing.any():
+                        rows = np.flatnonzero(which.ravel() == i)
+                        x[np.ix_(rows, missing)] = fill(x[np.ix_(rows, ~missing)], missing)
                 yield pd.concat([pdf.drop(columns=cols), pd.DataFrame(x, columns=cols, index=pdf.index)], axis=1)
 
         rest = [c for c in df.columns if c not in cols]
@@ -174,7 +223,63 @@ class NearestImputer:
         return out.mapInPandas(run, out.schema)
 
 
-STEPS = {"centre": centre, "standardise": standardise, "log": log, "sqrt": sqrt, "whiten": whiten, "onehot": one_hot, "mean": impute_mean, "gaus": impute_gauss}
+class GaussImputer(_Batches):
+    """Conditional means for any number of columns."""
+
+    kind = "gaus_rows"
+
+    def filler(self):
+        mean, precision = np.array(self.state["mean"]), np.linalg.pinv(np.array(self.state["cov"]))
+        known: dict[bytes, np.ndarray] = {}
+
+        def fill(x: np.ndarray, missing: np.ndarray) -> np.ndarray:
+            w = known.get(missing.tobytes())
+            if w is None:
+                w = known[missing.tobytes()] = -np.linalg.lstsq(precision[np.ix_(missing, missing)], precision[np.ix_(missing, ~missing)], rcond=None)[0]
+            return mean[missing] + (x - mean[~missing]) @ w.T
+
+        return fill
+
+
+class NearestImputer(_Batches):
+    """Null cells become the mean of the k nearest reference rows over the observed columns; with none observed, of the first k.
+
+    The reference is at most ``nodes`` random complete rows, the documented bound of what is shipped to tasks.
+    """
+
+    kind = "nearest"
+
+    def __init__(self, df: DataFrame, cols: list[str], nodes: int = 500, k: int = 3, seed: int = 1):
+        rows = df.select(*[_x(c).alias(c) for c in cols]).na.drop().orderBy(F.xxhash64(*cols, F.lit(seed))).limit(nodes).collect()
+        if len(rows) < k:
+            raise ValueError("fewer complete rows than neighbours")
+        super().__init__(cols, {"k": k, "reference": np.array(rows, float).tolist()})
+
+    def filler(self):
+        k, ref = self.state["k"], np.array(self.state["reference"])
+
+        def fill(x: np.ndarray, missing: np.ndarray) -> np.ndarray:
+            near = ref[:, ~missing]
+            out = np.empty((len(x), int(missing.sum())))
+            for at in range(0, len(x), 1024):  # at most 1024 x reference distances at once
+                d = ((x[at : at + 1024, None, :] - near[None]) ** 2).sum(axis=2)
+                out[at : at + 1024] = ref[np.argsort(d, axis=1, kind="stable")[:, :k]][:, :, missing].mean(axis=1)
+            return out
+
+        return fill
+
+
+BUILD = {
+    "centre": lambda cols, s: {c: _x(c) - s[c]["mean"] for c in cols},
+    "standardise": lambda cols, s: {c: (_x(c) - s[c]["mean"]) / s[c]["sd"] for c in cols if s[c]["sd"] > 0},
+    "positive": lambda cols, s: {c: _x(c) - s[c]["min"] + 1e-6 for c in cols},
+    "log": lambda cols, s: {c: F.ln(_x(c) - s[c]["min"] + 1e-6) for c in cols},
+    "sqrt": lambda cols, s: {c: F.sqrt(_x(c) - s[c]["min"] + 1e-6) for c in cols},
+    "mean": lambda cols, s: {c: F.coalesce(_x(c), F.lit(s[c]["mean"])) for c in cols},
+    "whiten": _components, "onehot": _indicators, "randomhot": _gaussian_rows, "gaus": _patterns,
+}
+FITTED = {"gaus_rows": GaussImputer, "nearest": NearestImputer}
+STEPS = {"centre": centre, "standardise": standardise, "log": log, "sqrt": sqrt, "whiten": whiten, "onehot": one_hot, "mean": impute_mean, "gaus": impute_gauss, "nearest": NearestImputer, "randomhot": random_hot}
 
 
 def chain(df: DataFrame, cols: list[str], steps: list[str]) -> list[Columns]:
@@ -184,7 +289,7 @@ def chain(df: DataFrame, cols: list[str], steps: list[str]) -> list[Columns]:
         if name not in STEPS:
             raise ValueError(f"unknown transform {name!r}, one of {sorted(STEPS)}")
         model = STEPS[name](df, cols)
-        df, cols = model.apply(df), list(model.exprs)
+        df, cols = model.apply(df), model.names
         fitted.append(model)
     return fitted
 
