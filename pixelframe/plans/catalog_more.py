@@ -10,7 +10,8 @@ from pixelframe.functions import scalars as sc
 from pixelframe.grid import Grid
 from pixelframe.operators import filters, joins, kriging, learners, metrics, models, raster, rules, sampling, stats, tiles, transforms
 from pixelframe.plans.catalog import _CL, _V, COLS, KEY, LI, PX, _classes, _scored, covariates, pixels, query, r6, table
-from pixelframe.plans.materialise import shared_folder
+from pixelframe.plans import pipeline, superlearn, tuning
+from pixelframe.plans.materialise import materialise, shared_folder
 from pixelframe.sources import files, gtiff
 
 _ID = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -268,6 +269,44 @@ def md_sgd_bayes(spark, sf_dir):
     return spark.createDataFrame([(round(float(model.coef[1]), 1), round(float(model.coef[0]) / 5, 0))], "slope double, intercept double")
 
 
+@query()
+def st_super_learner(spark, sf_dir):
+    """Out-of-fold predictions of a line, a committee and their meta line for all order lines."""
+    li = table(spark, sf_dir, "lineitem").select(*KEY, *_LINES, (F.col("l_extendedprice") / 10_000).alias("y"))
+    found = superlearn.learn(li, _LINES, "y", KEY, [{"name": "ols"}, {"name": "cubist", "depth": 1}], folds=3, group="l_linenumber")
+    return found.folds.select(*KEY, "fold", "p0", "p1", "meta")
+
+
+@query()
+def hp_tpe(spark, sf_dir):
+    """Twelve trials of the prior and the noise of a Bayesian line, by the mean squared error of its held-out fifth."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", *_LINES, (F.col("l_extendedprice") / 10_000).alias("y"))
+    train, held = materialise(li.where("l_orderkey % 5 > 0"), "train"), materialise(li.where("l_orderkey % 5 = 0"), "held")
+
+    def loss(p):
+        return metrics.regression(models.bayes_linear(train, _LINES, "y", **p).predict(held), "y", "Prediction").first()["mse"]
+
+    space = {"noise": ("log", 0.1, 1e4), "prior": ("log", 1e-6, 10.0)}
+    return tuning.search(spark, loss, space, 12, f"{shared_folder(spark)}/trials-{uuid.uuid4().hex}").select("trial", "method", "parameters", "loss")
+
+
+@query()
+def cv_classes(spark, sf_dir):
+    """Scores of each fold of a logistic model of the return flag; orders stay together."""
+    li = table(spark, sf_dir, "lineitem").withColumn("g", F.col("l_orderkey") % 50)
+    return pipeline.cross_validate_classes(li, _LINES, "l_returnflag", "logistic", KEY, folds=3, group="g", maxIter=5)[0]
+
+
+@query(f"WITH {LI}, m AS (SELECT regr_slope(y, t) AS b, regr_intercept(y, t) AS a FROM li) SELECT {_ID}, round(a + b * t, 4) AS p FROM li, m")
+def snk_bundle_round_trip(spark, sf_dir):
+    """A learned pipeline, written and read again, over all order lines."""
+    config = pipeline.Config.parse({"features": ["t"], "target": "y", "position": [], "grid": {"x0": 0, "y0": 0, "dx": 1, "dy": 1, "width": 1, "height": 1}, "transforms": ["standardise"]})
+    li = covariates(spark, sf_dir)
+    path = f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
+    pipeline.learn(li, None, config).save(li, path)
+    return pipeline.Bundle.load(spark, path).predict(li).select(*KEY, F.round("Prediction", 4).alias("p"))
+
+
 _SENSOR = (1.0, 1.0, 2.0, 0.1)
 _FOOT = ", ".join(f"({i}, {j}, {w!r})" for (i, j), w in raster.footprint(3, *_SENSOR).items())
 
