@@ -157,9 +157,3 @@ def inside_polygon(x: Column, y: Column, ring: list[tuple[float, float]]) -> Col
             crosses = ((y < y1) != (y < y2)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
             hits.append(crosses.cast("int"))
     return sum(hits, F.lit(0)) % 2 == 1
-
-
-def polygon_members(points: DataFrame, x: Column, y: Column, rings: dict[int, list[tuple[float, float]]]) -> DataFrame:
-    """A row for each point and each polygon (a ring by its number) that holds it."""
-    held = F.array(*[F.when(inside_polygon(x, y, ring), F.lit(n).cast("long")) for n, ring in rings.items()])
-    return points.withColumn("polygon", F.explode(F.array_compact(held)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pixelframe.functions import scalars as sc
 from pixelframe.grid import Grid
-from pixelframe.operators import filters, joins, kriging, learners, metrics, models, raster, rules, sampling, stats, tiles, transforms
+from pixelframe.operators import filters, joins, kriging, learners, metrics, models, polygons, raster, rules, sampling, stats, tiles, transforms
 from pixelframe.plans.catalog import _CL, _V, COLS, KEY, LI, PX, _classes, _scored, covariates, pixels, query, r6, table
 from pixelframe.plans import pipeline, superlearn, tuning
 from pixelframe.plans.materialise import materialise, shared_folder
@@ -332,12 +332,34 @@ def ras_deconvolve(spark, sf_dir):
     return out.withColumn("value", F.round("value", 5))
 
 
-@query("SELECT c_custkey, CAST((c_custkey % 10 >= 2 AND c_custkey % 10 < 7 AND c_custkey % 13 < 8)::INT AS BIGINT) AS polygon FROM customer WHERE c_custkey % 10 >= 2 AND c_custkey % 10 < 7 AND c_custkey % 13 < 8 UNION ALL SELECT c_custkey, 2 FROM customer WHERE c_custkey % 10 < 3 AND c_custkey % 13 >= 5 AND c_custkey % 13 < 12")
+_SLANTED = """p AS (SELECT n_nationkey AS polygon, 7.0 * (n_nationkey % 5) AS x, 6.0 * (n_nationkey // 5) AS y FROM nation),
+r AS (SELECT polygon, [[x, y], [x + 9, y + 2.5], [x + 5, y + 8], [x - 1, y + 4]] AS c FROM p),
+e AS (SELECT polygon, c[k][1] AS x1, c[k][2] AS y1, c[k % 4 + 1][1] AS x2, c[k % 4 + 1][2] AS y2 FROM r, range(1, 5) t(k)),
+c AS (SELECT c_custkey, c_custkey % 37 + 0.25 AS x, c_custkey % 31 + 0.75 AS y FROM customer),
+m AS (SELECT c_custkey, polygon FROM c JOIN e ON (y < y1) <> (y < y2) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1)"""
+
+
+def _slanted(spark, sf_dir):
+    """(customers with a place, a slanted quadrangle for each nation; they overlap)."""
+    n = F.col("n_nationkey")
+    x, y = 7.0 * (n % 5), 6.0 * F.floor(n / 5)
+    corners = F.array(*[F.struct((x + a).alias("x"), (y + b).alias("y")) for a, b in ((0, 0), (9, 2.5), (5, 8), (-1, 4))])
+    places = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 37 + 0.25).alias("x"), (F.col("c_custkey") % 31 + 0.75).alias("y"))
+    return places, table(spark, sf_dir, "nation").select(n.alias("polygon"), corners.alias("ring"))
+
+
+@query(f"WITH {_SLANTED} SELECT * FROM m")
 def jn_polygon_members(spark, sf_dir):
     """(row, polygon) of every polygon that holds a place."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 10 + 0.5).alias("x"), (F.col("c_custkey") % 13 + 0.5).alias("y"))
-    rings = {1: [(2.0, -1.0), (7.0, -1.0), (7.0, 8.0), (2.0, 8.0)], 2: [(-1.0, 5.0), (3.0, 5.0), (3.0, 12.0), (-1.0, 12.0)]}
-    return joins.polygon_members(c, F.col("x"), F.col("y"), rings).select("c_custkey", "polygon")
+    places, rings = _slanted(spark, sf_dir)
+    return polygons.members(places, "x", "y", rings).select("c_custkey", "polygon")
+
+
+@query(f"WITH {_SLANTED} SELECT c.c_custkey, min(polygon) AS polygon FROM c LEFT JOIN m ON m.c_custkey = c.c_custkey GROUP BY 1")
+def jn_overlay(spark, sf_dir):
+    """Every place with the first polygon that holds it."""
+    places, rings = _slanted(spark, sf_dir)
+    return polygons.overlay(places, "x", "y", rings).select("c_custkey", "polygon")
 
 
 @query("SELECT 'l_discount' AS feature, round(avg(abs(r.b * (l_discount - r.m))), 4) AS importance FROM lineitem, (SELECT regr_slope(l_extendedprice, l_discount) AS b, avg(l_discount) AS m FROM lineitem) r")
