@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pixelframe.functions import scalars as sc
 from pixelframe.grid import Grid
-from pixelframe.operators import filters, joins, kriging, learners, metrics, models, polygons, raster, rules, sampling, stats, tiles, transforms
+from pixelframe.operators import filters, kriging, learners, metrics, models, polygons, raster, rules, sampling, stats, tiles, transforms
 from pixelframe.plans.catalog import _CL, _V, COLS, KEY, LI, PX, _classes, _scored, covariates, pixels, query, r6, table
 from pixelframe.plans import pipeline, superlearn, tuning
 from pixelframe.plans.materialise import materialise, shared_folder
@@ -149,12 +149,12 @@ def _height(px):
     return px.agg(F.max("py")).first()[0] + 1
 
 
-@query(f"WITH {FINE}, {_STRIPS} SELECT s AS strip, count(*) AS n, min(py) AS first, max(py) AS last, round(sum(value), 4) AS total FROM px JOIN st ON py >= low AND py < high GROUP BY 1")
+@query(f"WITH {FINE}, {_STRIPS} SELECT s AS strip, count(*) AS n, min(py) AS first, max(py) AS last, round(sum(value) / 1000, 2) AS total FROM px JOIN st ON py >= low AND py < high GROUP BY 1")
 def ras_strips(spark, sf_dir):
     """Four strips of the raster that share two rows with each neighbour."""
     px = fine_pixels(spark, sf_dir)
     out = tiles.strips(px, _height(px), 4, 2).groupBy("strip").agg(F.count("*").alias("n"), F.min("py").alias("first"), F.max("py").alias("last"), F.sum("value").alias("total"))
-    return out.withColumn("total", F.round("total", 4))
+    return out.withColumn("total", F.round(F.col("total") / 1000, 2))
 
 
 @query(f"WITH {FINE}, {_STRIPS}, p AS (SELECT CAST(s_suppkey AS BIGINT) AS py FROM supplier) SELECT s AS strip, count(*) AS points FROM p JOIN st ON py >= low AND py < high GROUP BY 1")
@@ -172,13 +172,13 @@ ey AS (SELECT e, least((e + 20 * (2 * h - 1)) % (2 * h - 1), 2 * h - 2 - (e + 20
 
 @query(f"WITH {FINE}, {_MIRRORED.format(halo=3)}, " + """tx AS (SELECT t AS tx, e - t * 4 + 3 AS ix, px FROM ex, range((w + 3) // 4) t(t) WHERE e >= t * 4 - 3 AND e < t * 4 + 7),
 ty AS (SELECT t AS ty, e - t * 4 + 3 AS iy, py FROM ey, range((h + 3) // 4) t(t) WHERE e >= t * 4 - 3 AND e < t * 4 + 7)
-SELECT tx, ty, count(*) AS n, round(sum(value), 4) AS total, round(sum(value * (1 + ix + 10 * iy)), 3) AS placed FROM px JOIN tx USING (px) JOIN ty USING (py) GROUP BY 1, 2""")
+SELECT tx, ty, count(*) AS n, round(sum(value), 2) AS total, round(sum(value * (1 + ix + 10 * iy)) / 1000000, 4) AS placed FROM px JOIN tx USING (px) JOIN ty USING (py) GROUP BY 1, 2""")
 def ras_tiles(spark, sf_dir):
     """Tiles of 4 by 4 pixels with a halo of three, mirrored at the edges: pixels, their sum and their places."""
     px = fine_pixels(spark, sf_dir)
     out = tiles.tile_table(px, px.agg(F.max("px")).first()[0] + 1, _height(px), 4, 3)
     out = out.groupBy("tx", "ty").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.sum(F.col("value") * (1 + F.col("ix") + 10 * F.col("iy"))).alias("placed"))
-    return out.withColumns({"total": F.round("total", 4), "placed": F.round("placed", 3)})
+    return out.withColumns({"total": F.round("total", 2), "placed": F.round(F.col("placed") / 1_000_000, 4)})
 
 
 @query(f"WITH {FINE} SELECT px, py, 0 AS band, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 2) AS value FROM px WHERE px >= 2 AND px < 8 AND py <= 60")
@@ -314,13 +314,13 @@ _FOOT = ", ".join(f"({i}, {j}, {w!r})" for (i, j), w in raster.footprint(3, *_SE
 @query(f"WITH {FINE}, hp AS (SELECT * FROM px WHERE (px + 2 * py) % 9 <> 0), {_MIRRORED.format(halo=3)}, k AS (SELECT * FROM (VALUES {_FOOT}) k(i, j, weight)), " + """
 c AS (SELECT x.e AS px, y.e AS py FROM ex x, ey y WHERE x.e >= 0 AND x.e < w AND y.e >= 0 AND y.e < h),
 s AS (SELECT c.px, c.py, sum(hp.value * weight) / sum(weight) AS v FROM c, k JOIN ex ON ex.e = c.px + i JOIN ey ON ey.e = c.py + j JOIN hp ON hp.px = ex.px AND hp.py = ey.py GROUP BY 1, 2)
-SELECT c.px, c.py, CASE WHEN hp.value IS NOT NULL THEN round(v, 5) END AS value FROM c LEFT JOIN s ON s.px = c.px AND s.py = c.py LEFT JOIN hp ON hp.px = c.px AND hp.py = c.py""")
+SELECT c.px, c.py, CASE WHEN hp.value IS NOT NULL THEN round(v, 2) END AS value FROM c LEFT JOIN s ON s.px = c.px AND s.py = c.py LEFT JOIN hp ON hp.px = c.px AND hp.py = c.py""")
 def ras_gamma_forward(spark, sf_dir):
     """A gamma sensor's footprint over the raster with holes."""
     px = fine_pixels(spark, sf_dir)
     width, height = px.agg(F.max("px")).first()[0] + 1, _height(px)
     out = tiles.gamma(px.where((F.col("px") + 2 * F.col("py")) % 9 != 0), width, height, *_SENSOR, size=8, reach=3)
-    return out.withColumn("value", F.round("value", 5))
+    return out.withColumn("value", F.round("value", 2))
 
 
 @query()

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pixelframe.functions import scalars as sc
 from pixelframe.grid import Grid
 from pixelframe.operators import cluster, filters, joins, metrics, models, raster, sampling, stats, transforms
-from pixelframe.plans import catalog
 
 
 def frame(spark, rows, schema):
