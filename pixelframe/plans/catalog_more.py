@@ -319,7 +319,7 @@ def ras_gamma_forward(spark, sf_dir):
     """A gamma sensor's footprint over the raster with holes."""
     px = fine_pixels(spark, sf_dir)
     width, height = px.agg(F.max("px")).first()[0] + 1, _height(px)
-    out = tiles.gamma(px.where((F.col("px") + 2 * F.col("py")) % 9 != 0), width, height, *_SENSOR, size=8, reach=3)
+    out = tiles.gamma(px.where((F.col("px") + 2 * F.col("py")) % 9 != 0), width, height, *_SENSOR, size=64, reach=3)
     return out.withColumn("value", F.round("value", 2))
 
 
