@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pixelframe.functions import scalars as sc
 from pixelframe.grid import Grid
-from pixelframe.operators import filters, kriging, learners, metrics, models, polygons, raster, rules, sampling, stats, tiles, transforms
+from pixelframe.operators import attributions, filters, kriging, learners, metrics, models, polygons, raster, rules, sampling, stats, tiles, transforms
 from pixelframe.plans.catalog import _CL, _V, COLS, KEY, LI, PX, _classes, _scored, covariates, pixels, query, r6, table
 from pixelframe.plans import pipeline, superlearn, tuning
 from pixelframe.plans.materialise import materialise, shared_folder
@@ -277,6 +277,15 @@ def st_super_learner(spark, sf_dir):
     return found.folds.select(*KEY, "fold", "p0", "p1", "meta")
 
 
+@query()
+def sh_forest(spark, sf_dir):
+    """Exact attributions of a forest's prediction for all order lines."""
+    li = table(spark, sf_dir, "lineitem")
+    model, _ = models.forest(li, _LINES, "l_extendedprice", trees=4, depth=3)
+    out = attributions.forest_shap(li.select(*KEY, *_LINES), [model], _LINES)
+    return out.select(*KEY, *[f"shap_{c}" for c in _LINES], "shap_base")
+
+
 @query()
 def hp_tpe(spark, sf_dir):
     """Twelve trials of the prior and the noise of a Bayesian line, by the mean squared error of its held-out fifth."""

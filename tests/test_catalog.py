@@ -9,7 +9,7 @@ from pixelframe.plans import catalog, catalog_more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"cl_kmeans", "md_forest", "md_approx_gp", "md_cubist", "md_krige", "md_svr", "md_krige_universal", "md_mlkrige", "ras_deconvolve", "st_super_learner", "hp_tpe", "cv_classes"}
+SLOW = {"cl_kmeans", "md_forest", "md_approx_gp", "md_cubist", "md_krige", "md_svr", "md_krige_universal", "md_mlkrige", "ras_deconvolve", "st_super_learner", "hp_tpe", "sh_forest", "cv_classes"}
 
 
 @pytest.fixture(scope="module")
