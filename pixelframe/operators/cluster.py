@@ -153,28 +153,41 @@ def boxplot(df: DataFrame, by: str, col: str, key: list[str], trim: float = 0.01
     return q.join(inside.groupBy(by).agg(F.min(col).alias("low"), F.max(col).alias("high")), by)
 
 
+def _places(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
+    """(__x, __y, __n, __k): rows and smallest key of every place."""
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return known.groupBy(F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.count("*").alias("__n"), F.min(key).alias("__k"))
+
+
+def _close(places: DataFrame, others: DataFrame, eps: float) -> DataFrame:
+    """Pairs of ``places`` and ``others`` (with a 2 behind their names) within eps, through eps bins."""
+    near = F.array(*[F.struct((F.floor(F.col("__x") / eps) + i).alias("bx"), (F.floor(F.col("__y") / eps) + j).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    a = places.withColumn("__b", F.explode(near)).select(*places.columns, "__b.bx", "__b.by")
+    b = others.withColumns({"bx": F.floor(F.col("__x") / eps), "by": F.floor(F.col("__y") / eps)})
+    b = b.withColumnsRenamed({c: f"{c}2" for c in others.columns})
+    square = F.pow(F.col("__x") - F.col("__x2"), F.lit(2.0)) + F.pow(F.col("__y") - F.col("__y2"), F.lit(2.0))
+    return a.join(b, ["bx", "by"]).where(square <= eps * eps).drop("bx", "by")
+
+
+def _counted(places: DataFrame, eps: float) -> DataFrame:
+    """The places with their ``neighbours``; rows of one place share them, so pairs are formed of places and not of rows."""
+    return _close(places, places.select("__x", "__y", "__n"), eps).groupBy("__x", "__y", "__n", "__k").agg(F.sum("__n2").alias("neighbours"))
+
+
 def core_points(df: DataFrame, x: str, y: str, key: str, eps: float, min_samples: int = 10) -> DataFrame:
-    """(key, neighbours, core): points within eps, itself included, through eps bins."""
-    near = F.array(*[F.struct((F.floor(F.col(x) / eps) + i).alias("bx"), (F.floor(F.col(y) / eps) + j).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = df.select(key, x, y).withColumn("b", F.explode(near)).select(key, x, y, "b.bx", "b.by")
-    b = df.select(F.col(x).alias("x2"), F.col(y).alias("y2"), F.floor(F.col(x) / eps).alias("bx"), F.floor(F.col(y) / eps).alias("by"))
-    hit = a.join(b, ["bx", "by"]).where(F.pow(F.col(x) - F.col("x2"), F.lit(2.0)) + F.pow(F.col(y) - F.col("y2"), F.lit(2.0)) <= eps * eps)
-    return hit.groupBy(key).agg(F.count("*").alias("neighbours")).withColumn("core", F.col("neighbours") >= min_samples)
+    """(key, neighbours, core): points within eps, itself included."""
+    counted = _counted(materialise(_places(df, x, y, key), "places"), eps).select(F.col("__x").alias(x), F.col("__y").alias(y), "neighbours")
+    return df.select(key, x, y).join(counted, [x, y]).select(key, "neighbours", (F.col("neighbours") >= min_samples).alias("core"))
 
 
 def dbscan(df: DataFrame, x: str, y: str, key: str, eps: float, min_samples: int = 10) -> DataFrame:
     """(key, grp): density groups named by their smallest core key; border points join their smallest
-    neighbouring group, and points without a core neighbour get -1."""
+    neighbouring group, and points without a core neighbour get -1.  Rows of one place are one node."""
     from pixelframe.operators.graph import components
 
-    core = core_points(df, x, y, key, eps, min_samples).where("core").select(F.col(key).alias("k2"))
-    near = F.array(*[F.struct((F.floor(F.col(x) / eps) + i).alias("bx"), (F.floor(F.col(y) / eps) + j).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = df.select(key, x, y).withColumn("b", F.explode(near)).select(key, x, y, "b.bx", "b.by")
-    b = df.select(F.col(key).alias("k2"), F.col(x).alias("x2"), F.col(y).alias("y2"), F.floor(F.col(x) / eps).alias("bx"), F.floor(F.col(y) / eps).alias("by"))
-    b = b.join(core, "k2", "left_semi")
-    close = F.pow(F.col(x) - F.col("x2"), F.lit(2.0)) + F.pow(F.col(y) - F.col("y2"), F.lit(2.0)) <= eps * eps
-    hits = a.join(b, ["bx", "by"]).where(close).select(key, "k2")
-    inside = hits.join(core.select(F.col("k2").alias(key)), key, "left_semi")
-    groups = components(inside.select(F.col(key).cast("long").alias("a"), F.col("k2").cast("long").alias("b")))
-    named = hits.join(groups.select(F.col("node").alias("k2"), "component"), "k2").groupBy(key).agg(F.min("component").alias("grp"))
-    return df.select(key).join(named, key, "left").select(key, F.coalesce("grp", F.lit(-1)).cast("long").alias("grp"))
+    counted = _counted(materialise(_places(df, x, y, key), "places"), eps)
+    places = materialise(counted.select("__x", "__y", F.col("__k").cast("long").alias("__k"), (F.col("neighbours") >= min_samples).alias("__core")), "places")
+    hits = _close(places, places.where("__core").select("__x", "__y", "__k"), eps).select("__x", "__y", "__k", "__core", "__k2")
+    groups = components(hits.where("__core").select(F.col("__k").alias("a"), F.col("__k2").alias("b")))
+    named = hits.join(groups.select(F.col("node").alias("__k2"), "component"), "__k2").groupBy(F.col("__x").alias(x), F.col("__y").alias(y)).agg(F.min("component").alias("grp"))
+    return df.select(key, x, y).join(named, [x, y], "left").select(key, F.coalesce("grp", F.lit(-1)).cast("long").alias("grp"))

@@ -427,3 +427,18 @@ def test_running_totals_and_bootstrap(spark):
     assert len({r["i"] for r in draws if r["g"] == 0}) < 29  # some twice, some never
     with pytest.raises(KeyError):
         sampling.resample_values(df, "i", 5, 50, ["i"], interval="cubic")
+
+
+def test_many_rows_on_few_places_are_paired_by_place(spark):
+    """40000 rows on four places: 1.6e9 pairs of rows, ten of places."""
+    df = spark.range(40_000).select(F.col("id").alias("k"), (F.col("id") % 4).cast("double").alias("x"), F.lit(0.0).alias("y"), (F.col("id") % 7).cast("double").alias("z"))
+    near = {(r["x"], r["neighbours"], r["core"]) for r in cluster.core_points(df, "x", "y", "k", 1.0, 25_000).join(df, "k").distinct().collect()}
+    assert near == {(0.0, 20_000, False), (1.0, 30_000, True), (2.0, 30_000, True), (3.0, 20_000, False)}
+    assert [(r["grp"], r["n"]) for r in cluster.dbscan(df, "x", "y", "k", 1.0, 25_000).groupBy("grp").agg(F.count("*").alias("n")).collect()] == [(1, 40_000)]
+    assert {r["grp"] for r in cluster.dbscan(df, "x", "y", "k", 1.0, 35_000).collect()} == {-1}
+    x, z = np.arange(40_000) % 4, np.arange(40_000) % 7.0
+    for r in models.variogram(df, "x", "y", "z", 1.0, 3).collect():
+        pairs = [(a, a + r["bin"]) for a in range(4 - r["bin"])]
+        total = sum(10_000 * ((z[x == a] ** 2).sum() + (z[x == b] ** 2).sum()) - 2 * z[x == a].sum() * z[x == b].sum() for a, b in pairs) / (2 if r["bin"] == 0 else 1)
+        n = sum(10_000 * 9_999 // 2 if a == b else 10_000**2 for a, b in pairs)
+        assert (r["n"], round(r["distance"], 9)) == (n, r["bin"]) and abs(r["gamma"] - total / n / 2) < 1e-9
