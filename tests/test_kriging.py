@@ -142,3 +142,13 @@ def test_regression_kriging_mends_what_the_model_cannot_see(spark):
     assert np.isclose(r["Prediction"], r["p"] + r["Residual"]) and r["Variance"] > r["v"] and r["Lower quantile"] < r["Prediction"] < r["Upper quantile"]
     no_variance = kriging.ml_krige(train, test.select("id", "x", "y", "c"), lambda rows: models.forest(rows.withColumn("z", F.col("z")), ["c"], "z", trees=3)[1], "x", "y", "z", ["id"], folds=2)
     assert no_variance.where("Prediction IS NULL").count() == 0
+
+
+def test_a_variogram_of_many_rows_on_few_places_is_exact(spark):
+    rng = np.random.default_rng(4)
+    p = np.stack([np.arange(2500) % 37, np.arange(2500) % 23, rng.normal(size=2500)], axis=1)
+    df = spark.createDataFrame(p.tolist(), "x double, y double, z double")
+    a, b = np.triu_indices(len(p), 1)
+    want = kriging._binned(np.sqrt(((p[a, :2] - p[b, :2]) ** 2).sum(axis=1)), (p[a, 2] - p[b, 2]) ** 2, np.ones(len(a)), 6)
+    for g, w in zip(kriging.experimental(df, "x", "y", "z"), want, strict=True):
+        assert np.allclose(g, w, rtol=1e-10)
