@@ -442,3 +442,16 @@ def test_many_rows_on_few_places_are_paired_by_place(spark):
         total = sum(10_000 * ((z[x == a] ** 2).sum() + (z[x == b] ** 2).sum()) - 2 * z[x == a].sum() * z[x == b].sum() for a, b in pairs) / (2 if r["bin"] == 0 else 1)
         n = sum(10_000 * 9_999 // 2 if a == b else 10_000**2 for a, b in pairs)
         assert (r["n"], round(r["distance"], 9)) == (n, r["bin"]) and abs(r["gamma"] - total / n / 2) < 1e-9
+
+
+def test_joins_by_few_keys_deal_their_pairs(spark):
+    """Few input bytes and many pairs: tasks are counted by pairs and Spark does not merge them."""
+    a = spark.range(3000).select(F.col("id").alias("a"), (F.col("id") % 3 * 10.0).alias("v"))
+    b = spark.range(600).select(F.col("id").alias("b"), (F.col("id") % 3 * 10.0).alias("r_v"))
+    want = a.join(b, F.col("v") == F.col("r_v"))
+    got = joins.spread_join(a, b.withColumnRenamed("r_v", "v"), ["v"], pairs=10_000)
+    assert got.groupBy(F.spark_partition_id()).count().count() > 20
+    assert sorted(map(tuple, got.select("a", "b").collect())) == sorted(map(tuple, want.select("a", "b").collect()))
+    band = joins.band_join(a, b, "v", 10.0)
+    assert band.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert band.count() == sum(1000 * 200 for i in range(3) for j in range(3) if abs(i - j) <= 1)
