@@ -455,3 +455,13 @@ def test_joins_by_few_keys_deal_their_pairs(spark):
     band = joins.band_join(a, b, "v", 10.0)
     assert band.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert band.count() == sum(1000 * 200 for i in range(3) for j in range(3) if abs(i - j) <= 1)
+
+
+def test_nearest_rows_are_not_broadcast(spark, monkeypatch):
+    plans = []
+    kept = joins.materialise
+    monkeypatch.setattr(joins, "materialise", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df, name))[1])
+    qs = spark.range(50).select(F.col("id").alias("q"), F.col("id").cast("double").alias("x"))
+    rs = spark.range(50).select(F.col("id").alias("r"), (F.col("id") + 0.25).alias("u"))
+    out = joins.nearest(qs, rs, ["x"], ["u"], 3, "q", "r")
+    assert out.count() == 150 and plans and not any("BroadcastHashJoin" in p for p in [*plans, out._jdf.queryExecution().executedPlan().toString()])
