@@ -465,3 +465,29 @@ def test_nearest_rows_are_not_broadcast(spark, monkeypatch):
     rs = spark.range(50).select(F.col("id").alias("r"), (F.col("id") + 0.25).alias("u"))
     out = joins.nearest(qs, rs, ["x"], ["u"], 3, "q", "r")
     assert out.count() == 150 and plans and not any("BroadcastHashJoin" in p for p in [*plans, out._jdf.queryExecution().executedPlan().toString()])
+
+
+def test_neighbours_meet_in_blocks(spark):
+    """Sparse pixels on both sides of block edges against brute force; pixels are not copied for each offset before a shuffle."""
+    rng = np.random.default_rng(3)
+    cells = {(int(a), int(b)) for a, b in rng.integers(-70, 140, size=(6000, 2))} | {(x, y) for x in range(60, 70) for y in range(-4, 5)}
+    value = {c: float(i % 97) if i % 5 else None for i, c in enumerate(sorted(cells))}
+    px = spark.createDataFrame([(*c, v) for c, v in value.items()], "px long, py long, value double").repartition(3)
+    kernel = {(i, j): 1.0 + i + 2 * j if (i, j) != (-1, -1) else 0.5 for i in (-1, 0, 1) for j in (-1, 0, 1)}
+    sums = {c: [sum(w * (f(value[c[0] - i, c[1] - j])) for (i, j), w in kernel.items() if value.get((c[0] - i, c[1] - j)) is not None) for f in (lambda v: v, lambda v: 1.0)] for c in value}
+    got = {(r["px"], r["py"]): r["value"] for r in raster.convolve(px, kernel).collect()}
+    assert set(got) == {c for c, v in value.items() if v is not None}
+    assert all(abs(got[c] - sums[c][0] / max(sums[c][1], 1e-15)) < 1e-9 * max(1.0, abs(got[c])) for c in got)
+    got = {(r["px"], r["py"]): r["value"] for r in raster.kernel_impute(px, {k: 1.0 for k in kernel}).collect()}
+    assert set(got) == set(value) and all(got[c] == v for c, v in value.items() if v is not None)
+    around = lambda c, span: [value[c[0] + i, c[1] + j] for i in span for j in span if (c[0] + i, c[1] + j) in value]
+    for c in (c for c, v in value.items() if v is None):
+        near = [v for v in around(c, (-1, 0, 1)) if v is not None]
+        assert (got[c] is None and not near) or abs(got[c] - sum(near) / len(near)) < 1e-9
+    got = {(r["px"], r["py"]): r["patch"] for r in joins.patches(px.select("px", "py"), px, 1, "value").collect()}
+    assert got == {c: around(c, (-1, 0, 1)) for c in value if len(around(c, (-1, 0, 1))) == 9} and got
+    out = joins.windows(px.select("px", "py", F.col("px").alias("cx"), F.col("py").alias("cy")), px, 4)
+    assert out.columns == ["px", "py", "cx", "cy", "ox", "oy", "value"] and out.where("px <> cx - 2 + ox or py <> cy - 2 + oy").count() == 0
+    assert {(r["cx"], r["cy"]): r["n"] for r in out.groupBy("cx", "cy").agg(F.count("*").alias("n")).collect()} == {c: len(around(c, (-2, -1, 0, 1))) for c in value}
+    plan = raster.convolve(px, kernel)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "bx" in plan
