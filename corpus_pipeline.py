@@ -1,8 +1,9 @@
 """A training corpus from raw documents: each stage reads what the stage before it wrote.
 
 1. language_id: documents in which no language is found go.
-2. simhash: one document of each near-duplicate group stays (the one with the smallest id); near duplicates
-   have a Jaccard similarity of 0.8 or more over five-word shingles, checked exactly.
+2. simhash: one document of each near-duplicate group stays (the one with the smallest id); SimHash fingerprints within
+   three bits (BK-trees) and shared MinHash bands propose near duplicates, which have a Jaccard similarity of 0.8 or more over five-word
+   shingles, checked exactly.
 3. suffix_dedup: byte strings that an earlier document has too are removed from the text.
 4. mixing: sources are repeated to a flatter mixture; every document is shown at least once.
 5. packing: documents are cut into training sequences.

@@ -1,8 +1,9 @@
 """Near copies by five-word shingles: documents whose shingle sets have a Jaccard similarity of 0.8 or more.
 
 1. Every document becomes its set of shingle hashes; equal sets are one node.
-2. Nodes that share one of 40 bands of 7 minima each are connected, whatever their
-   similarity: the coarse components.  A pair of exactly 0.8 shares a band with
+2. SimHash fingerprints of three-word shingles, linked within 3 bits through BK-trees (``simhash.links``), connect nodes.
+   Fingerprints of short texts differ in more bits, so nodes that share one of 40 bands of 7 minima each are connected
+   as well, whatever their similarity; both together are the coarse components.  A pair of exactly 0.8 shares a band with
    probability 1 - (1 - 0.8^7)^40 = 0.99992, one of 0.85 with 1 - 2e-7.
 3. All pairs within a coarse component are compared exactly, by the sizes of their sets
    and of the intersection.  Large components are cut into chunks and every pair of
@@ -18,7 +19,7 @@ without words share the empty set, so they are one group.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +63,7 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, sketch: bool) -> DataFrame:
-    """id, ``key`` of the set, and with ``sketch`` its ``size`` and ``bands``, else the ``set`` itself."""
+    """id, ``key`` of the set, and with ``sketch`` its ``size``, ``bands`` and SimHash ``fp``, else the ``set`` itself."""
     small = docs.select(id_col, F.col(text_col).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,9 +81,12 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, sketch: bool) -> DataFram
             values = bands(full).view(np.int64).ravel() if full else np.zeros(0, np.int64)
             ends = np.append(0, np.cumsum((size > 0) * BANDS)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array(size), lists], names=names)
+            hashes = [simhash.shingle_hashes(raw[s:e]) for s, e in pairwise(offsets.tolist())]
+            doc = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+            fp = simhash.majority(np.array(list(chain.from_iterable(hashes)), np.uint64), doc, len(hashes)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array(size), lists, pa.array(fp)], names=names)
 
-    rest = "size long, bands array<long>" if sketch else "set binary"
+    rest = "size long, bands array<long>, fp long" if sketch else "set binary"
     names = [id_col, "key", *(x.split()[0] for x in rest.split(", "))]
     return small.mapInArrow(run, f"`{id_col}` {small.schema[0].dataType.simpleString()}, key long, {rest}")
 
@@ -134,15 +138,24 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle(cell[1], cell[2], rows)
 
 
+def _fingerprint_links(nodes: DataFrame) -> DataFrame:
+    """(a, b) that connect the nodes (key, fp) whose SimHash fingerprints are linked within 3 bits."""
+    prints = scratch.table(nodes.select("fp").distinct(), "prints")
+    linked = components(simhash.links(prints.select("fp", F.col("fp").alias("node")), prints.count()))
+    named = nodes.select("key", "fp").join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("key", F.coalesce("component", "fp").alias("print"))
+    first = named.groupBy("print").agg(F.min("key").alias("low"), F.count("*").alias("n")).where("n > 1").select("print", "low")
+    return named.join(first, "print").where("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b"))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_sets: int = CHUNK_SETS, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
     """id and ``near_group`` (a number that near copies share) of every document; ids are not null."""
     spark = docs.sparkSession
     marked = scratch.table(_sets(docs, id_col, text_col, sketch=True), "sets")
-    nodes = scratch.table(marked.groupBy("key").agg(F.min(id_col).alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    nodes = scratch.table(marked.groupBy("key").agg(F.min(id_col).alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.min("fp").alias("fp")), "nodes")
     cells = nodes.select("key", F.explode("bands").alias("band"))
     shared = cells.groupBy("band").agg(F.min("key").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "low")
     met = cells.join(shared, "band").where("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct()
-    coarse = components(met).select(F.col("node").alias("key"), F.col("component").alias("group"))
+    coarse = components(met.union(_fingerprint_links(nodes.where("size > 0")))).select(F.col("node").alias("key"), F.col("component").alias("group"))
     company = scratch.table(nodes.select("key", "rep", "size").join(coarse, "key"), "company")
     n_company = company.count()
 

@@ -57,3 +57,15 @@ def test_stage_keeps_the_first_of_each_group(spark):
     docs = spark.createDataFrame([*enumerate(texts), (None, texts[9])], "doc_id long, text string")
     kept = {r["doc_id"] for r in corpus_pipeline.simhash_stage(spark, docs, "").collect()}
     assert kept == set(brute(texts))
+
+
+def test_simhash_links_propose_near_copies(spark):
+    """Without MinHash bands the SimHash step alone finds texts that differ in one word of very many."""
+    r = random.Random(2)
+    words = [f"w{r.randrange(10**6)}" for _ in range(3000)]
+    changed = [*words[:-1], "other"]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(reversed(words))), (4, None)], "doc_id long, text string")
+    sets = near_copies._sets(docs, "doc_id", "text", sketch=True)
+    links = {frozenset(x) for x in near_copies._fingerprint_links(sets.where("size > 0")).collect()}
+    key = {x["doc_id"]: x["key"] for x in sets.collect()}
+    assert links == {frozenset((key[1], key[2]))}
