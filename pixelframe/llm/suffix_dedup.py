@@ -11,8 +11,9 @@ are dealt by that hash (equal fragments of a slice of documents are combined fir
    and named, names are recursed on, the remaining suffixes are merged in, and adjacent
    prefixes of 50 bytes are compared.  Strings of an earlier document cover;
 3. a hash with many kinds of fragments (the edge of a line that a third of all documents
-   hold) is split into several buckets; the earliest of each string of a bucket meets those of
-   the other buckets by a digest of the string, in parts whose number follows the fragments.
+   hold) is split into several buckets.  The strings of a bucket meet those of the other buckets first as
+   four bytes of a digest, in parts whose number follows the fragments; only strings whose digest is met
+   twice are sent whole, and the earliest of each covers the others.
 
 Equal fragments are told by two independent 64-bit hashes of their bytes (the window hash and one over
 three windows that cover the fragment), not compared byte by byte.  Fragments whose hash occurs in one document only hold no shared string, so sorting all suffixes
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ LENGTH, GRAM, STARTS, SLICE = 50, 20, 32, 1_000_000
 PACKED = 1_000_000
 #: Kinds of fragments of a hash in one bucket.
 KINDS = 1024
-#: Least parts that the strings of split buckets are packed for, and fragments for each part beyond that.
+#: Least parts that the strings of split buckets meet in, and fragments for each part beyond that.
 MEETINGS, MEETING_FRAGMENTS = 256, 10_000
 _MEET = np.dtype([("string", "S50"), ("doc", "<i8"), ("run", "<i8")])
 
@@ -132,6 +134,11 @@ def _column(batches: list[pa.RecordBatch], name: str, fill: int = 0) -> np.ndarr
     return np.concatenate(parts)
 
 
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start[i], start[i] + 1, ... (size[i] of them) of all i."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 def _code(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Start and number of string starts of a run in one long."""
     return start * 64 + size
@@ -247,11 +254,36 @@ def _sorted_bucket(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return at, owner[at], np.cumsum(np.append(True, ~equal)) - 1
 
 
+def _digests(data: np.ndarray, at: np.ndarray, parts: int) -> np.ndarray:
+    """The part (above 32 bits) and 32 bits of a digest of the strings that start at ``at``."""
+    h = np.zeros(len(at), np.uint64)
+    for j, factor in enumerate(mix64(np.arange(LENGTH) + 1)):
+        h += data[at + j] * factor
+    h = mix64(h)
+    return (h % np.uint64(parts) << np.uint64(32)) | (h >> np.uint64(32))
+
+
+def _all_places(at: np.ndarray, piece: np.ndarray, offsets: np.ndarray, starts: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index into ``at``, string start) for every place of the fragments in their documents."""
+    n = place[piece + 1] - place[piece]
+    which = np.repeat(np.arange(len(at)), n)
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return which, starts[place[piece[which]] + nth] + (at - offsets[piece])[which]
+
+
+def _by_part(part: np.ndarray, rows: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """The parts, and the packed ``rows`` of each."""
+    order = np.argsort(part, kind="stable")
+    part, rows = part[order], rows[order]
+    head = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+    return pa.array(part[head].astype(np.int32)), pa.array([rows[a:b].tobytes() for a, b in zip(head, [*head[1:], len(rows)], strict=True)], pa.binary())
+
+
 def _sort(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets of a partition to (doc, run, part, packed): covered where part is null.
+    """Buckets of a partition to (doc, run, part, packed, unit): covered where unit is null.
 
-    The earliest places of the strings of split buckets are packed by a digest of the string, a
-    row for each part, to meet those of the other buckets.
+    Split buckets that are sorted together are a unit.  It gives a row for each part with the digests of its
+    different strings, and a row of null part with its fragments.
     """
     got = pa.Table.from_batches([b for b in batches if b.num_rows] or [], schema=_PIECES)
     if not got.num_rows:
@@ -259,19 +291,12 @@ def _sort(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     got = got.sort_by("bucket").combine_chunks()
     bucket = np.asarray(got.column("bucket"))
     data, offsets = string_buffers(got.column("piece").chunk(0))
-    meets = []
     edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
     doc, split = np.asarray(got.column("doc")), np.asarray(got.column("split"))
     lists = got.column("starts").chunk(0)
     starts, place = np.asarray(lists.flatten()), np.append(0, np.cumsum(np.asarray(lists.value_lengths())))
-
-    def all_places(at: np.ndarray, piece: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-        """(index into ``at``, string start) for every place of the fragments in their documents."""
-        n = place[piece + 1] - place[piece]
-        which = np.repeat(np.arange(len(at)), n)
-        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return which, starts[place[piece[which]] + nth] + (at + base - offsets[piece])[which]
-
+    context = TaskContext.get()
+    unit = (context.partitionId() if context else 0) << 32
     i = 0
     while i < len(edges) - 1:
         j = max(i + 1, int(np.searchsorted(offsets[edges], offsets[edges[i]] + SLICE)))
@@ -285,36 +310,86 @@ def _sort(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         head = np.flatnonzero(np.append(True, string[1:] != string[:-1]))
         low = np.minimum.reduceat(d, head)[string]
         over = np.flatnonzero(d > low)
-        which, where = all_places(at[over], piece[over], offsets[a])
+        which, where = _all_places(at[over] + offsets[a], piece[over], offsets, starts, place)
         cd, cr = _runs(d[over][which], where)
-        yield pa.RecordBatch.from_arrays([pa.array(cd), pa.array(cr), pa.nulls(len(cd), pa.int32()), pa.nulls(len(cd), pa.binary())], names=_SORTED)
-        meet = np.flatnonzero((d == low) & split[piece])
-        if len(meet):
-            which, where = all_places(at[meet], piece[meet], offsets[a])
-            string = part[at[meet][which][:, None] + np.arange(LENGTH)]
-            row = np.empty(len(which), _MEET)
-            row["string"], row["doc"], row["run"] = string.reshape(-1).view("S50"), d[meet][which], _code(where, 1)
-            meets.append((mix64(string.astype(np.uint64) @ mix64(np.arange(LENGTH) + 1)) % np.uint64(parts), row))
-    if meets:
-        target, row = (np.concatenate(x) for x in zip(*meets, strict=True))
-        order = np.argsort(target, kind="stable")
-        target, row = target[order], row[order]
-        head = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
-        packed = [row[a:b].tobytes() for a, b in zip(head, [*head[1:], len(row)], strict=True)]
-        none = pa.nulls(len(head), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.array(target[head].astype(np.int32)), pa.array(packed, pa.binary())], names=_SORTED)
-
-
-_SORTED = ["doc", "run", "part", "packed"]
+        n = len(cd)
+        yield pa.RecordBatch.from_arrays([pa.array(cd), pa.array(cr), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names=_SORTED)
+        head = head[split[piece[head]]]
+        if len(head):
+            digest = _digests(part, at[head], parts)
+            sent, packed = _by_part(digest >> np.uint64(32), digest.astype(np.uint32))
+            own = pa.array([_packed(got.slice(a, b - a).filter(pa.array(split[a:b])))], pa.binary())
+            n = len(sent) + 1
+            none = pa.nulls(n, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.concat_arrays([sent, pa.nulls(1, pa.int32())]), pa.concat_arrays([packed, own]), pa.array(np.full(n, unit))], names=_SORTED)
+            unit += 1
+
+
+_SORTED = ["doc", "run", "part", "packed", "unit"]
 _PIECES = pa.schema([("bucket", pa.int64()), ("split", pa.bool_()), ("doc", pa.int64()), ("starts", pa.list_(pa.int64())), ("piece", pa.binary())])
 
 
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit, part, packed digests) to (unit, packed): the digests with their part that are met more than once."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    unit, part, size = _column(got, "unit"), _column(got, "part"), np.array([len(x.as_py()) // 4 for b in got for x in b.column(2)])
+    digest = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for b in got for x in b.column(2)])
+    digest = digest | (np.repeat(part.astype(np.uint64), size) << np.uint64(32))
+    _, number, times = np.unique(digest, return_inverse=True, return_counts=True)
+    again = times[number] > 1
+    if not again.any():
+        return
+    unit, digest = np.repeat(unit, size)[again], digest[again]
+    order = np.argsort(unit, kind="stable")
+    unit, digest = unit[order], digest[order]
+    head = np.flatnonzero(np.append(True, unit[1:] != unit[:-1])[: len(unit)])
+    packed = [digest[a:b].tobytes() for a, b in zip(head, [*head[1:], len(digest)], strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array(unit[head]), pa.array(packed, pa.binary())], names=["unit", "packed"])
+
+
+def _strings(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fragments of a unit, its repeated digests) to (part, packed): the earliest places of the strings with these digests."""
+    for batch in batches:
+        for fragments_of, wanted in zip(batch.column(0), batch.column(1), strict=True):
+            got = pa.ipc.open_stream(fragments_of.as_py()).read_all().combine_chunks()
+            wanted = np.concatenate([np.frombuffer(x, np.uint64) for x in wanted.as_py()])
+            data, offsets = string_buffers(got.column("piece").chunk(0))
+            size = np.diff(offsets) - LENGTH + 1
+            piece = np.repeat(np.arange(len(size)), size)
+            at = _spread(offsets[:-1], size)
+            digest = _digests(data, at, parts)
+            keep = np.isin(digest, wanted)
+            at, piece, digest = at[keep], piece[keep], digest[keep]
+            doc = np.asarray(got.column("doc"))[piece]
+            string = np.ascontiguousarray(data[at[:, None] + np.arange(LENGTH)]).reshape(-1).view("S50")
+            _, number = np.unique(string, return_inverse=True)
+            low = np.full(number.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(low, number, doc)
+            first = np.flatnonzero(doc == low[number])
+            lists = got.column("starts").chunk(0)
+            which, where = _all_places(at[first], piece[first], offsets, np.asarray(lists.flatten()), np.append(0, np.cumsum(np.asarray(lists.value_lengths()))))
+            which = first[which]
+            row = np.empty(len(which), _MEET)
+            row["string"], row["doc"], row["run"] = string[which], doc[which], _code(where, 1)
+            part, packed = _by_part(digest[which] >> np.uint64(32), row)
+            yield pa.RecordBatch.from_arrays([part, packed], names=["part", "packed"])
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Equal strings of several buckets: all but those of the earliest document are covered."""
+    """Equal strings of several units: all but those of the earliest document are covered."""
     got = [b for b in batches if b.num_rows]
     if not got:
         return
-    row = np.concatenate([np.frombuffer(x.as_py(), _MEET) for b in got for x in b.column(3)])
+    row = np.concatenate([np.frombuffer(x.as_py(), _MEET) for b in got for x in b.column(1)])
     _, number = np.unique(row["string"], return_inverse=True)
     doc, code = row["doc"], row["run"]
     low = np.full(number.max() + 1, np.iinfo(np.int64).max)
@@ -349,12 +424,17 @@ def covered_runs(docs: DataFrame, total: int, packed: DataFrame) -> DataFrame:
     n = wanted.count()
     items = wanted.groupBy("doc").agg(F.collect_list(F.struct("bucket", "split", "run", "starts")).alias("items"))
     pieces = packed.select("doc", "z").join(items, "doc").mapInArrow(_fetch, "bucket long, split boolean, doc long, starts array<long>, piece binary")
-    parts = max(MEETINGS, n // MEETING_FRAGMENTS)
-    second = pieces.repartition(scratch.partitions(spark, n, 60_000), "bucket").mapInArrow(functools.partial(_sort, parts), "doc long, run long, part int, packed binary")
+    parts, tasks = max(MEETINGS, n // MEETING_FRAGMENTS), scratch.partitions(spark, n, 60_000)
+    second = pieces.repartition(tasks, "bucket").mapInArrow(functools.partial(_sort, parts), "doc long, run long, part int, packed binary, unit long")
     second = scratch.table(second, "sorted")
-    third = second.where("part is not null").repartition(scratch.partitions(spark, parts, 16), "part").mapInArrow(_meet, "doc long, run long")
+    met = scratch.partitions(spark, parts, 16)
+    again = second.where("part is not null").select("unit", "part", "packed").repartition(met, "part").mapInArrow(_repeated, "unit long, packed binary")
+    again = again.groupBy("unit").agg(F.collect_list("packed").alias("wanted"))
+    units = second.where("unit is not null and part is null").select("unit", "packed").repartition(tasks, "unit")
+    whole = units.join(again, "unit").select("packed", "wanted").mapInArrow(functools.partial(_strings, parts), "part int, packed binary")
+    third = whole.repartition(met, "part").mapInArrow(_meet, "doc long, run long")
     done = first.where("bucket is null").select("doc", "run")
-    return done.union(second.where("part is null").select("doc", "run")).union(third)
+    return done.union(second.where("unit is null").select("doc", "run")).union(third)
 
 
 def _pack(docs: DataFrame) -> DataFrame:

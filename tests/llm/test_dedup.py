@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -166,3 +167,25 @@ def test_repeated_and_null_ids(spark):
     assert key((r["doc_id"], *tuple(r)[1:5]) for r in got) == key((i, *want[i, t]) for i, t in rows)
     assert all(hashlib.sha256(r["kept"].encode()).hexdigest() == r["kept_sha256"] for r in got)
     assert suffix_dedup.remove_repeats(df.where("doc_id = -5")).count() == 0
+
+
+def test_strings_of_split_buckets_meet_as_digests():
+    """Two buckets whose fragments share few strings: four bytes for each different string, and only shared ones are sent whole."""
+    shared = rng.integers(97, 123, 50).astype(np.uint8).tobytes()
+    rows = [(bucket, True, 100 * bucket + i, [7], shared + rng.integers(97, 123, 31).astype(np.uint8).tobytes()) for bucket in (1, 2) for i in range(100)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(suffix_dedup._PIECES.names, r, strict=True)) for r in rows if r[0] == b], suffix_dedup._PIECES) for b in (1, 2)]
+    out = pa.Table.from_batches([o for i, b in enumerate(batches) for o in suffix_dedup._sort(16, iter([b]))]).to_pylist()
+    strings = sum(len({r[4][k : k + 50] for r in rows if r[0] == b for k in range(32)}) for b in (1, 2))
+    parts = [r for r in out if r["part"] is not None]
+    assert sum(len(r["packed"]) for r in parts) == 4 * strings
+    units = [r["packed"] for r in out if r["unit"] is not None and r["part"] is None]
+    sent = [(i, r["part"], r["packed"]) for i, r in enumerate(parts)]
+    found = [o for p in range(16) for o in suffix_dedup._repeated(iter([pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*[r for r in sent if r[1] == p], strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["unit", "part", "packed"])]))]
+    again = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for b in found for x in b.column(1).to_pylist()]))
+    common = {r[4][k : k + 50] for r in rows if r[0] == 1 for k in range(32)} & {r[4][k : k + 50] for r in rows if r[0] == 2 for k in range(32)}
+    assert shared in common and len(common) <= len(again) < strings / 50
+    whole = list(suffix_dedup._strings(16, iter([pa.RecordBatch.from_arrays([pa.array(units, pa.binary()), pa.array([[again.tobytes()]] * 2, pa.list_(pa.binary()))], names=["packed", "wanted"])])))
+    met = np.concatenate([np.frombuffer(x, suffix_dedup._MEET) for b in whole for x in b.column(1).to_pylist()])
+    assert [(int(r["doc"]), int(r["run"])) for r in met if r["string"] == shared] == [(100, suffix_dedup._code(7, 1)), (200, suffix_dedup._code(7, 1))]
+    covered = {(d, r >> 6) for b in suffix_dedup._meet(iter(whole)) for d, r in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    assert (200, 7) in covered and all(d >= 200 for d, _ in covered)
