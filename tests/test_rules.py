@@ -104,3 +104,17 @@ def test_neighbours_mend_rules(spark, pieces):
     mended = rules.composite(test, train, weak, "y", "id", "id")
     assert mended.count() == 500
     assert metrics.regression(mended, "y", "Prediction").first()["r2"] > _r2(test, weak)
+
+
+def test_bins_by_halving_and_one_write(spark, monkeypatch):
+    """A bin is the number of cuts below the value, whatever the value; a single split writes its rows once and no bins."""
+    values = [float("-inf"), -1.0, 0.0, 0.5, 1.0, 2.0, 2.5, 7.0, float("inf"), float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for cuts in ([], [0.5], [0.0, 1.0], [-1.0, 0.0, 1.0, 2.0, 7.0]):
+        got = df.select("v", rules.bin_of(F.col("v"), cuts).alias("b")).collect()
+        assert [r["b"] for r in got] == [len(cuts) if r["v"] != r["v"] else sum(c < r["v"] for c in cuts) for r in got]
+    written, write = [], rules.materialise
+    monkeypatch.setattr(rules, "materialise", lambda df, name: written.append(name) or write(df, name))
+    steps = spark.range(200).select(F.col("id").cast("double").alias("a"), F.when(F.col("id") < 80, 0.0).otherwise(10.0).alias("y"))
+    found = rules.fit(steps, ["a"], "y", depth=1)
+    assert written == ["rules"] and found.predict(steps).where("abs(Prediction - y) > 3").count() == 2  # the nearest quantile is 81

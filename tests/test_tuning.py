@@ -111,3 +111,13 @@ def test_positive_weights_by_grid(spark):
     assert sum(learner.meta.state["linear"]["coef"]) > 0.8
     with pytest.raises(ValueError, match="rename"):
         superlearn.learn(df, ["p0", "p1"], "y", ["p2"], [{"name": "ols"}])
+
+
+def test_super_learner_fits_all_rows_when_asked(spark, waves, monkeypatch):
+    """Out-of-fold tables need a fit for each fold only; the models of all rows are fitted once, by the first prediction."""
+    sizes, fit = [], superlearn.fit_model
+    monkeypatch.setattr(superlearn, "fit_model", lambda df, cols, y, spec: sizes.append(df.count()) or fit(df, cols, y, spec))
+    learner = superlearn.learn(waves, ["a", "b"], "y", ["id"], [{"name": "ols"}], folds=2)
+    assert learner.folds.count() == 500 and sizes == [250] * 4  # a base and a meta model for each fold
+    first = learner.predict(waves).count()
+    assert first == learner.predict(waves).count() == 500 and sizes[4:] == [500, 500]
