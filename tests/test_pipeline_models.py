@@ -114,3 +114,21 @@ def test_cross_validation_with_groups_and_unseen_points(spark, points, tmp_path)
     found = pipeline.validate(bundle, points.where("id >= 150"), None, f"{tmp_path}/v").first()
     assert found["r2"] > 0.8 and found["mll"] is not None
     assert spark.read.option("header", True).csv(f"{tmp_path}/v/points").count() == 90 and spark.read.json(f"{tmp_path}/v/scores").first()["r2"] == found["r2"]
+
+
+def test_areas_of_all_folds_at_once(spark, monkeypatch):
+    """One running sum a class gives the area of every fold, and columns that no model uses are not written."""
+    from pixelframe.operators import metrics, sampling
+
+    rows = [(i, i % 3, i % 7, round((i * 37 % 101) / 101, 1), i % 2) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, fold int, g long, q1 double, y int").withColumn("q0", 1 - F.col("q1")).withColumn("comment", F.lit("x"))
+    got = {r["fold"]: r["auc"] for r in metrics.macro_auc(df, "y", ["q0", "q1"], by=["fold"]).collect()}
+    for k in range(3):
+        assert abs(got[k] - metrics.macro_auc(df.where(F.col("fold") == k), "y", ["q0", "q1"]).first()["auc"]) < 1e-12
+    written, write = [], pipeline.materialise
+    monkeypatch.setattr(pipeline, "materialise", lambda df, name: written.append((name, df.columns)) or write(df, name))
+    sums, total = [], sampling.running_total
+    monkeypatch.setattr(metrics, "running_total", lambda *a: sums.append(1) or total(*a))
+    scores, _ = pipeline.cross_validate_classes(df.drop("fold"), ["q1"], "y", "logistic", ["id"], folds=3, group="g", maxIter=2)
+    assert scores.count() == 3 and len(sums) == 2
+    assert set(dict(written)["folds"]) == {"id", "q1", "y", "g", "fold"}
