@@ -455,6 +455,25 @@ def test_search_in_very_long_texts(spark):
     assert got == brute_bm25(rows, lambda q: q % 20 == 0, 3)
 
 
+def test_search_reads_each_text_once(spark):
+    """Several rounds of queries and a part passed ahead share one index; many copies tie."""
+    read = spark.sparkContext.accumulator(0)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"{chr(97 + w % 26)}{chr(97 + w // 26)}" for w in rng.choice(90, 12)) for _ in range(240)]
+    texts[100:160] = ["same old text"] * 60
+
+    def text(i):
+        read.add(1)
+        return texts[i]
+
+    docs = spark.range(240).select(F.col("id").alias("doc_id"), F.udf(text, "string")("id").alias("text"))
+    got = {}
+    for r in topk.search(docs, F.col("doc_id") % 20 == 0, 7, shard_docs=50, round_bytes=1, ahead_docs=100).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["doc_id"])
+    assert got == brute_bm25(list(enumerate(texts)), lambda q: q % 20 == 0, 7)
+    assert read.value == 240
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
