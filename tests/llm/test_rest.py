@@ -474,6 +474,50 @@ def test_search_reads_each_text_once(spark):
     assert read.value == 240
 
 
+def test_search_holds_little_at_a_time(spark, monkeypatch):
+    """No step hands Python many rows of texts or of the index at once; a shard is arranged in a few times its postings."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from pixelframe.llm.textscan import Words, string_buffers
+
+    limit, large = 20_000, spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(topk, "ARROW_BYTES", limit, raising=False)
+
+    def seen(batches):
+        for batch in batches:
+            large.add(int(batch.num_rows > 1 and batch.nbytes > 2 * limit))
+            yield batch
+
+    index, passed = topk.index, topk.pass_shards
+    monkeypatch.setattr(topk, "index", lambda base, *a: index(base.mapInArrow(seen, base.schema), *a))
+    monkeypatch.setattr(topk, "pass_shards", lambda shards, *a: passed(shards.mapInArrow(seen, shards.schema), *a))
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{chr(97 + w % 26)}{chr(97 + w // 26)}" for w in rng.choice(600, 300)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {}
+    for r in topk.search(docs, F.col("doc_id") % 100 == 0, 5, shard_docs=50).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["doc_id"])
+    assert got == brute_bm25(list(enumerate(texts)), lambda q: q % 100 == 0, 5)
+    assert large.value == 0
+
+    words = Words(*string_buffers(pa.array(texts * 10)))
+    doc, term, tf = topk.postings(words)
+    known, number, df = np.unique(term, return_inverse=True, return_counts=True)
+    queries = topk.Queries(np.array([0]), np.array([(doc == 0).sum()]), known, np.log1p(4000 / df), number[doc == 0], 5)
+    shard = topk.Shard(300.0, queries)
+    shard.add(np.arange(4000), words)
+    tracemalloc.start()
+    held = shard.documents.arrays()
+    assert tracemalloc.get_traced_memory()[1] < 40 * len(doc)
+    tracemalloc.stop()
+    tracemalloc.start()
+    shard.close(held)
+    most = tracemalloc.get_traced_memory()[1] - shard.dense.nbytes
+    tracemalloc.stop()
+    assert most < 35 * len(doc)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
