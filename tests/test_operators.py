@@ -491,3 +491,25 @@ def test_neighbours_meet_in_blocks(spark):
     assert {(r["cx"], r["cy"]): r["n"] for r in out.groupBy("cx", "cy").agg(F.count("*").alias("n")).collect()} == {c: len(around(c, (-2, -1, 0, 1))) for c in value}
     plan = raster.convolve(px, kernel)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "bx" in plan
+
+
+def test_sensor_pairs_meet_lists_of_cells(spark, monkeypatch):
+    """A place's cells are passed as lists, dealt once by their place; repeated rows, null cells and both zeros count."""
+    made, asked = [], []
+    monkeypatch.setattr(joins, "spread_join", lambda *a, f=joins.spread_join, **k: (made.append(a), asked.append(f(*a, **k)), asked[-1])[2])
+    monkeypatch.setattr(joins, "PACK", 7)
+    sensors = [(1, 0.0, 0.0, 5.0), (1, 0.0, 0.0, 5.0), (2, 3.0, 1.0, 5.0), (3, 90.0, 90.0, 5.0), (None, 1.0, 1.0, 5.0)]
+    cells = [(i, 1.0, 2.0) for i in range(20)] + [(None, 1.0, 2.0)] * 9 + [(7, 0.0, 0.0), (7, -0.0, 0.0), (8, 50.0, 0.0), (9, None, 0.0)]
+    got = joins.sensor_pairs(spark.createDataFrame(sensors, "sensor long, x double, y double, z double"), spark.createDataFrame(cells, "cell long, gx double, gy double"), 4.0, 0.01, 0.02, digits=9)
+    want = []
+    for s, x, y, z in sensors:
+        for c, gx, gy in cells:
+            if gx is not None and abs(x - gx) <= 4 and abs(y - gy) <= 4:
+                r2 = (x - gx) ** 2 + (y - gy) ** 2 + z * z
+                v = math.exp(-0.01 * math.sqrt(r2)) / r2
+                want += [(s, c, round(v, 9))] if v > 0.02 else []
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) and len(want) > 100
+    right = made[0][1]
+    assert right.schema["cells"].dataType.simpleString() == "array<bigint>" and right.selectExpr("max(size(cells))").first()[0] <= 7
+    plan = asked[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # one for each side, by the number of pairs
